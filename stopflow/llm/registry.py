@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import near_dup, packing, quality
 
 QUERIES = {
+    "op6_minhash_near_dedup": near_dup.op6_minhash_near_dedup,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {}
