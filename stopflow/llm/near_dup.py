@@ -7,8 +7,11 @@ are full. Bins keep the least value, and two sets agree in a bin with the probab
 
 BANDS bands of ROWS bins make bucket keys. A pair at the threshold 0.85 shares no bucket with probability
 (1 - 0.85^4)^32 = 6e-11. Documents with equal sets are one class from the start. In each bucket every class
-is compared with the smallest one on full sets; where classes of a bucket are still in different components,
-all pairs across those components that can reach the threshold are compared too, so no bucket hides a link.
+is compared with the smallest one on full sets. Where classes of a bucket are then still in different
+components, a prefix filter finds the remaining pairs: a set of n members shares one of its first
+n - ceil(0.85 n) + 1 members, in an order common to all, with every partner. The order puts rare members
+first, by counts of the unsettled sets' members in a hash table of fixed size, so that members which a whole
+group shares are seldom in a prefix. No link is lost, and a large group is not paired with itself.
 
 Defined cases: null and empty texts and texts without words have an empty set and stand alone; texts of any
 length are used whole; rows with one doc_id are one document; a row without doc_id stands alone with a null
@@ -40,6 +43,9 @@ _PLACE = seeds(ROWS, 5) | U64(1)
 _SHIFT = U64(64 - (COORDINATES.bit_length() - 1))
 _FULL = U64(0xFFFFFFFFFFFFFFFF)
 _SET = seeds(2, 6)
+#: The table of counts that orders the members of prefixes has 2^SPOTS places.
+SPOTS = 20
+_SPOT = U64(64 - SPOTS)
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -109,6 +115,34 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(c)[first:last].filter(mask) for c in ("a", "b")], ["a", "b"])
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(spot, n): how often members fall into each spot of the hash table."""
+    total = np.zeros(1 << SPOTS, np.int64)
+    for batch in batches:
+        for _, _, data, at in blocks(batch.column("text")):
+            total += np.bincount(np.concatenate(shingle_sets(data, at, WORDS)) >> _SPOT, minlength=1 << SPOTS)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["spot", "n"])
+
+
+def _prefixes(docs: DataFrame, count: np.ndarray) -> DataFrame:
+    """(doc_id, component, n, shingle): the members of each set's prefix."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, at in blocks(batch.column("text")):
+                sets = shingle_sets(data, at, WORDS)
+                sizes = [len(x) - -(-LINK * len(x) // 100) + 1 for x in sets]
+                taken = [x[np.lexsort((x, count[x >> _SPOT]))[:p]] for x, p in zip(sets, sizes, strict=True)]
+                row = pa.array(np.repeat(np.arange(first, last), sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(row) for c in ("doc_id", "component", "n")), pa.array(np.concatenate(taken).view(np.int64))],
+                    ["doc_id", "component", "n", "shingle"],
+                )
+
+    return docs.mapInArrow(first, "doc_id long, component long, n long, shingle long")
+
+
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
@@ -153,12 +187,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     )
     split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    left = saved(named.join(saved(split.select("key"), "split"), "key"), "unsettled")
-    other = left.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("with"))
+    open_ = named.join(saved(split.select("key"), "split"), "key").groupBy(F.col("rep").alias("doc_id"))
+    unsettled = saved(
+        texts.select("doc_id", "text").join(open_.agg(F.max("component").alias("component"), F.max("n").alias("n")), "doc_id"),
+        "unsettled",
+    )
+    common = unsettled.select("text").mapInArrow(_counted, "spot long, n long").groupBy("spot").agg(F.sum("n").alias("n"))
+    found_at = common.toArrow()  # at most 2^SPOTS rows
+    count = np.zeros(1 << SPOTS, np.int32)
+    count[found_at["spot"].to_numpy()] = np.minimum(found_at["n"].to_numpy(), np.iinfo(np.int32).max)
+    left = saved(_prefixes(unsettled.select("doc_id", "component", "n", "text"), count), "prefixes")
+    other = left.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("with"))
     rest = (
-        left.join(other, "key")
-        .filter(f"component <> with AND rep < b AND {reach}")
-        .select(F.col("rep").alias("a"), "b")
+        left.join(other, "shingle")
+        .filter(f"component <> with AND doc_id < b AND {reach}")
+        .select(F.col("doc_id").alias("a"), "b")
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
