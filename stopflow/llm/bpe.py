@@ -30,7 +30,7 @@ from .common import blocks, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bytes of text in a block, and the longest word that is folded.
-BLOCK, LONG = 32 << 20, 48
+BLOCK, LONG = 32 << 20, 64
 #: A lookup that finds no pair gives at least this; ids are below it.
 NO_MERGE = 1 << 16
 EMPTY = (1 << 48) - 1
@@ -90,39 +90,47 @@ def pair_ranks(ids: np.ndarray, path: str) -> np.ndarray:
 
 
 def folded(words: Column, path: str = VOCABULARY) -> Column:
-    """Ids of each word, from array<struct<ids: array<int>, ranks: array<bigint>>>: byte ids, ranks of neighbours."""
+    """Ids of each word, from array<array<bigint>>: for each byte, rank of it and its neighbour * 2^16 + its id."""
     shift, entries = pair_table(path)
     moves, table_ = _literal(shift, "int"), _literal(entries, "bigint")
 
-    def rank(left: Column, right: Column) -> Column:
-        key = left.cast("bigint") * NO_MERGE + right
+    def part(left: Column, right: Column) -> Column:
+        """The entry of a part `left` that `right` follows."""
+        key = F.shiftleft(left, 16).bitwiseOR(right)
         spot = (key % len(entries) + F.get(moves, (key % len(shift)).cast("int"))) % len(entries)
-        return F.pmod(F.get(table_, spot.cast("int")) - key * NO_MERGE, F.lit(1 << 50))
-
-    def bind(value: Column, body) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
-    def merged(state: Column, least: Column, at: Column) -> Column:
-        """`least` is the id of the joined pair; `at` the place of its left part, from 1."""
-        ids, known = state["ids"], state["ranks"]
-        none = F.slice(known, F.lit(1), F.lit(0))
-        before = F.when(at > 1, F.array(rank(F.get(ids, at - 2), least))).otherwise(none)
-        after = F.when(at + 1 < F.size(ids), F.array(rank(least, F.get(ids, at + 1)))).otherwise(none)
-        return F.struct(
-            F.concat(F.slice(ids, F.lit(1), at - 1), F.array(least), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
-            F.concat(
-                F.slice(known, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(known, at + 2, F.size(ids))
-            ).alias("ranks"),
-        )
+        found = F.pmod(F.get(table_, spot.cast("int")) - F.shiftleft(key, 16), F.lit(1 << 50))
+        return F.shiftleft(F.least(found, F.lit(NO_MERGE)), 16).bitwiseOR(left)
+
+    def id_of(entry: Column) -> Column:
+        return entry.bitwiseAND(NO_MERGE - 1)
+
+    def merged(parts: Column, found: Column) -> Column:
+        """`found` is the least rank * 64 + the first place that has it; the rank is the id of the joined part."""
+        at, new = found.bitwiseAND(63).cast("int"), F.shiftright(found, 6)
+        last = F.shiftleft(F.lit(NO_MERGE).cast("bigint"), 16).bitwiseOR(new)
+
+        def renewed(old: Column, k: Column) -> Column:
+            joined = F.when(at + 2 < F.size(parts), part(new, id_of(F.get(parts, at + 2)))).otherwise(last)
+            return (
+                F.when(k > at, F.get(parts, k + 1))
+                .when(k == at, joined)
+                .when(k == at - 1, part(id_of(old), new))
+                .otherwise(old)
+            )
 
-    def step(state: Column, _: Column) -> Column:
-        def joined(least: Column) -> Column:
-            at = F.array_position(state["ranks"], least).cast("int")
-            return F.when(least < NO_MERGE, bind(at, lambda a: merged(state, least.cast("int"), a))).otherwise(state)
+        return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), renewed)
+
+    def step(parts: Column, _: Column) -> Column:
+        ranked = F.transform(parts, lambda e, k: F.shiftleft(F.shiftright(e, 16), 6).bitwiseOR(k.cast("bigint")))
+        next_ = F.transform(
+            F.array(F.array_min(ranked)), lambda f: F.when(f < NO_MERGE << 6, merged(parts, f)).otherwise(parts)
+        )
+        return F.get(next_, F.lit(0))
 
-        return F.when(F.size(state["ranks"]) > 0, bind(F.array_min(state["ranks"]), joined)).otherwise(state)
+    def fold(word: Column) -> Column:
+        return F.transform(F.aggregate(F.slice(word, F.lit(2), F.size(word)), word, step), lambda e: id_of(e).cast("int"))
 
-    return F.transform(words, lambda w: F.aggregate(w["ranks"], w, step)["ids"])
+    return F.transform(words, fold)
 
 
 def merge_long(word: bytes, known: dict[bytes, int]) -> list[int]:
@@ -153,7 +161,7 @@ def merge_long(word: bytes, known: dict[bytes, int]) -> list[int]:
 def split_words(docs: DataFrame, path: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
     """A row for each block: doc_ids, words in each, the word numbers of all texts, and the distinct words.
 
-    A word that is a token, or longer than LONG, has its ids in `known`; the others have byte ids in `words`.
+    A word that is a token, or longer than LONG, has its ids in `known`; the others are in `words` for folded().
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,18 +188,9 @@ def split_words(docs: DataFrame, path: str = VOCABULARY, block: int = BLOCK) ->
                     whole.append(None)
             ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
             ids = byte[np.frombuffer(b"".join(words), np.uint8)]
-            inner = np.ones(len(ids), bool)
-            inner[ends[1:][np.diff(ends) > 0] - 1] = False
-            links = np.concatenate(([0], np.cumsum(np.maximum(np.diff(ends) - 1, 0))))
-            lists = pa.StructArray.from_arrays(
-                [
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
-                    pa.ListArray.from_arrays(
-                        pa.array(links.astype(np.int32)), pa.array(pair_ranks(ids, path)[inner[:-1]] if len(ids) else ids.astype(np.int64))
-                    ),
-                ],
-                ["ids", "ranks"],
-            )
+            linked = np.concatenate((pair_ranks(ids, path), [NO_MERGE])) if len(ids) else ids.astype(np.int64)
+            linked[ends[1:][np.diff(ends) > 0] - 1] = NO_MERGE
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(linked * NO_MERGE + ids))
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
             return pa.RecordBatch.from_arrays(
                 [
@@ -226,7 +225,7 @@ def split_words(docs: DataFrame, path: str = VOCABULARY, block: int = BLOCK) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         split,
         "doc_ids array<long>, sizes array<int>, places binary, "
-        "words array<struct<ids: array<int>, ranks: array<bigint>>>, known array<array<int>>",
+        "words array<array<bigint>>, known array<array<int>>",
     )
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import near_dup, packing, quality
+from . import bpe, near_dup, packing, quality
 
 QUERIES = {
+    "op5_byte_level_bpe": bpe.op5_byte_level_bpe,
     "op6_minhash_near_dedup": near_dup.op6_minhash_near_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op10_quality_classifier": quality.op10_quality_classifier,
