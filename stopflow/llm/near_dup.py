@@ -9,9 +9,8 @@ BANDS bands of ROWS bins make bucket keys. A pair at the threshold 0.85 shares n
 (1 - 0.85^4)^32 = 6e-11. Documents with equal sets are one class from the start. In each bucket every class
 is compared with the smallest one on full sets. Where classes of a bucket are then still in different
 components, a prefix filter finds the remaining pairs: a set of n members shares one of its first
-n - ceil(0.85 n) + 1 members, in an order common to all, with every partner. The order puts rare members
-first, by counts of the unsettled sets' members in a hash table of fixed size, so that members which a whole
-group shares are seldom in a prefix. No link is lost, and a large group is not paired with itself.
+n - ceil(0.85 n) + 1 members, in an order common to all, with every partner, and rare members come first in
+it; members of one component only cannot count. No link is lost, and a large group is not paired with itself.
 
 Defined cases: null and empty texts and texts without words have an empty set and stand alone; texts of any
 length are used whole; rows with one doc_id are one document; a row without doc_id stands alone with a null
@@ -24,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, buffers, saved, table
@@ -43,9 +42,6 @@ _PLACE = seeds(ROWS, 5) | U64(1)
 _SHIFT = U64(64 - (COORDINATES.bit_length() - 1))
 _FULL = U64(0xFFFFFFFFFFFFFFFF)
 _SET = seeds(2, 6)
-#: The table of counts that orders the members of prefixes has 2^SPOTS places.
-SPOTS = 20
-_SPOT = U64(64 - SPOTS)
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -115,32 +111,46 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(c)[first:last].filter(mask) for c in ("a", "b")], ["a", "b"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(spot, n): how often members fall into each spot of the hash table."""
-    total = np.zeros(1 << SPOTS, np.int64)
-    for batch in batches:
-        for _, _, data, at in blocks(batch.column("text")):
-            total += np.bincount(np.concatenate(shingle_sets(data, at, WORDS)) >> _SPOT, minlength=1 << SPOTS)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["spot", "n"])
-
-
-def _prefixes(docs: DataFrame, count: np.ndarray) -> DataFrame:
-    """(doc_id, component, n, shingle): the members of each set's prefix."""
+def _members(docs: DataFrame) -> DataFrame:
+    """(doc_id, component, n, shingle): a row for each member of each set."""
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, at in blocks(batch.column("text")):
                 sets = shingle_sets(data, at, WORDS)
-                sizes = [len(x) - -(-LINK * len(x) // 100) + 1 for x in sets]
-                taken = [x[np.lexsort((x, count[x >> _SPOT]))[:p]] for x, p in zip(sets, sizes, strict=True)]
-                row = pa.array(np.repeat(np.arange(first, last), sizes))
+                row = pa.array(np.repeat(np.arange(first, last), [len(x) for x in sets]))
+                columns = [batch.column(c).take(row) for c in ("doc_id", "component", "n")]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).take(row) for c in ("doc_id", "component", "n")), pa.array(np.concatenate(taken).view(np.int64))],
-                    ["doc_id", "component", "n", "shingle"],
+                    [*columns, pa.array(np.concatenate(sets).view(np.int64))], ["doc_id", "component", "n", "shingle"]
                 )
 
-    return docs.mapInArrow(first, "doc_id long, component long, n long, shingle long")
+    return docs.select("doc_id", "component", "n", "text").mapInArrow(
+        each, "doc_id long, component long, n long, shingle long"
+    )
+
+
+def _prefixes(docs: DataFrame) -> DataFrame:
+    """(doc_id, component, n, useful, shingle): the prefix of each set that can reach a set of another component.
+
+    Members that occur in one component only are useless for that, so they come first in the common order;
+    the others follow by rarity. A set needs ceil(0.85 n) useful members, and n - ceil(0.85 n) + 1 less the
+    useless ones are its prefix.
+    """
+    members = _members(docs)
+    across = (
+        members.groupBy("shingle")
+        .agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .filter("lo < hi")
+        .select("shingle", "df")
+    )
+    own = Window.partitionBy("doc_id")
+    return (
+        members.join(saved(across, "across"), "shingle")
+        .withColumn("useful", F.count("*").over(own))
+        .withColumn("place", F.row_number().over(own.orderBy("df", "shingle")))
+        .filter(f"place <= useful + 1 - ceil({LINK} * n / 100.0)")
+        .select("doc_id", "component", "n", "useful", "place", "shingle")
+    )
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -192,15 +202,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         texts.select("doc_id", "text").join(open_.agg(F.max("component").alias("component"), F.max("n").alias("n")), "doc_id"),
         "unsettled",
     )
-    common = unsettled.select("text").mapInArrow(_counted, "spot long, n long").groupBy("spot").agg(F.sum("n").alias("n"))
-    found_at = common.toArrow()  # at most 2^SPOTS rows
-    count = np.zeros(1 << SPOTS, np.int32)
-    count[found_at["spot"].to_numpy()] = np.minimum(found_at["n"].to_numpy(), np.iinfo(np.int32).max)
-    left = saved(_prefixes(unsettled.select("doc_id", "component", "n", "text"), count), "prefixes")
-    other = left.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("with"))
+    left = saved(_prefixes(unsettled), "prefixes")
+    other = left.selectExpr("shingle", "doc_id AS b", "n AS m", "useful AS m_useful", "place AS m_place", "component AS with")
+    # Common members of a pair: those up to the shared one in either order, and those after it in both.
     rest = (
         left.join(other, "shingle")
         .filter(f"component <> with AND doc_id < b AND {reach}")
+        .filter(f"(least(place, m_place) + least(useful - place, m_useful - m_place)) * {100 + LINK} >= {LINK} * (n + m)")
         .select(F.col("doc_id").alias("a"), "b")
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
