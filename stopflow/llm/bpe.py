@@ -20,17 +20,19 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, table
+from .common import BLOCK_BYTES, blocks, table
+from .hashing import span_hashes
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bytes of text in a block, and the longest word that is folded.
-BLOCK, LONG = 32 << 20, 64
+BLOCK, LONG = 16 << 20, 64
 #: A lookup that finds no pair gives at least this; ids are below it.
 NO_MERGE = 1 << 16
 EMPTY = (1 << 48) - 1
@@ -158,74 +160,123 @@ def merge_long(word: bytes, known: dict[bytes, int]) -> list[int]:
     return [known[p] for p in parts if p is not None]
 
 
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """For each code point: 0 other, 1 letter, 2 number, 3 white space."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    out = np.zeros(0x110000, np.uint8)
+    for kind, pattern in ((1, r"\p{L}"), (2, r"\p{N}"), (3, r"\s")):
+        out[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), "<u4")] = kind
+    return out
+
+
+def piece_starts(code: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the matches of the split pattern begin, in rows of code points with borders `at`.
+
+    The pattern takes runs of letters, of numbers or of others, each with one space before; a run of white
+    space before them gives up its last character, which is a match of its own unless it is that space; an
+    apostrophe that begins a match, with s, t, re, ve, m, ll or d after it, is a match without what follows.
+    """
+    n = len(code)
+    kind = _classes()[code]
+    start = np.ones(n, bool)
+    start[1:] = kind[1:] != kind[:-1]
+    first = at[:-1][at[:-1] < n]
+    start[first] = True
+    fresh = np.zeros(n + 1, bool)
+    fresh[at] = True
+    turn = np.flatnonzero(start[1:] & (kind[:-1] == 3) & (kind[1:] != 3) & ~fresh[1:n]) + 1
+    start[turn - 1] = True
+    start[turn[code[turn - 1] == 0x20]] = False
+    mark = np.flatnonzero((code == 0x27) & start)
+    if len(mark):
+        end = at[np.searchsorted(at, mark, side="right")]
+        far = np.concatenate((code, np.zeros(2, code.dtype)))
+        one, two = far[mark + 1], far[mark + 2]
+        pair = (one << 8) | np.minimum(two, 255)
+        size = np.where(np.isin(one, [ord(c) for c in "stmd"]), 2, 0)
+        size[np.isin(pair, [ord(a) << 8 | ord(b) for a, b in ("re", "ve", "ll")]) & (mark + 3 <= end)] = 3
+        size[mark + 2 > end] = 0
+        mark, end, size = mark[size > 0], end[size > 0], size[size > 0]
+        start[mark + 1] = False
+        after = mark + size
+        start[after[after < end]] = True
+    return np.flatnonzero(start)
+
+
 def split_words(docs: DataFrame, path: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
     """A row for each block: doc_ids, words in each, the word numbers of all texts, and the distinct words.
 
     A word that is a token, or longer than LONG, has its ids in `known`; the others are in `words` for folded().
+    Words of a block are told apart by a 64-bit hash.
     """
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(texts: list[str], hashes: list[np.ndarray], spans: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
+        places, found = pd.factorize(np.concatenate(hashes))
+        first = np.empty(len(found), np.int64)
+        first[places[::-1]] = np.arange(len(places) - 1, -1, -1)
+        text, span = "".join(texts), np.concatenate(spans)[first].tolist()
+        return places.astype(np.int32), [text[a:b].encode() for a, b in span]
+
+    def row(ids: list, sizes: list, texts: list, hashes: list, spans: list) -> pa.RecordBatch:
         known = ranks(path)
         byte = np.array([known[bytes([b])] for b in range(256)], np.int32)
-        matches = regex.compile(public_tokenizers.PATTERN).findall
-        state: dict = {}
-
-        def clear() -> None:
-            state.update(ids=[], sizes=[], places=[], number={}, bytes=0)
-
-        def row() -> pa.RecordBatch:
-            words, whole = [], []
-            for word in state["number"]:
-                raw = word.encode()
-                if (rank := known.get(raw)) is not None:
-                    words.append(b"")
-                    whole.append([rank])
-                elif len(raw) > LONG:
-                    words.append(b"")
-                    whole.append(merge_long(raw, known))
-                else:
-                    words.append(raw)
-                    whole.append(None)
-            ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
-            ids = byte[np.frombuffer(b"".join(words), np.uint8)]
-            linked = np.concatenate((pair_ranks(ids, path), [NO_MERGE])) if len(ids) else ids.astype(np.int64)
-            linked[ends[1:][np.diff(ends) > 0] - 1] = NO_MERGE
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(linked * NO_MERGE + ids))
-            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-            return pa.RecordBatch.from_arrays(
-                [
-                    one(pa.array(state["ids"], pa.int64())),
-                    one(pa.array(state["sizes"], pa.int32())),
-                    pa.array([np.concatenate(state["places"]).tobytes()]),
-                    one(lists),
-                    one(pa.array(whole, pa.list_(pa.int32()))),
-                ],
-                ["doc_ids", "sizes", "places", "words", "known"],
-            )
+        places, distinct = numbered(texts, hashes, spans)
+        words, whole = [], []
+        for raw in distinct:
+            if (rank := known.get(raw)) is not None:
+                words.append(b"")
+                whole.append([rank])
+            elif len(raw) > LONG:
+                words.append(b"")
+                whole.append(merge_long(raw, known))
+            else:
+                words.append(raw)
+                whole.append(None)
+        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
+        flat = byte[np.frombuffer(b"".join(words), np.uint8)]
+        linked = np.concatenate((pair_ranks(flat, path), [NO_MERGE])) if len(flat) else flat.astype(np.int64)
+        linked[ends[1:][np.diff(ends) > 0] - 1] = NO_MERGE
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(linked * NO_MERGE + flat))
+        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        return pa.RecordBatch.from_arrays(
+            [
+                one(pa.array(ids, pa.int64())),
+                one(pa.array(np.concatenate(sizes).astype(np.int32))),
+                pa.array([places.tobytes()]),
+                one(lists),
+                one(pa.array(whole, pa.list_(pa.int32()))),
+            ],
+            ["doc_ids", "sizes", "places", "words", "known"],
+        )
 
-        clear()
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: tuple[list, ...] = ([], [], [], [], [])
+        total = done = 0
         for batch in batches:
-            for first, last, data, at in blocks(batch.column("text")):
-                raw, borders = data.tobytes(), at.tolist()
-                number = state["number"]
-                for k in range(last - first):
-                    found = matches(raw[borders[k] : borders[k + 1]].decode("utf-8", "replace"))
-                    state["places"].append(
-                        np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found))
-                    )
-                    state["sizes"].append(len(found))
-                state["ids"] += batch.column("doc_id")[first:last].to_pylist()
-                state["bytes"] += len(raw)
-                if state["bytes"] >= block:
-                    yield row()
-                    clear()
-        if state["ids"]:
-            yield row()
+            for first, last, data, at in blocks(batch.column("text"), BLOCK_BYTES // 2):
+                ids, sizes, texts, hashes, spans = state
+                rows = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+                borders = np.concatenate(([0], np.cumsum([len(x) for x in rows], dtype=np.int64)))
+                text = "".join(rows)
+                code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+                starts = piece_starts(code, borders) if len(code) else np.zeros(0, np.int64)
+                ends = np.append(starts[1:], len(code))[: len(starts)]
+                hashes.append(span_hashes(code, starts, ends))
+                spans.append(np.stack((starts, ends), axis=1) + done)
+                sizes.append(np.diff(np.searchsorted(starts, borders)))
+                texts.append(text)
+                ids += batch.column("doc_id")[first:last].to_pylist()
+                total, done = total + len(data), done + len(code)
+                if total >= block:
+                    yield row(*state)
+                    state, total, done = ([], [], [], [], []), 0, 0
+        if state[0]:
+            yield row(*state)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         split,
-        "doc_ids array<long>, sizes array<int>, places binary, "
-        "words array<array<bigint>>, known array<array<int>>",
+        "doc_ids array<long>, sizes array<int>, places binary, words array<array<bigint>>, known array<array<int>>",
     )
 
 
