@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, near_dup, packing, quality
+from . import bpe, line_dedup, near_dup, packing, quality, secrets
 
 QUERIES = {
+    "op1_secret_scans": secrets.op1_secret_scans,
     "op5_byte_level_bpe": bpe.op5_byte_level_bpe,
     "op6_minhash_near_dedup": near_dup.op6_minhash_near_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.OP8_SQL}
