@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, near_dup, packing, quality, secrets
+from . import bpe, line_dedup, near_dup, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_minhash_near_dedup": near_dup.op6_minhash_near_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.OP8_SQL}
