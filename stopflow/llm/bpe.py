@@ -14,7 +14,6 @@ encoded each; a null doc_id is kept; an empty table gives an empty result; other
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
@@ -205,7 +204,7 @@ def piece_starts(code: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def split_words(docs: DataFrame, path: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
-    """A row for each block: doc_ids, words in each, the word numbers of all texts, and the distinct words.
+    """A row for each block: its documents as the places of their words, and the distinct words.
 
     A word that is a token, or longer than LONG, has its ids in `known`; the others are in `words` for folded().
     Words of a block are told apart by a 64-bit hash.
@@ -238,16 +237,16 @@ def split_words(docs: DataFrame, path: str = VOCABULARY, block: int = BLOCK) ->
         linked = np.concatenate((pair_ranks(flat, path), [NO_MERGE])) if len(flat) else flat.astype(np.int64)
         linked[ends[1:][np.diff(ends) > 0] - 1] = NO_MERGE
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(linked * NO_MERGE + flat))
+        borders = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
+        texts_ = pa.ListArray.from_arrays(pa.array(borders), pa.array(places))
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
         return pa.RecordBatch.from_arrays(
             [
-                one(pa.array(ids, pa.int64())),
-                one(pa.array(np.concatenate(sizes).astype(np.int32))),
-                pa.array([places.tobytes()]),
+                one(pa.StructArray.from_arrays([pa.array(ids, pa.int64()), texts_], ["doc_id", "places"])),
                 one(lists),
                 one(pa.array(whole, pa.list_(pa.int32()))),
             ],
-            ["doc_ids", "sizes", "places", "words", "known"],
+            ["docs", "words", "known"],
         )
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,79 +275,79 @@ def split_words(docs: DataFrame, path: str = VOCABULARY, block: int = BLOCK) ->
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         split,
-        "doc_ids array<long>, sizes array<int>, places binary, words array<array<bigint>>, known array<array<int>>",
+        "docs array<struct<doc_id: long, places: array<int>>>, words array<array<bigint>>, known array<array<int>>",
     )
 
 
+def _bind(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def encode(docs: DataFrame, path: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
-    """Blocks with the ids of their distinct words: doc_ids, sizes, places, ids."""
+    """Blocks of documents: docs, as places among the block's words, and ids, those of each word."""
     ids = F.zip_with(folded(F.col("words"), path), "known", lambda a, b: F.coalesce(b, a))
-    return split_words(docs, path, block).select("doc_ids", "sizes", "places", ids.alias("ids"))
-
-
-def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """doc_ids, borders of the documents among the places, places, borders and ids of the words."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            words = batch.column("ids")[k].values
-            yield (
-                batch.column("doc_ids")[k].values.to_pylist(),
-                np.concatenate(([0], np.cumsum(batch.column("sizes")[k].values.to_numpy(zero_copy_only=False)))),
-                np.frombuffer(batch.column("places")[k].as_buffer(), np.int32),
-                words.offsets.to_numpy().astype(np.int64),
-                words.values.to_numpy(zero_copy_only=False),
-            )
+    return split_words(docs, path, block).select("docs", ids.alias("ids"))
 
 
 def tokens(encoded: DataFrame) -> DataFrame:
     """(doc_id, ids) of encoded blocks."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, borders, places, at, ids in _blocks_of(batches):
-            for k, doc_id in enumerate(doc_ids):
-                here = places[borders[k] : borders[k + 1]]
-                size = at[here + 1] - at[here]
-                ends = np.cumsum(size)
-                flat = np.repeat(at[here] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": pa.array([doc_id], pa.int64()), "ids": pa.array([ids[flat]], pa.list_(pa.int32()))}
-                )
+    def each(ids: Column) -> Column:
+        return F.transform(
+            "docs",
+            lambda d: F.struct(
+                d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["places"], lambda p: F.get(ids, p))).alias("ids")
+            ),
+        )
+
+    return encoded.select(F.inline(_bind(F.col("ids"), each)))
+
+
+def _pieces(path: str) -> Column:
+    """The bytes of each id, in hexadecimal."""
+    known = {i: b for b, i in ranks(path).items()}
+    return F.split(F.lit(",".join(known.get(i, b"").hex() for i in range(max(known) + 1))), ",")
+
 
-    return encoded.mapInArrow(each, "doc_id long, ids array<int>")
+def decode(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, bytes) of (doc_id, ids): the pieces of the ids, joined."""
+    pieces = _pieces(path)
+    text = F.array_join(F.transform("ids", lambda i: F.get(pieces, i)), "")
+    return rows.select("doc_id", F.unhex(text).alias("bytes"))
 
 
 def digests(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """n_tokens, and SHA-256 of the ids and of the bytes they decode to, for each document."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = {i: b for b, i in ranks(path).items()}
-        for doc_ids, borders, places, at, ids in _blocks_of(batches):
-            flat, cuts = ids.tolist(), at.tolist()
-            text = list(map(str, flat))
-            raw = [piece[i] for i in flat]
-            spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-            said = [",".join(text[a:b]).encode() for a, b in spans]
-            back = [b"".join(raw[a:b]) for a, b in spans]
-            total = np.concatenate(([0], np.cumsum((at[1:] - at[:-1])[places])))
-            rows = []
-            for k in range(len(doc_ids)):
-                here = places[borders[k] : borders[k + 1]].tolist()
-                rows.append(
-                    (
-                        hashlib.sha256(b",".join([said[w] for w in here])).hexdigest(),
-                        hashlib.sha256(b"".join([back[w] for w in here])).hexdigest(),
-                    )
-                )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(doc_ids, pa.int64()),
-                    pa.array(total[borders[1:]] - total[borders[:-1]]),
-                    *(pa.array([r[c] for r in rows], pa.string()) for c in (0, 1)),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    """n_tokens, and SHA-256 of the ids and of the bytes they decode to, for each document.
+
+    Each distinct word's ids are written out and decoded once for its block; a document joins those of its words.
+    """
+    pieces = _pieces(path)
+
+    def each(words: Column) -> Column:
+        said, back, size = (F.get(words, F.lit(k)) for k in range(3))
+
+        def one(d: Column) -> Column:
+            def joined(of: Column, by: str) -> Column:
+                return F.array_join(F.transform(d["places"], lambda p: F.get(of, p)), by)
+
+            return F.struct(
+                d["doc_id"].alias("doc_id"),
+                F.aggregate(d["places"], F.lit(0).cast("long"), lambda n, p: n + F.get(size, p).cast("long")).alias("n_tokens"),
+                F.sha2(joined(said, ","), 256).alias("ids_sha256"),
+                F.sha2(F.unhex(joined(back, "")), 256).alias("decoded_sha256"),
             )
 
-    return encoded.mapInArrow(each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        return F.transform("docs", one)
+
+    def forms(ids: Column) -> Column:
+        return F.array(
+            F.transform(ids, lambda x: F.array_join(x.cast("array<string>"), ",")),
+            F.transform(ids, lambda x: F.array_join(F.transform(x, lambda i: F.get(pieces, i)), "")),
+            F.transform(ids, lambda x: F.size(x).cast("string")),
+        )
+
+    return encoded.select(F.inline(_bind(_bind(F.col("ids"), forms), each)))
 
 
 def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
