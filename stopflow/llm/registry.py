@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, near_dup, packing, quality, secrets, toxicity
+from . import ann, bpe, line_dedup, near_dup, packing, quality, secrets, topk, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
+    "op3_approximate_nearest_neighbours": ann.op3_approximate_nearest_neighbours,
+    "op4_exact_topk": topk.op4_exact_topk,
     "op5_byte_level_bpe": bpe.op5_byte_level_bpe,
     "op6_minhash_near_dedup": near_dup.op6_minhash_near_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
