@@ -4,7 +4,8 @@ A block of documents becomes one row: its distinct words as arrays of byte ids w
 of its texts among them. In the JVM, `aggregate` folds over each word: a step finds the neighbours whose
 joined bytes have the least rank, the leftmost of equals, and merges them; ranks come from a literal table.
 The table maps a pair of ids to the rank of the joined bytes; it is laid out by hash and displacement, so a
-lookup is two array reads, and the ranks of neighbours that a merge leaves alone are kept. A word that is itself a token takes its own id. Words over LONG bytes, whose fold
+lookup is two array reads, and the ranks of neighbours that a merge leaves alone are kept. A word that is itself
+a token takes its own id. The frequent words of a bounded sample are folded once beforehand. Words over LONG bytes, whose fold
 would be quadratic, go through the same merges in a heap. Decoding joins the binary pieces of the ids.
 
 Defined cases: a null or empty text has no ids; texts of any length are used whole; repeated rows are
@@ -31,7 +32,10 @@ from .hashing import span_hashes
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bytes of text in a block, and the longest word that is folded.
-BLOCK, LONG = 16 << 20, 64
+BLOCK, LONG = 8 << 20, 64
+#: The words of this many documents, of their first SAMPLE_CHARS characters, are folded once beforehand: the
+#: most frequent SAMPLE_WORDS of them. A word that is missing there is folded in its block, so any sample will do.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 4096, 20_000, 1 << 18
 #: A lookup that finds no pair gives at least this; ids are below it.
 NO_MERGE = 1 << 16
 EMPTY = (1 << 48) - 1
@@ -203,48 +207,118 @@ def piece_starts(code: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def split_words(docs: DataFrame, path: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
+class Known:
+    """Ids of words by their hashes: hash k, sorted, has values[ends[k]:ends[k + 1]]."""
+
+    def __init__(self, hashes: np.ndarray, ids: list[list[int]]):
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        size = np.fromiter((len(ids[i]) for i in order), np.int64, len(order))
+        self.ends = np.concatenate(([0], np.cumsum(size)))
+        self.values = np.array([x for i in order for x in ids[i]], np.int32)
+
+    def lists(self, hashes: np.ndarray, long: dict[int, list[int]]) -> tuple[pa.Array, np.ndarray]:
+        """The ids of the words with these hashes, or of `long` by place, null where unknown; which are unknown."""
+        spot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        hit = self.hashes[spot] == hashes
+        first = np.where(hit, self.ends[spot], 0)
+        size = np.where(hit, self.ends[spot + 1] - self.ends[spot], 0)
+        values = self.values
+        if long:
+            at = np.array(list(long))
+            size[at], hit[at] = [len(x) for x in long.values()], True
+            first[at] = len(values) + np.concatenate(([0], np.cumsum(size[at])[:-1]))
+            values = np.concatenate((values, np.concatenate([np.array(x, np.int32) for x in long.values()])))
+        ends = np.concatenate(([0], np.cumsum(size)))
+        flat = values[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=pa.array(~hit))
+        return lists, ~hit
+
+
+def _hashed(rows: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' text, the spans of its words, their hashes, and the number of words in each row."""
+    borders = np.concatenate(([0], np.cumsum([len(x) for x in rows], dtype=np.int64)))
+    text = "".join(rows)
+    code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    starts = piece_starts(code, borders) if len(code) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(code))[: len(starts)]
+    spans = np.stack((starts, ends), axis=1)
+    return text, spans, span_hashes(code, starts, ends), np.diff(np.searchsorted(starts, borders))
+
+
+def _packed(words: list[bytes], path: str) -> pa.Array:
+    """What folded() takes: for each byte of a word, the rank of it and its neighbour * 2^16 + its id."""
+    known = ranks(path)
+    byte = np.array([known[bytes([b])] for b in range(256)], np.int64)
+    ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
+    flat = byte[np.frombuffer(b"".join(words), np.uint8)]
+    linked = np.concatenate((pair_ranks(flat, path), [NO_MERGE])) if len(flat) else flat
+    linked[ends[1:][np.diff(ends) > 0] - 1] = NO_MERGE
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(linked * NO_MERGE + flat))
+
+
+def known_words(docs: DataFrame, path: str = VOCABULARY) -> Known:
+    """The tokens of the vocabulary, and the frequent words of a bounded sample, folded."""
+    ids: dict[str, list[int]] = {}
+    for token, rank in ranks(path).items():
+        try:
+            ids[token.decode()] = [rank]
+        except UnicodeDecodeError:
+            continue  # no text is such bytes alone
+    head = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_DOCS).toArrow()
+    text, spans, hashes, _ = _hashed([x for x in head["text"].to_pylist() if x])
+    places, found = pd.factorize(hashes)
+    first = np.zeros(len(found), np.int64)
+    first[places[::-1]] = np.arange(len(places) - 1, -1, -1)
+    often = np.argsort(-np.bincount(places, minlength=len(found)), kind="stable")[:SAMPLE_WORDS]
+    words = [w for a, b in spans[first[often]].tolist() if (w := text[a:b]) not in ids and len(w.encode()) <= LONG]
+    chunks = [words[k : k + 8192] for k in range(0, len(words), 8192)]
+    if chunks:
+        lists = [_packed([w.encode() for w in c], path) for c in chunks]
+        ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32))
+        rows = pa.table({"k": pa.array(range(len(chunks))), "words": pa.ListArray.from_arrays(ends, pa.concat_arrays(lists))})
+        spread = docs.sparkSession.createDataFrame(rows).repartition(len(chunks), "k")
+        done = spread.select("k", folded(F.col("words"), path).alias("ids")).toArrow()
+        for k, values in zip(done["k"].to_pylist(), done["ids"].to_pylist(), strict=True):
+            ids.update(zip(chunks[k], values, strict=True))
+    every = list(ids)
+    return Known(_each_hash(every), list(ids.values()))
+
+
+def _each_hash(words: list[str]) -> np.ndarray:
+    """The hash of each text taken as one word."""
+    ends = np.cumsum([len(w) for w in words])
+    code = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+    return span_hashes(code, ends - np.array([len(w) for w in words]), ends)
+
+
+def split_words(docs: DataFrame, known: Known, path: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
     """A row for each block: its documents as the places of their words, and the distinct words.
 
-    A word that is a token, or longer than LONG, has its ids in `known`; the others are in `words` for folded().
-    Words of a block are told apart by a 64-bit hash.
+    The ids of known words, and of those longer than LONG, are in `known`; the others are in `words` for
+    folded(). Words are told apart by a 64-bit hash.
     """
 
-    def numbered(texts: list[str], hashes: list[np.ndarray], spans: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
-        places, found = pd.factorize(np.concatenate(hashes))
-        first = np.empty(len(found), np.int64)
-        first[places[::-1]] = np.arange(len(places) - 1, -1, -1)
-        text, span = "".join(texts), np.concatenate(spans)[first].tolist()
-        return places.astype(np.int32), [text[a:b].encode() for a, b in span]
-
     def row(ids: list, sizes: list, texts: list, hashes: list, spans: list) -> pa.RecordBatch:
-        known = ranks(path)
-        byte = np.array([known[bytes([b])] for b in range(256)], np.int32)
-        places, distinct = numbered(texts, hashes, spans)
-        words, whole = [], []
-        for raw in distinct:
-            if (rank := known.get(raw)) is not None:
-                words.append(b"")
-                whole.append([rank])
-            elif len(raw) > LONG:
-                words.append(b"")
-                whole.append(merge_long(raw, known))
-            else:
-                words.append(raw)
-                whole.append(None)
-        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
-        flat = byte[np.frombuffer(b"".join(words), np.uint8)]
-        linked = np.concatenate((pair_ranks(flat, path), [NO_MERGE])) if len(flat) else flat.astype(np.int64)
-        linked[ends[1:][np.diff(ends) > 0] - 1] = NO_MERGE
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(linked * NO_MERGE + flat))
+        places, distinct = pd.factorize(np.concatenate(hashes))
+        first = np.empty(len(distinct), np.int64)
+        first[places[::-1]] = np.arange(len(places) - 1, -1, -1)
+        span = np.concatenate(spans)[first]
+        text = "".join(texts)
+        wide = np.flatnonzero(span[:, 1] - span[:, 0] > LONG // 4)
+        far = {int(k): w for k in wide if len(w := text[span[k, 0] : span[k, 1]].encode()) > LONG}
+        lists, unknown = known.lists(distinct, {k: merge_long(w, ranks(path)) for k, w in far.items()})
+        words = [b""] * len(distinct)
+        for k in np.flatnonzero(unknown).tolist():
+            words[k] = text[span[k, 0] : span[k, 1]].encode()
         borders = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
-        texts_ = pa.ListArray.from_arrays(pa.array(borders), pa.array(places))
+        inner = pa.ListArray.from_arrays(pa.array(borders), pa.array(places.astype(np.int32)))
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
         return pa.RecordBatch.from_arrays(
             [
-                one(pa.StructArray.from_arrays([pa.array(ids, pa.int64()), texts_], ["doc_id", "places"])),
+                one(pa.StructArray.from_arrays([pa.array(ids, pa.int64()), inner], ["doc_id", "places"])),
+                one(_packed(words, path)),
                 one(lists),
-                one(pa.array(whole, pa.list_(pa.int32()))),
             ],
             ["docs", "words", "known"],
         )
@@ -256,17 +330,11 @@ def split_words(docs: DataFrame, path: str = VOCABULARY, block: int = BLOCK) ->
             for first, last, data, at in blocks(batch.column("text"), BLOCK_BYTES // 2):
                 ids, sizes, texts, hashes, spans = state
                 rows = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
-                borders = np.concatenate(([0], np.cumsum([len(x) for x in rows], dtype=np.int64)))
-                text = "".join(rows)
-                code = np.frombuffer(text.encode("utf-32-le"), "<u4")
-                starts = piece_starts(code, borders) if len(code) else np.zeros(0, np.int64)
-                ends = np.append(starts[1:], len(code))[: len(starts)]
-                hashes.append(span_hashes(code, starts, ends))
-                spans.append(np.stack((starts, ends), axis=1) + done)
-                sizes.append(np.diff(np.searchsorted(starts, borders)))
-                texts.append(text)
+                text, span, h, size = _hashed(rows)
+                for to, value in ((sizes, size), (texts, text), (hashes, h), (spans, span + done)):
+                    to.append(value)
                 ids += batch.column("doc_id")[first:last].to_pylist()
-                total, done = total + len(data), done + len(code)
+                total, done = total + len(data), done + len(text)
                 if total >= block:
                     yield row(*state)
                     state, total, done = ([], [], [], [], []), 0, 0
@@ -287,7 +355,7 @@ def _bind(value: Column, body) -> Column:
 def encode(docs: DataFrame, path: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
     """Blocks of documents: docs, as places among the block's words, and ids, those of each word."""
     ids = F.zip_with(folded(F.col("words"), path), "known", lambda a, b: F.coalesce(b, a))
-    return split_words(docs, path, block).select("docs", ids.alias("ids"))
+    return split_words(docs, known_words(docs, path), path, block).select("docs", ids.alias("ids"))
 
 
 def tokens(encoded: DataFrame) -> DataFrame:
