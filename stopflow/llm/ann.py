@@ -5,7 +5,7 @@ query a zero there, so the nearest extended vector has the largest product. A ra
 each vector's length over all dimensions. Lists are k-means cells, fitted on a bounded sample; every row is
 in the list of its nearest centre. A query scans its PROBES nearest lists, in column blocks of WIDTH rotated
 dimensions: after each block a row is abandoned when its partial distance, scaled to all dimensions, exceeds
-the query's k-th best by more than the test's margin (Gao, Long, "High-dimensional approximate nearest
+the query's bound, its k-th best distance to the sample, by more than the test's margin (Gao, Long, "High-dimensional approximate nearest
 neighbor search: with reliable and efficient distance comparison operations", SIGMOD 2023). The rows left are
 scored exactly on the original vectors.
 
@@ -35,8 +35,10 @@ EVERY, K = 20, 20
 SAMPLE_ROWS, LISTS, PROBES = 8192, 64, 42
 #: Width of a column block, and the margin of the test in units of 1 / sqrt(dimensions read).
 WIDTH, MARGIN = 16, 2.1
-#: Rows and queries that meet in one task, about; rows of which a list gets its first bound.
-PART_ROWS, PART_QUERIES, FIRST = 4096, 512, 256
+#: Pairs are taken one by one once this share of a block is left.
+SPARSE = 0.05
+#: Rows and queries that meet in one task, about.
+PART_ROWS, PART_QUERIES = 4096, 512
 
 
 class Index:
@@ -48,11 +50,13 @@ class Index:
         self.reach = reach
         self.rotation = np.linalg.qr(random.normal(size=(width, width)))[0]
         x = self.extended(sample)
+        self.sample = x
         self.centres = x[random.choice(len(x), min(lists, len(x)), replace=False)]
         for _ in range(10):
             near = self.distances(x).argmin(axis=1)
             for c in np.unique(near):
                 self.centres[c] = x[near == c].mean(axis=0)
+        self.sample_list = self.distances(x).argmin(axis=1)
 
     def extended(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         more = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.reach**2 - (x * x).sum(axis=1), 0.0))
@@ -61,24 +65,38 @@ class Index:
     def distances(self, x: np.ndarray) -> np.ndarray:
         return (self.centres**2).sum(axis=1) - 2.0 * x @ self.centres.T
 
-    def scan(self, x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, row) that no test abandons, among extended rows x and queries q."""
-        width = x.shape[1]
-        first = ((x[None, :FIRST] - q[:, None]) ** 2).sum(axis=2)
-        if first.shape[1] < k:
-            return tuple(np.indices((len(q), len(x))).reshape(2, -1))
-        bound = np.partition(first, k - 1, axis=1)[:, k - 1]
-        slack = 1e-9 * (1.0 + self.reach**2)
-        part = slice(0, min(WIDTH, width))
-        partial = (q[:, part] ** 2).sum(axis=1)[:, None] + (x[:, part] ** 2).sum(axis=1) - 2.0 * q[:, part] @ x[:, part].T
-        at, row = np.nonzero(partial * width / part.stop <= (bound * (1 + MARGIN / part.stop**0.5) ** 2 + slack)[:, None])
-        partial = partial[at, row]
-        while part.stop < width:
-            part = slice(part.stop, min(part.stop + WIDTH, width))
-            partial = partial + ((q[at, part] - x[row, part]) ** 2).sum(axis=1)
-            margin = (1 + MARGIN / part.stop**0.5) ** 2 if part.stop < width else 1.0
-            kept = partial * (width / part.stop) <= bound[at] * margin + slack
-            at, row, partial = at[kept], row[kept], partial[kept]
+    def bounds(self, q: np.ndarray, probed: np.ndarray, k: int) -> np.ndarray:
+        """For each extended query, the k-th smallest distance to the sample rows of its probed lists.
+
+        It is no less than the k-th smallest to all rows of these lists; infinite where the sample has too few.
+        """
+        if len(self.sample) < k:
+            return np.full(len(q), np.inf)
+        far = (q**2).sum(axis=1)[:, None] + (self.sample**2).sum(axis=1) - 2.0 * q @ self.sample.T
+        far[~probed[:, self.sample_list]] = np.inf
+        return np.partition(far, k - 1, axis=1)[:, k - 1]
+
+    def scan(self, x: np.ndarray, q: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, row) that no test abandons, among extended rows x and queries q with their bounds.
+
+        All pairs of a block are taken at once until few are left, then those alone.
+        """
+        width, slack = x.shape[1], 1e-9 * (1.0 + self.reach**2)
+        partial, at, row = np.zeros((len(q), len(x))), None, None
+        for start in range(0, width, WIDTH):
+            stop = min(start + WIDTH, width)
+            u, v = q[:, start:stop], x[:, start:stop]
+            margin = (1 + MARGIN / stop**0.5) ** 2 * stop / width if stop < width else 1.0
+            if at is None:
+                partial += (u**2).sum(axis=1)[:, None] + (v**2).sum(axis=1) - 2.0 * u @ v.T
+                kept = partial <= (bound * margin + slack)[:, None]
+                if stop == width or kept.mean() < SPARSE:
+                    at, row = np.nonzero(kept)
+                    partial = partial[at, row]
+            else:
+                partial = partial + ((u[at] - v[row]) ** 2).sum(axis=1)
+                kept = partial <= bound[at] * margin + slack
+                at, row, partial = at[kept], row[kept], partial[kept]
         return at, row
 
 
@@ -112,12 +130,18 @@ def search(rows: DataFrame, every: int = EVERY, k: int = K, lists: int = LISTS,
             filled = np.cumsum(sizes[near], axis=1) - sizes[near] < enough
             filled[:, :probes] = True
             at, place = np.nonzero(filled)
+            probed = np.zeros((len(q), lists), bool)
+            probed[at, near[at, place]] = True
             yield pa.RecordBatch.from_arrays(
-                [*(c.take(pa.array(at)) for c in batch.columns), pa.array(near[at, place].astype(np.int32))],
-                ["query_id", "embedding", "list"],
+                [
+                    *(c.take(pa.array(at)) for c in batch.columns),
+                    pa.array(near[at, place].astype(np.int32)),
+                    pa.array(index.bounds(q, probed, k + 1)[at]),
+                ],
+                ["query_id", "embedding", "list", "bound"],
             )
 
-    asked = saved(queries(listed.drop("list"), every).mapInArrow(probe, "query_id long, embedding array<double>, list int"), "probes")
+    asked = saved(queries(listed.drop("list"), every).mapInArrow(probe, "query_id long, embedding array<double>, list int, bound double"), "probes")
     wanted = np.zeros(lists, np.int64)
     for r in asked.groupBy("list").count().collect():
         wanted[r["list"]] = r["count"]
@@ -132,7 +156,7 @@ def search(rows: DataFrame, every: int = EVERY, k: int = K, lists: int = LISTS,
         if rows.num_rows and asked.num_rows:
             ids, who = rows.column("vec_id").to_numpy(), asked.column("query_id").to_numpy()
             x, q = matrix(rows.column("embedding")), matrix(asked.column("embedding"))
-            at, row = index.scan(index.extended(x), index.extended(q, query=True), k + 1)
+            at, row = index.scan(index.extended(x), index.extended(q, query=True), asked.column("bound").to_numpy())
             other = ids[row] != who[at]
             at, row = at[other], row[other]
             score = np.empty(len(at))
