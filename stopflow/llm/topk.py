@@ -25,53 +25,50 @@ from .vectors import best, matrix, queries, salt, valid
 
 SCALE, EVERY, K = 256, 50, 5
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 256
-#: Parts of the lists that are read in turn; resolved once at most this part of the rows is left.
-STEPS, FEW = 16, 0.05
+#: Depths to which the lists are read in turn; scores are resolved once at most the share FEW of the rows is left.
+PARTS, FEW = (0.25, 0.5, 0.7, 0.85, 1.0), 0.05
 
 
 def integers(x: np.ndarray) -> np.ndarray:
     return np.floor(SCALE * x.astype(np.float64)).astype(np.int64)
 
 
-class Lists:
-    """The sorted lists of a block of rows."""
-
-    def __init__(self, rows: np.ndarray):
-        self.rows = rows
-        up = np.argsort(rows, axis=0, kind="stable").astype(np.int32)
-        values = np.take_along_axis(rows, up, axis=0).astype(np.float64)
-        self.order, self.values = (up, up[::-1]), (values, values[::-1])
-
-    def top(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Places of all rows that can be among the k best, found by sequential reading only."""
-        n, width = self.rows.shape
-        if n <= k:
-            return np.arange(n)
-        weight = query.astype(np.float64)
-        down, up = np.flatnonzero(weight > 0), np.flatnonzero(weight < 0)
-        read = np.concatenate((down, up))
-        if not len(read):
-            return np.arange(n)
-        weight = weight[read]
-        least = np.concatenate((self.values[0][0, down], self.values[1][0, up])) * weight
-        partial, unread = np.zeros(n), np.ones((n, len(read)))
-        place = np.arange(len(read))
-        for step in range(STEPS):
-            a, b = n * step // STEPS, n * (step + 1) // STEPS
-            who = np.concatenate((self.order[1][a:b, down], self.order[0][a:b, up]), axis=1)
-            value = np.concatenate((self.values[1][a:b, down], self.values[0][a:b, up]), axis=1) * weight
-            partial += np.bincount(who.ravel(), value.ravel(), minlength=n)
-            unread[who, place] = 0.0
-            if step < 2 and STEPS > 4:
-                continue
-            most = value[-1]
-            lower, upper = partial + unread @ least, partial + unread @ most
-            bar = np.partition(lower, n - k)[n - k]
-            slack = 1e-9 * (1.0 + np.abs(bar) + np.abs(most).sum())
-            left = np.flatnonzero(upper >= bar - slack)
-            if most.sum() < bar - slack and len(left) <= max(FEW * n, 4 * k):
-                return left
-        return left
+def candidates(rows: np.ndarray, asked: np.ndarray, k: np.ndarray) -> list[np.ndarray]:
+    """For each query, the places of all rows that can be among its k best.
+
+    A dimension has one list of the rows, sorted by value, which a query reads from the end that suits the
+    sign of its component. All queries read to the same depth; what they have read of a row is then known by
+    its ranks, so the bounds of all rows for all queries are two matrix products over integers in doubles.
+    """
+    n, width = rows.shape
+    order = np.argsort(rows, axis=0, kind="stable")
+    values = np.take_along_axis(rows, order, axis=0).astype(np.float64)
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
+    x = rows.astype(np.float64)
+    weight = np.concatenate((np.maximum(asked, 0), np.minimum(asked, 0)), axis=1).astype(np.float64).T
+    out: list[np.ndarray] = [np.arange(n)] * len(asked)
+    active = np.flatnonzero(k < n)
+    for part in PARTS:
+        if not len(active):
+            break
+        read = max(1, int(n * part))
+        seen = np.concatenate((rank >= n - read, rank < read), axis=1)
+        known = np.concatenate((x, x), axis=1)
+        next_ = np.concatenate((values[n - read], values[read - 1]))  # the last values read bound all unread ones
+        far = np.concatenate((values[0], values[-1]))  # the other ends
+        lower = weight[:, active].T @ np.where(seen, known, far).T
+        bar = np.array([np.partition(row, n - m)[n - m] for row, m in zip(lower, k[active], strict=True)])
+        bar -= 1e-9 * (1.0 + np.abs(bar))  # doubles hold the products exactly up to 2^53
+        ready = np.flatnonzero((next_ @ weight[:, active] < bar) | (read == n))  # no unseen row can qualify
+        upper = weight[:, active[ready]].T @ np.where(seen, known, next_).T
+        done = np.zeros(len(active), bool)
+        for place, row in zip(ready.tolist(), upper, strict=True):
+            left = np.flatnonzero(row >= bar[place])
+            if len(left) <= max(FEW * n, 4 * k[active[place]]) or read == n:
+                out[active[place]], done[place] = left, True
+        active = active[~done]
+    return out
 
 
 def search(rows: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
@@ -91,10 +88,9 @@ def search(rows: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
         x, q = integers(matrix(rows.column("embedding"))), integers(matrix(asked.column("embedding")))
         out: list[tuple] = []
         if len(ids) and len(wanted):
-            lists = Lists(x)
             often = {i: int(n) for i, n in zip(*np.unique(ids, return_counts=True), strict=True)}
-            for one, query in zip(wanted.tolist(), q, strict=True):
-                left = lists.top(query, k + often.get(one, 0))
+            own = np.array([k + often.get(one, 0) for one in wanted.tolist()])
+            for one, query, left in zip(wanted.tolist(), q, candidates(x, q, own), strict=True):
                 left = left[ids[left] != one]
                 score = (x[left] * query).sum(axis=1)
                 out += [(one, int(ids[left[p]]), int(score[p])) for p in best(score, ids[left], k)]
