@@ -35,7 +35,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BLOCK, LONG = 8 << 20, 64
 #: The words of this many documents, of their first SAMPLE_CHARS characters, are folded once beforehand: the
 #: most frequent SAMPLE_WORDS of them. A word that is missing there is folded in its block, so any sample will do.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 4096, 20_000, 1 << 18
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 2048, 20_000, 1 << 17
 #: A lookup that finds no pair gives at least this; ids are below it.
 NO_MERGE = 1 << 16
 EMPTY = (1 << 48) - 1
@@ -62,7 +62,7 @@ def pair_table(path: str) -> tuple[np.ndarray, np.ndarray]:
             left, right = known.get(token[:cut]), known.get(token[cut:])
             if left is not None and right is not None:
                 packed[left * NO_MERGE + right] = rank
-    size, groups = 4 * len(packed) | 1, len(packed) | 1
+    size, groups = 2 * len(packed) | 1, len(packed) | 1
     while True:
         members: dict[int, list[int]] = {}
         for key in packed:
@@ -81,6 +81,11 @@ def pair_table(path: str) -> tuple[np.ndarray, np.ndarray]:
         size, groups = size + 2, groups + 2
 
 
+def _bind(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _literal(values: np.ndarray, kind: str) -> Column:
     """A literal array; the optimiser folds the text into it once."""
     return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast(f"array<{kind}>")
@@ -98,11 +103,14 @@ def folded(words: Column, path: str = VOCABULARY) -> Column:
     """Ids of each word, from array<array<bigint>>: for each byte, rank of it and its neighbour * 2^16 + its id."""
     shift, entries = pair_table(path)
     moves, table_ = _literal(shift, "int"), _literal(entries, "bigint")
+    return _bind(moves, lambda m: _bind(table_, lambda t: _folded(words, m, len(shift), t, len(entries))))
+
 
+def _folded(words: Column, moves: Column, groups: int, table_: Column, size: int) -> Column:
     def part(left: Column, right: Column) -> Column:
         """The entry of a part `left` that `right` follows."""
         key = F.shiftleft(left, 16).bitwiseOR(right)
-        spot = (key % len(entries) + F.get(moves, (key % len(shift)).cast("int"))) % len(entries)
+        spot = (key % size + F.get(moves, (key % groups).cast("int"))) % size
         found = F.pmod(F.get(table_, spot.cast("int")) - F.shiftleft(key, 16), F.lit(1 << 50))
         return F.shiftleft(F.least(found, F.lit(NO_MERGE)), 16).bitwiseOR(left)
 
@@ -208,21 +216,19 @@ def piece_starts(code: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Known:
-    """Ids of words by their hashes: hash k, sorted, has values[ends[k]:ends[k + 1]]."""
+    """Ids of words by their hashes: hash k, sorted, has values[first[k]:first[k] + size[k]]."""
 
-    def __init__(self, hashes: np.ndarray, ids: list[list[int]]):
+    def __init__(self, hashes: np.ndarray, size: np.ndarray, values: np.ndarray):
         order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        size = np.fromiter((len(ids[i]) for i in order), np.int64, len(order))
-        self.ends = np.concatenate(([0], np.cumsum(size)))
-        self.values = np.array([x for i in order for x in ids[i]], np.int32)
+        first = np.cumsum(size) - size
+        self.hashes, self.first, self.size = hashes[order], first[order], size[order]
+        self.values = values.astype(np.int32)
 
     def lists(self, hashes: np.ndarray, long: dict[int, list[int]]) -> tuple[pa.Array, np.ndarray]:
         """The ids of the words with these hashes, or of `long` by place, null where unknown; which are unknown."""
         spot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         hit = self.hashes[spot] == hashes
-        first = np.where(hit, self.ends[spot], 0)
-        size = np.where(hit, self.ends[spot + 1] - self.ends[spot], 0)
+        first, size = np.where(hit, self.first[spot], 0), np.where(hit, self.size[spot], 0)
         values = self.values
         if long:
             at = np.array(list(long))
@@ -259,30 +265,33 @@ def _packed(words: list[bytes], path: str) -> pa.Array:
 
 def known_words(docs: DataFrame, path: str = VOCABULARY) -> Known:
     """The tokens of the vocabulary, and the frequent words of a bounded sample, folded."""
-    ids: dict[str, list[int]] = {}
+    tokens_: dict[str, int] = {}
     for token, rank in ranks(path).items():
         try:
-            ids[token.decode()] = [rank]
+            tokens_[token.decode()] = rank
         except UnicodeDecodeError:
             continue  # no text is such bytes alone
+    hashes, size = [_each_hash(list(tokens_))], [np.ones(len(tokens_), np.int64)]
+    values = [np.array(list(tokens_.values()), np.int32)]
     head = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_DOCS).toArrow()
-    text, spans, hashes, _ = _hashed([x for x in head["text"].to_pylist() if x])
-    places, found = pd.factorize(hashes)
-    first = np.zeros(len(found), np.int64)
+    text, spans, found, _ = _hashed([x for x in head["text"].to_pylist() if x])
+    places, distinct = pd.factorize(found)
+    first = np.zeros(len(distinct), np.int64)
     first[places[::-1]] = np.arange(len(places) - 1, -1, -1)
-    often = np.argsort(-np.bincount(places, minlength=len(found)), kind="stable")[:SAMPLE_WORDS]
-    words = [w for a, b in spans[first[often]].tolist() if (w := text[a:b]) not in ids and len(w.encode()) <= LONG]
-    chunks = [words[k : k + 8192] for k in range(0, len(words), 8192)]
+    often = np.argsort(-np.bincount(places, minlength=len(distinct)), kind="stable")[:SAMPLE_WORDS]
+    words = [w for a, b in spans[first[often]].tolist() if (w := text[a:b]) not in tokens_ and len(w.encode()) <= LONG]
+    chunks = [words[k : k + 4096] for k in range(0, len(words), 4096)]
     if chunks:
         lists = [_packed([w.encode() for w in c], path) for c in chunks]
         ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32))
         rows = pa.table({"k": pa.array(range(len(chunks))), "words": pa.ListArray.from_arrays(ends, pa.concat_arrays(lists))})
         spread = docs.sparkSession.createDataFrame(rows).repartition(len(chunks), "k")
-        done = spread.select("k", folded(F.col("words"), path).alias("ids")).toArrow()
-        for k, values in zip(done["k"].to_pylist(), done["ids"].to_pylist(), strict=True):
-            ids.update(zip(chunks[k], values, strict=True))
-    every = list(ids)
-    return Known(_each_hash(every), list(ids.values()))
+        done = spread.select("k", folded(F.col("words"), path).alias("ids")).toArrow().sort_by("k").combine_chunks()
+        ids = pa.concat_arrays(done["ids"].chunks).flatten()
+        hashes.append(_each_hash(words))
+        size.append(np.diff(ids.offsets.to_numpy())[: len(ids)].astype(np.int64))
+        values.append(ids.flatten().to_numpy(zero_copy_only=False))
+    return Known(*(np.concatenate(x) for x in (hashes, size, values)))
 
 
 def _each_hash(words: list[str]) -> np.ndarray:
@@ -347,11 +356,6 @@ def split_words(docs: DataFrame, known: Known, path: str = VOCABULARY, block: in
     )
 
 
-def _bind(value: Column, body) -> Column:
-    """body(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def encode(docs: DataFrame, path: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
     """Blocks of documents: docs, as places among the block's words, and ids, those of each word."""
     ids = F.zip_with(folded(F.col("words"), path), "known", lambda a, b: F.coalesce(b, a))
