@@ -15,6 +15,7 @@ encoded each; a null doc_id is kept; an empty table gives an empty result; other
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
@@ -274,7 +275,14 @@ def known_words(docs: DataFrame, path: str = VOCABULARY) -> Known:
     hashes, size = [_each_hash(list(tokens_))], [np.ones(len(tokens_), np.int64)]
     values = [np.array(list(tokens_.values()), np.int32)]
     head = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_DOCS).toArrow()
-    text, spans, found, _ = _hashed([x for x in head["text"].to_pylist() if x])
+    parts, done_ = [], 0
+    for batch in head.to_batches(max_chunksize=128):
+        part = _hashed([x for x in batch.column("text").to_pylist() if x])
+        parts.append((part[0], part[1] + done_, part[2]))
+        done_ += len(part[0])
+    text = "".join(t for t, _, _ in parts)
+    spans = np.concatenate([np.zeros((0, 2), np.int64), *(p[1] for p in parts)])
+    found = np.concatenate([np.zeros(0, np.uint64), *(p[2] for p in parts)])
     places, distinct = pd.factorize(found)
     first = np.zeros(len(distinct), np.int64)
     first[places[::-1]] = np.arange(len(places) - 1, -1, -1)
@@ -394,32 +402,35 @@ def digests(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     Each distinct word's ids are written out and decoded once for its block; a document joins those of its words.
     """
-    pieces = _pieces(path)
-
-    def each(words: Column) -> Column:
-        said, back, size = (F.get(words, F.lit(k)) for k in range(3))
-
-        def one(d: Column) -> Column:
-            def joined(of: Column, by: str) -> Column:
-                return F.array_join(F.transform(d["places"], lambda p: F.get(of, p)), by)
-
-            return F.struct(
-                d["doc_id"].alias("doc_id"),
-                F.aggregate(d["places"], F.lit(0).cast("long"), lambda n, p: n + F.get(size, p).cast("long")).alias("n_tokens"),
-                F.sha2(joined(said, ","), 256).alias("ids_sha256"),
-                F.sha2(F.unhex(joined(back, "")), 256).alias("decoded_sha256"),
-            )
 
-        return F.transform("docs", one)
-
-    def forms(ids: Column) -> Column:
-        return F.array(
-            F.transform(ids, lambda x: F.array_join(x.cast("array<string>"), ",")),
-            F.transform(ids, lambda x: F.array_join(F.transform(x, lambda i: F.get(pieces, i)), "")),
-            F.transform(ids, lambda x: F.size(x).cast("string")),
+    def rows(docs: pa.Array, words: pa.Array, piece: dict[int, bytes]) -> pa.RecordBatch:
+        doc_ids, places = docs.field("doc_id"), docs.field("places")
+        at = words.offsets.to_numpy().astype(np.int64)
+        ids, at = words.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], at - at[0]
+        flat, cuts = ids.tolist(), at.tolist()
+        text, raw = list(map(str, flat)), [piece[i] for i in flat]
+        said = [",".join(text[a:b]).encode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        back = [b"".join(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        borders = places.offsets.to_numpy()
+        flat_places, borders = places.values.to_numpy(zero_copy_only=False)[borders[0] : borders[-1]], borders - borders[0]
+        total = np.concatenate(([0], np.cumsum(np.diff(at)[flat_places])))
+        hashes = ([], [])
+        for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+            here = flat_places[a:b].tolist()
+            hashes[0].append(hashlib.sha256(b",".join([said[w] for w in here])).hexdigest())
+            hashes[1].append(hashlib.sha256(b"".join([back[w] for w in here])).hexdigest())
+        return pa.RecordBatch.from_arrays(
+            [doc_ids.cast(pa.int64()), pa.array(total[borders[1:]] - total[borders[:-1]]), *map(pa.array, hashes)],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
-    return encoded.select(F.inline(_bind(_bind(F.col("ids"), forms), each)))
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = {i: b for b, i in ranks(path).items()}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield rows(batch.column("docs")[k].values, batch.column("ids")[k].values, piece)
+
+    return encoded.mapInArrow(each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
