@@ -87,9 +87,10 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _literal(values: np.ndarray, kind: str) -> Column:
-    """A literal array; the optimiser folds the text into it once."""
-    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast(f"array<{kind}>")
+def _constant(spark: SparkSession, **values: np.ndarray) -> Column:
+    """A literal row of arrays, as a scalar subquery: plans name it where an inline literal would be written out."""
+    row = pa.table({name: pa.array([v], pa.list_(pa.from_numpy_dtype(v.dtype))) for name, v in values.items()})
+    return spark.createDataFrame(row).select(F.struct(*values)).scalar()
 
 
 def pair_ranks(ids: np.ndarray, path: str) -> np.ndarray:
@@ -100,11 +101,16 @@ def pair_ranks(ids: np.ndarray, path: str) -> np.ndarray:
     return np.where((found >= 0) & (found < NO_MERGE), found, NO_MERGE)
 
 
-def folded(words: Column, path: str = VOCABULARY) -> Column:
+def with_ranks(blocks_: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """blocks with the literal rank map in a column `ranks`, for folded()."""
+    shift, entries = pair_table(path)
+    return blocks_.withColumn("ranks", _constant(blocks_.sparkSession, moves=shift.astype(np.int32), entries=entries))
+
+
+def folded(words: Column, table_: Column, path: str = VOCABULARY) -> Column:
     """Ids of each word, from array<array<bigint>>: for each byte, rank of it and its neighbour * 2^16 + its id."""
     shift, entries = pair_table(path)
-    moves, table_ = _literal(shift, "int"), _literal(entries, "bigint")
-    return _bind(moves, lambda m: _bind(table_, lambda t: _folded(words, m, len(shift), t, len(entries))))
+    return _bind(table_, lambda t: _folded(words, t["moves"], len(shift), t["entries"], len(entries)))
 
 
 def _folded(words: Column, moves: Column, groups: int, table_: Column, size: int) -> Column:
@@ -274,10 +280,10 @@ def known_words(docs: DataFrame, path: str = VOCABULARY) -> Known:
             continue  # no text is such bytes alone
     hashes, size = [_each_hash(list(tokens_))], [np.ones(len(tokens_), np.int64)]
     values = [np.array(list(tokens_.values()), np.int32)]
-    head = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_DOCS).toArrow()
+    head = [r[0] for r in docs.select(F.substring("text", 1, SAMPLE_CHARS)).head(SAMPLE_DOCS) if r[0]]
     parts, done_ = [], 0
-    for batch in head.to_batches(max_chunksize=128):
-        part = _hashed([x for x in batch.column("text").to_pylist() if x])
+    for k in range(0, len(head), 32):
+        part = _hashed(head[k : k + 32])
         parts.append((part[0], part[1] + done_, part[2]))
         done_ += len(part[0])
     text = "".join(t for t, _, _ in parts)
@@ -294,7 +300,7 @@ def known_words(docs: DataFrame, path: str = VOCABULARY) -> Known:
         ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32))
         rows = pa.table({"k": pa.array(range(len(chunks))), "words": pa.ListArray.from_arrays(ends, pa.concat_arrays(lists))})
         spread = docs.sparkSession.createDataFrame(rows).repartition(len(chunks), "k")
-        done = spread.select("k", folded(F.col("words"), path).alias("ids")).toArrow().sort_by("k").combine_chunks()
+        done = with_ranks(spread, path).select("k", folded(F.col("words"), F.col("ranks"), path).alias("ids")).toArrow().sort_by("k").combine_chunks()
         ids = pa.concat_arrays(done["ids"].chunks).flatten()
         hashes.append(_each_hash(words))
         size.append(np.diff(ids.offsets.to_numpy())[: len(ids)].astype(np.int64))
@@ -366,8 +372,8 @@ def split_words(docs: DataFrame, known: Known, path: str = VOCABULARY, block: in
 
 def encode(docs: DataFrame, path: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
     """Blocks of documents: docs, as places among the block's words, and ids, those of each word."""
-    ids = F.zip_with(folded(F.col("words"), path), "known", lambda a, b: F.coalesce(b, a))
-    return split_words(docs, known_words(docs, path), path, block).select("docs", ids.alias("ids"))
+    ids = F.zip_with(folded(F.col("words"), F.col("ranks"), path), "known", lambda a, b: F.coalesce(b, a))
+    return with_ranks(split_words(docs, known_words(docs, path), path, block), path).select("docs", ids.alias("ids"))
 
 
 def tokens(encoded: DataFrame) -> DataFrame:
@@ -384,15 +390,10 @@ def tokens(encoded: DataFrame) -> DataFrame:
     return encoded.select(F.inline(_bind(F.col("ids"), each)))
 
 
-def _pieces(path: str) -> Column:
-    """The bytes of each id, in hexadecimal."""
-    known = {i: b for b, i in ranks(path).items()}
-    return F.split(F.lit(",".join(known.get(i, b"").hex() for i in range(max(known) + 1))), ",")
-
-
 def decode(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, bytes) of (doc_id, ids): the pieces of the ids, joined."""
-    pieces = _pieces(path)
+    known = {i: b for b, i in ranks(path).items()}
+    pieces = F.split(F.lit(",".join(known.get(i, b"").hex() for i in range(max(known) + 1))), ",")
     text = F.array_join(F.transform("ids", lambda i: F.get(pieces, i)), "")
     return rows.select("doc_id", F.unhex(text).alias("bytes"))
 
