@@ -1,4 +1,7 @@
-"""Every query of the library by name, over the driver's tables."""
+"""Every query of the library by name, over the driver's tables.
+
+Frames that a query uses several times are persisted in memory and on disk; a lost part is computed again.
+"""
 
 from __future__ import annotations
 
@@ -46,13 +49,13 @@ def _moves(spark: SparkSession, sf: str) -> DataFrame:
 def user_months(spark: SparkSession, sf: str) -> DataFrame:
     """Mobility metrics of user-months with two locations and more, with deciles and groups."""
     rows = mobility.mobility(_stops(spark, sf), names=["visits", "locations", "total_stay_time", "total_cost_travel_distance"])
-    return quantiles.with_groups(rows.filter("locations >= 2"))
+    return quantiles.with_groups(rows.filter("locations >= 2").persist()).persist()
 
 
 def stage_one(spark: SparkSession, sf: str) -> DataFrame:
     """The wide row of every user-month: mobility, home, graph and kernel metrics, and groups."""
-    clean = _stops(spark, sf)
-    moves = graph.transitions(clean)
+    clean = _stops(spark, sf).persist()
+    moves = graph.transitions(clean).persist()
     home = anchors.night_home(clean, KEYS, HOME_SHARE).select(*KEYS, "home_loc")
     wide = mobility.mobility(clean).filter("locations >= 2")
     wide = wide.join(mobility.home_rewards(clean, KEYS, HOME_SHARE), KEYS, "left")
@@ -278,7 +281,7 @@ _REGISTRY |= {
 
 
 def _tours(spark, sf) -> tuple[DataFrame, DataFrame]:
-    seen = tours.visits(_stops(spark, sf))
+    seen = tours.visits(_stops(spark, sf)).persist()
     return tours.tours(seen), seen
 
 
@@ -480,6 +483,7 @@ def match_f2m(spark, sf):
 
 
 def _deltas(rows: DataFrame, scope: list[str]) -> DataFrame:
+    rows = rows.persist()
     return matching.deltas(matching.matched_pairs(rows, scope), rows, METRICS, scope)
 
 
