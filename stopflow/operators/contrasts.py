@@ -50,7 +50,7 @@ def bootstrap_gaps(tours: DataFrame, bins: list[str], within: list[str], least:
     drawn = resampled(tours, ["GID_0"], order, times)
     each = gaps(drawn, bins, within, least, "b")
     return each.groupBy(*dict.fromkeys([*bins, *within])).agg(
-        F.round(F.avg("gap"), 6).alias("gap_mean"), F.round(F.stddev_samp("gap"), 6).alias("gap_std")
+        F.round(F.avg("gap"), 9).alias("gap_mean"), F.round(F.stddev_samp("gap"), 6).alias("gap_std")
     )
 
 
@@ -59,7 +59,7 @@ def over_countries(rows: DataFrame, bins: list[str]) -> DataFrame:
     some = rows.filter("gap_mean IS NOT NULL")
     return some.groupBy(*bins).agg(
         F.count("*").alias("countries"),
-        F.round(F.avg("gap_mean"), 6).alias("gap_mean"),
+        F.round(F.avg("gap_mean"), 9).alias("gap_mean"),
         F.round(pooled_error("gap_std"), 6).alias("gap_se"),
     )
 

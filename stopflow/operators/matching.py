@@ -96,9 +96,9 @@ def delta_summary(found: DataFrame, scope: list[str]) -> DataFrame:
     """Per metric the mean relative difference, the means of its two signs, and the counts of the signs."""
     d = F.col("rel_dif")
     return found.groupBy(*scope, "metric").agg(
-        F.round(F.avg(d), 6).alias("mean_rel"),
-        F.round(F.avg(F.when(d >= 0, d)), 6).alias("mean_pos"),
-        F.round(F.avg(F.when(d <= 0, d)), 6).alias("mean_neg"),
+        F.round(F.avg(d), 12).alias("mean_rel"),
+        F.round(F.avg(F.when(d >= 0, d)), 12).alias("mean_pos"),
+        F.round(F.avg(F.when(d <= 0, d)), 12).alias("mean_neg"),
         F.count_if(d > 0).alias("n_pos"),
         F.count_if(d < 0).alias("n_neg"),
         F.count_if(d == 0).alias("n_zero"),

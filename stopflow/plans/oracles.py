@@ -210,8 +210,8 @@ dl AS (SELECT * EXCLUDE (mv, fv), round(mv - fv, 6) AS abs_dif, round((mv - fv)
 
 
 def _summary(scope: str, source: str) -> str:
-    return f"""SELECT {scope}, metric, round(avg(rel_dif), 6) AS mean_rel, round(avg(CASE WHEN rel_dif >= 0 THEN rel_dif END), 6) AS mean_pos,
-  round(avg(CASE WHEN rel_dif <= 0 THEN rel_dif END), 6) AS mean_neg, count(*) FILTER (rel_dif > 0) AS n_pos, count(*) FILTER (rel_dif < 0) AS n_neg,
+    return f"""SELECT {scope}, metric, round(avg(rel_dif), 12) AS mean_rel, round(avg(CASE WHEN rel_dif >= 0 THEN rel_dif END), 12) AS mean_pos,
+  round(avg(CASE WHEN rel_dif <= 0 THEN rel_dif END), 12) AS mean_neg, count(*) FILTER (rel_dif > 0) AS n_pos, count(*) FILTER (rel_dif < 0) AS n_neg,
   count(*) FILTER (rel_dif = 0) AS n_zero FROM {source} WHERE abs(d_locations) <= 1 GROUP BY {scope}, metric"""
 
 
@@ -370,8 +370,8 @@ loc_ AS (SELECT deg.*, coalesce(t, 0) AS t, coalesce(tw, 0.0) AS tw, top.top FRO
         " UNION ALL ".join(f"SELECT gender, round(avg(value), 6) AS pal_mean, round(stddev_samp(value), 6) AS pal_std, {n}::INTEGER AS shortest FROM each{n} GROUP BY gender" for n in (3, 5))),
     "tour_length_share": ("", "SELECT leng_bin, count(*) AS n, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM tr), 6) AS share FROM tr GROUP BY leng_bin"),
     "gap_by_length": ("", _gap("tr", "leng_bin", "GID_0", LEAST)),
-    "gap_by_length_bootstrap": (boots("tr", "GID_0", f"{UM}, s", "count(*)") + f", gb AS ({_gap('drawn', 'leng_bin', 'GID_0', LEAST, 'b')}), gc AS (SELECT leng_bin, GID_0, round(avg(gap), 6) AS gap_mean, round(stddev_samp(gap), 6) AS gap_std FROM gb GROUP BY leng_bin, GID_0)",
-        "SELECT leng_bin, count(*) AS countries, round(avg(gap_mean), 6) AS gap_mean, round(sqrt(sum(gap_std * gap_std)) / count(gap_std), 6) AS gap_se FROM gc WHERE gap_mean IS NOT NULL GROUP BY leng_bin"),
+    "gap_by_length_bootstrap": (boots("tr", "GID_0", f"{UM}, s", "count(*)") + f", gb AS ({_gap('drawn', 'leng_bin', 'GID_0', LEAST, 'b')}), gc AS (SELECT leng_bin, GID_0, round(avg(gap), 9) AS gap_mean, round(stddev_samp(gap), 6) AS gap_std FROM gb GROUP BY leng_bin, GID_0)",
+        "SELECT leng_bin, count(*) AS countries, round(avg(gap_mean), 9) AS gap_mean, round(sqrt(sum(gap_std * gap_std)) / count(gap_std), 6) AS gap_se FROM gc WHERE gap_mean IS NOT NULL GROUP BY leng_bin"),
     "gap_by_length_distance": (f"trd AS (SELECT *, {fixed_bin(f'least(greatest(tour_max_reward / 1000.0::DOUBLE, {DISTANCE_KM[0]!r}::DOUBLE), {DISTANCE_KM[-1]!r}::DOUBLE)', DISTANCE_KM)} AS dist_bin FROM tr)",
         _gap("trd", "leng_bin", "dist_bin, GID_0", 1)),
     "gap_by_length_duration": (f"trd AS (SELECT *, {fixed_bin('(total_duration / 60.0::DOUBLE)', DURATION_MIN)} AS dur_bin FROM tr)", _gap("trd", "leng_bin", "dur_bin, GID_0", 1)),
