@@ -33,7 +33,7 @@ from .hashing import span_hashes
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bytes of text in a block, and the longest word that is folded.
-BLOCK, LONG = 8 << 20, 64
+BLOCK, LONG = 2 << 20, 64
 #: The words of this many documents, of their first SAMPLE_CHARS characters, are folded once beforehand: the
 #: most frequent SAMPLE_WORDS of them. A word that is missing there is folded in its block, so any sample will do.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 2048, 20_000, 1 << 17
