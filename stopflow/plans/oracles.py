@@ -359,6 +359,26 @@ loc_ AS (SELECT deg.*, coalesce(t, 0) AS t, coalesce(tw, 0.0) AS tw, top.top FRO
     "match_pairs_delta": (_pairs("el", "activity_repertoire_groups"), "SELECT * FROM dl WHERE abs(d_locations) <= 1"),
     "match_delta_summary": (_pairs("el", "activity_repertoire_groups"), _summary("activity_repertoire_groups", "dl")),
     "permutation_baseline": (_permuted("el", "activity_repertoire_groups", UM) + ",\n" + _pairs("perm", "activity_repertoire_groups, b"), _summary("activity_repertoire_groups, b", "dl")),
+    "match_significance": (
+        f"""seen AS (WITH {_pairs("el", "activity_repertoire_groups")} {_summary("activity_repertoire_groups", "dl")}),
+shuffled AS (WITH {_permuted("el", "activity_repertoire_groups", UM)}, {_pairs("perm", "activity_repertoire_groups, b")} {_summary("activity_repertoire_groups, b", "dl")}),
+cuts AS (SELECT activity_repertoire_groups, metric, quantile_cont(2 * mean_rel, [0.05::DOUBLE, 0.5::DOUBLE, 0.95::DOUBLE]) AS q FROM shuffled GROUP BY ALL),
+judged AS (SELECT o.activity_repertoire_groups, o.metric, 2 * o.mean_rel AS obs, q[1] AS p5, q[2] AS p50, q[3] AS p95,
+  avg(CASE WHEN round(abs(2 * s.mean_rel - q[2]), 9) >= round(abs(2 * o.mean_rel - q[2]), 9) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p_value,
+  avg(CASE WHEN 2 * s.mean_rel <= 2 * o.mean_rel THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS pct_rank
+  FROM seen o JOIN cuts c ON o.activity_repertoire_groups = c.activity_repertoire_groups AND o.metric = c.metric
+  JOIN shuffled s ON o.activity_repertoire_groups = s.activity_repertoire_groups AND o.metric = s.metric GROUP BY ALL)""",
+        """SELECT activity_repertoire_groups, metric, round(obs, 6) AS obs, round(p5, 6) AS p5, round(p50, 6) AS p50, round(p95, 6) AS p95, round(p_value, 6) AS p_value, round(pct_rank, 6) AS pct_rank,
+  CASE WHEN obs > p95 AND obs > 0 THEN 'MALE' WHEN obs < p5 AND obs < 0 THEN 'FEMALE' ELSE 'none' END AS higher,
+  CASE WHEN p_value < 0.01 THEN '***' WHEN p_value < 0.05 THEN '**' WHEN p_value < 0.1 THEN '*' ELSE '' END AS flag FROM judged"""),
+    "efficiency_by_reward": (
+        f"""qe AS (SELECT *, (SELECT {upper_edges('total_stay_time', 5)} FROM um) AS ed FROM um),
+rb AS (SELECT * EXCLUDE (ed), {bin_of('total_stay_time', 'ed')} AS q, {reward_bin('total_cost_travel_distance')} AS reward_bin FROM qe),
+{boots("rb", "reward_bin, q, gender", f"total_cost_travel_distance, {UM}", "median(total_cost_travel_distance)", where="reward_bin IS NOT NULL")},
+sm AS (SELECT reward_bin, q, gender, avg(value) AS mean, stddev_samp(value) AS se FROM each_b GROUP BY ALL)""",
+        """SELECT m.reward_bin, m.q, round(2 * (m.mean - f.mean) / nullif(m.mean + f.mean, 0), 6) AS rel_gap,
+  round(2 * sqrt(m.se * m.se + f.se * f.se) / nullif(m.mean + f.mean, 0), 6) AS rel_gap_se
+FROM sm m JOIN sm f ON m.reward_bin = f.reward_bin AND m.q = f.q AND m.gender = 'MALE' AND f.gender = 'FEMALE'"""),
     "anonymise": ("", "SELECT start_month, visits, 'user_' || CAST(dense_rank() OVER (ORDER BY useruuid) AS VARCHAR) AS anon FROM um"),
     "palindrome_share": (
         ",\n".join(
