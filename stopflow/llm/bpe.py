@@ -18,6 +18,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +34,7 @@ from .hashing import span_hashes
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bytes of text in a block, and the longest word that is folded.
-BLOCK, LONG = 2 << 20, 64
+BLOCK, LONG = 4 << 20, 64
 #: The words of this many documents, of their first SAMPLE_CHARS characters, are folded once beforehand: the
 #: most frequent SAMPLE_WORDS of them. A word that is missing there is folded in its block, so any sample will do.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 2048, 20_000, 1 << 17
@@ -231,21 +232,14 @@ class Known:
         self.hashes, self.first, self.size = hashes[order], first[order], size[order]
         self.values = values.astype(np.int32)
 
-    def lists(self, hashes: np.ndarray, long: dict[int, list[int]]) -> tuple[pa.Array, np.ndarray]:
-        """The ids of the words with these hashes, or of `long` by place, null where unknown; which are unknown."""
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 where it is unknown."""
         spot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        hit = self.hashes[spot] == hashes
-        first, size = np.where(hit, self.first[spot], 0), np.where(hit, self.size[spot], 0)
-        values = self.values
-        if long:
-            at = np.array(list(long))
-            size[at], hit[at] = [len(x) for x in long.values()], True
-            first[at] = len(values) + np.concatenate(([0], np.cumsum(size[at])[:-1]))
-            values = np.concatenate((values, np.concatenate([np.array(x, np.int32) for x in long.values()])))
-        ends = np.concatenate(([0], np.cumsum(size)))
-        flat = values[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=pa.array(~hit))
-        return lists, ~hit
+        return np.where(self.hashes[spot] == hashes, spot, -1).astype(np.int32)
+
+    def ids(self) -> list[list[int]]:
+        flat = self.values.tolist()
+        return [flat[a : a + n] for a, n in zip(self.first.tolist(), self.size.tolist(), strict=True)]
 
 
 def _hashed(rows: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
@@ -316,34 +310,31 @@ def _each_hash(words: list[str]) -> np.ndarray:
 
 
 def split_words(docs: DataFrame, known: Known, path: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
-    """A row for each block: its documents as the places of their words, and the distinct words.
+    """A row for each block: doc_ids, words in each, the number of every word among the distinct ones, and these.
 
-    The ids of known words, and of those longer than LONG, are in `known`; the others are in `words` for
-    folded(). Words are told apart by a 64-bit hash.
+    `slots` has a distinct word's place in the known ones, or -1 - its place in `words`, for folded(), with
+    the ids of those longer than LONG in `far`. Words are told apart by a 64-bit hash.
     """
 
     def row(ids: list, sizes: list, texts: list, hashes: list, spans: list) -> pa.RecordBatch:
         places, distinct = pd.factorize(np.concatenate(hashes))
         first = np.empty(len(distinct), np.int64)
         first[places[::-1]] = np.arange(len(places) - 1, -1, -1)
-        span = np.concatenate(spans)[first]
+        slots = known.slots(distinct)
+        unknown = np.flatnonzero(slots < 0)
+        slots[unknown] = -1 - np.arange(len(unknown), dtype=np.int32)
         text = "".join(texts)
-        wide = np.flatnonzero(span[:, 1] - span[:, 0] > LONG // 4)
-        far = {int(k): w for k in wide if len(w := text[span[k, 0] : span[k, 1]].encode()) > LONG}
-        lists, unknown = known.lists(distinct, {k: merge_long(w, ranks(path)) for k, w in far.items()})
-        words = [b""] * len(distinct)
-        for k in np.flatnonzero(unknown).tolist():
-            words[k] = text[span[k, 0] : span[k, 1]].encode()
-        borders = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
-        inner = pa.ListArray.from_arrays(pa.array(borders), pa.array(places.astype(np.int32)))
+        words = [text[a:b].encode() for a, b in np.concatenate(spans)[first[unknown]].tolist()]
+        far = [merge_long(w, ranks(path)) if len(w) > LONG else None for w in words]
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
         return pa.RecordBatch.from_arrays(
             [
-                one(pa.StructArray.from_arrays([pa.array(ids, pa.int64()), inner], ["doc_id", "places"])),
-                one(_packed(words, path)),
-                one(lists),
+                one(pa.array(ids, pa.int64())),
+                *(pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (np.concatenate(sizes), places, slots)),
+                one(_packed([b"" if f else w for w, f in zip(words, far, strict=True)], path)),
+                one(pa.array(far, pa.list_(pa.int32()))),
             ],
-            ["docs", "words", "known"],
+            ["doc_ids", "sizes", "places", "slots", "words", "far"],
         )
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,28 +357,53 @@ def split_words(docs: DataFrame, known: Known, path: str = VOCABULARY, block: in
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         split,
-        "docs array<struct<doc_id: long, places: array<int>>>, words array<array<bigint>>, known array<array<int>>",
+        "doc_ids array<long>, sizes binary, places binary, slots binary, words array<array<bigint>>, far array<array<int>>",
     )
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
-    """Blocks of documents: docs, as places among the block's words, and ids, those of each word."""
-    ids = F.zip_with(folded(F.col("words"), F.col("ranks"), path), "known", lambda a, b: F.coalesce(b, a))
-    return with_ranks(split_words(docs, known_words(docs, path), path, block), path).select("docs", ids.alias("ids"))
+@dataclass(frozen=True)
+class Encoded:
+    """Blocks of documents with the ids of their unknown words, and the words known beforehand."""
+
+    blocks: DataFrame
+    known: Known
+    path: str
+
+
+def encode(docs: DataFrame, path: str = VOCABULARY, block: int = BLOCK) -> Encoded:
+    known = known_words(docs, path)
+    ids = F.zip_with(folded(F.col("words"), F.col("ranks"), path), "far", lambda a, b: F.coalesce(b, a))
+    split = with_ranks(split_words(docs, known, path, block), path)
+    return Encoded(split.select("doc_ids", "sizes", "places", "slots", ids.alias("ids")), known, path)
 
 
-def tokens(encoded: DataFrame) -> DataFrame:
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, list]]:
+    """doc_ids, borders of the documents among the words, the words' numbers, slots, and the ids of unknown words."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            sizes, places, slots = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int32) for c in ("sizes", "places", "slots"))
+            lists = batch.column("ids")[k].values
+            at = lists.offsets.to_numpy()
+            flat, cuts = lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]].tolist(), (at - at[0]).tolist()
+            own = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield batch.column("doc_ids")[k].values, np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), places, slots, own
+
+
+def tokens(encoded: Encoded) -> DataFrame:
     """(doc_id, ids) of encoded blocks."""
+    known = encoded.known
 
-    def each(ids: Column) -> Column:
-        return F.transform(
-            "docs",
-            lambda d: F.struct(
-                d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["places"], lambda p: F.get(ids, p))).alias("ids")
-            ),
-        )
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table_ = known.ids()
+        for doc_ids, borders, places, slots, own in _blocks_of(batches):
+            words = [table_[s] if s >= 0 else own[-1 - s] for s in slots.tolist()]
+            for doc_id, a, b in zip(doc_ids, borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+                ids = [i for w in places[a:b].tolist() for i in words[w]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc_id.as_py()], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], ["doc_id", "ids"]
+                )
 
-    return encoded.select(F.inline(_bind(F.col("ids"), each)))
+    return encoded.blocks.mapInArrow(each, "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -398,40 +414,39 @@ def decode(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return rows.select("doc_id", F.unhex(text).alias("bytes"))
 
 
-def digests(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
+def digests(encoded: Encoded) -> DataFrame:
     """n_tokens, and SHA-256 of the ids and of the bytes they decode to, for each document.
 
-    Each distinct word's ids are written out and decoded once for its block; a document joins those of its words.
+    Each distinct word's ids are written out and decoded once; a document joins those of its words.
     """
-
-    def rows(docs: pa.Array, words: pa.Array, piece: dict[int, bytes]) -> pa.RecordBatch:
-        doc_ids, places = docs.field("doc_id"), docs.field("places")
-        at = words.offsets.to_numpy().astype(np.int64)
-        ids, at = words.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], at - at[0]
-        flat, cuts = ids.tolist(), at.tolist()
-        text, raw = list(map(str, flat)), [piece[i] for i in flat]
-        said = [",".join(text[a:b]).encode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        back = [b"".join(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        borders = places.offsets.to_numpy()
-        flat_places, borders = places.values.to_numpy(zero_copy_only=False)[borders[0] : borders[-1]], borders - borders[0]
-        total = np.concatenate(([0], np.cumsum(np.diff(at)[flat_places])))
-        hashes = ([], [])
-        for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
-            here = flat_places[a:b].tolist()
-            hashes[0].append(hashlib.sha256(b",".join([said[w] for w in here])).hexdigest())
-            hashes[1].append(hashlib.sha256(b"".join([back[w] for w in here])).hexdigest())
-        return pa.RecordBatch.from_arrays(
-            [doc_ids.cast(pa.int64()), pa.array(total[borders[1:]] - total[borders[:-1]]), *map(pa.array, hashes)],
-            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+    known, path = encoded.known, encoded.path
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = {i: b for b, i in ranks(path).items()}
-        for batch in batches:
-            for k in range(batch.num_rows):
-                yield rows(batch.column("docs")[k].values, batch.column("ids")[k].values, piece)
 
-    return encoded.mapInArrow(each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        def forms(ids: list[list[int]]) -> tuple[list[bytes], list[bytes]]:
+            return [",".join(map(str, x)).encode() for x in ids], [b"".join([piece[i] for i in x]) for x in ids]
+
+        said_known, back_known = forms(known.ids())
+        for doc_ids, borders, places, slots, own in _blocks_of(batches):
+            said_own, back_own = forms(own)
+            numbers = slots.tolist()
+            said = [said_known[s] if s >= 0 else said_own[-1 - s] for s in numbers]
+            back = [back_known[s] if s >= 0 else back_own[-1 - s] for s in numbers]
+            more = np.array([len(x) for x in own] or [0])
+            size = np.where(slots >= 0, known.size[np.maximum(slots, 0)], more[np.maximum(-1 - slots, 0)])
+            total = np.concatenate(([0], np.cumsum(size[places])))
+            hashes: tuple[list[str], list[str]] = ([], [])
+            for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+                here = places[a:b].tolist()
+                hashes[0].append(hashlib.sha256(b",".join([said[w] for w in here])).hexdigest())
+                hashes[1].append(hashlib.sha256(b"".join([back[w] for w in here])).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [doc_ids.cast(pa.int64()), pa.array(total[borders[1:]] - total[borders[:-1]]), *(pa.array(h, pa.string()) for h in hashes)],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return encoded.blocks.mapInArrow(each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
