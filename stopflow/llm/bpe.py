@@ -37,7 +37,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BLOCK, LONG = 4 << 20, 64
 #: The words of this many documents, of their first SAMPLE_CHARS characters, are folded once beforehand: the
 #: most frequent SAMPLE_WORDS of them. A word that is missing there is folded in its block, so any sample will do.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 2048, 20_000, 1 << 17
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 4096, 20_000, 1 << 18
 #: A lookup that finds no pair gives at least this; ids are below it.
 NO_MERGE = 1 << 16
 EMPTY = (1 << 48) - 1
@@ -94,9 +94,9 @@ def _constant(spark: SparkSession, **values: np.ndarray) -> Column:
     return spark.createDataFrame(row).select(F.struct(*values)).scalar()
 
 
-def pair_ranks(ids: np.ndarray, path: str) -> np.ndarray:
+def pair_ranks(ids: np.ndarray, table_: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The ranks of neighbours in a flat array of ids, NO_MERGE where they do not join."""
-    shift, entries = pair_table(path)
+    shift, entries = table_
     key = ids[:-1].astype(np.int64) * NO_MERGE + ids[1:]
     found = entries[(key % len(entries) + shift[key % len(shift)]) % len(entries)] - key * NO_MERGE
     return np.where((found >= 0) & (found < NO_MERGE), found, NO_MERGE)
@@ -231,6 +231,7 @@ class Known:
         first = np.cumsum(size) - size
         self.hashes, self.first, self.size = hashes[order], first[order], size[order]
         self.values = values.astype(np.int32)
+        self.mark = hash((self.hashes.tobytes(), self.values.tobytes()))
 
     def slots(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each hash, -1 where it is unknown."""
@@ -253,13 +254,13 @@ def _hashed(rows: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
     return text, spans, span_hashes(code, starts, ends), np.diff(np.searchsorted(starts, borders))
 
 
-def _packed(words: list[bytes], path: str) -> pa.Array:
+def _packed(words: list[bytes], path: str, table_: tuple[np.ndarray, np.ndarray]) -> pa.Array:
     """What folded() takes: for each byte of a word, the rank of it and its neighbour * 2^16 + its id."""
     known = ranks(path)
     byte = np.array([known[bytes([b])] for b in range(256)], np.int64)
     ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
     flat = byte[np.frombuffer(b"".join(words), np.uint8)]
-    linked = np.concatenate((pair_ranks(flat, path), [NO_MERGE])) if len(flat) else flat
+    linked = np.concatenate((pair_ranks(flat, table_), [NO_MERGE])) if len(flat) else flat
     linked[ends[1:][np.diff(ends) > 0] - 1] = NO_MERGE
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(linked * NO_MERGE + flat))
 
@@ -290,7 +291,7 @@ def known_words(docs: DataFrame, path: str = VOCABULARY) -> Known:
     words = [w for a, b in spans[first[often]].tolist() if (w := text[a:b]) not in tokens_ and len(w.encode()) <= LONG]
     chunks = [words[k : k + 4096] for k in range(0, len(words), 4096)]
     if chunks:
-        lists = [_packed([w.encode() for w in c], path) for c in chunks]
+        lists = [_packed([w.encode() for w in c], path, pair_table(path)) for c in chunks]
         ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32))
         rows = pa.table({"k": pa.array(range(len(chunks))), "words": pa.ListArray.from_arrays(ends, pa.concat_arrays(lists))})
         spread = docs.sparkSession.createDataFrame(rows).repartition(len(chunks), "k")
@@ -315,6 +316,7 @@ def split_words(docs: DataFrame, known: Known, path: str = VOCABULARY, block: in
     `slots` has a distinct word's place in the known ones, or -1 - its place in `words`, for folded(), with
     the ids of those longer than LONG in `far`. Words are told apart by a 64-bit hash.
     """
+    table_ = pair_table(path)
 
     def row(ids: list, sizes: list, texts: list, hashes: list, spans: list) -> pa.RecordBatch:
         places, distinct = pd.factorize(np.concatenate(hashes))
@@ -331,7 +333,7 @@ def split_words(docs: DataFrame, known: Known, path: str = VOCABULARY, block: in
             [
                 one(pa.array(ids, pa.int64())),
                 *(pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (np.concatenate(sizes), places, slots)),
-                one(_packed([b"" if f else w for w, f in zip(words, far, strict=True)], path)),
+                one(_packed([b"" if f else w for w, f in zip(words, far, strict=True)], path, table_)),
                 one(pa.array(far, pa.list_(pa.int32()))),
             ],
             ["doc_ids", "sizes", "places", "slots", "words", "far"],
@@ -341,7 +343,7 @@ def split_words(docs: DataFrame, known: Known, path: str = VOCABULARY, block: in
         state: tuple[list, ...] = ([], [], [], [], [])
         total = done = 0
         for batch in batches:
-            for first, last, data, at in blocks(batch.column("text"), BLOCK_BYTES // 2):
+            for first, last, data, at in blocks(batch.column("text"), BLOCK_BYTES // 4):
                 ids, sizes, texts, hashes, spans = state
                 rows = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
                 text, span, h, size = _hashed(rows)
@@ -414,6 +416,10 @@ def decode(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return rows.select("doc_id", F.unhex(text).alias("bytes"))
 
 
+#: Written forms of the known words, kept by a Python worker for its next task of the same query.
+_forms: dict[int, tuple[list[bytes], list[bytes]]] = {}
+
+
 def digests(encoded: Encoded) -> DataFrame:
     """n_tokens, and SHA-256 of the ids and of the bytes they decode to, for each document.
 
@@ -427,7 +433,10 @@ def digests(encoded: Encoded) -> DataFrame:
         def forms(ids: list[list[int]]) -> tuple[list[bytes], list[bytes]]:
             return [",".join(map(str, x)).encode() for x in ids], [b"".join([piece[i] for i in x]) for x in ids]
 
-        said_known, back_known = forms(known.ids())
+        if known.mark not in _forms:
+            _forms.clear()
+            _forms[known.mark] = forms(known.ids())
+        said_known, back_known = _forms[known.mark]
         for doc_ids, borders, places, slots, own in _blocks_of(batches):
             said_own, back_own = forms(own)
             numbers = slots.tolist()
