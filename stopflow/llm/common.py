@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -73,3 +74,14 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def release(spark: SparkSession, name: str = "") -> int:
+    """Deletes the working tables below the shared folder, or those of one name, once results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in system.listStatus(path) if re.fullmatch(r"\w+-[0-9a-f]{32}", s.getPath().getName())]
+    found = [p for p in found if not name or p.getName().startswith(f"{name}-")]
+    for one in found:
+        system.delete(one, True)
+    return len(found)

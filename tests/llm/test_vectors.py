@@ -80,3 +80,11 @@ def test_nearest_neighbours_of_odd_rows(spark, odd):
     few = rows.filter("vec_id IN (20, 21, 22)")
     assert [len(v) for v in answers(ann.search(few)).values()] == [2]
     assert ann.search(vectors.valid(odd.limit(0))).count() == 0
+
+
+def test_working_tables_are_shared_and_released(spark):
+    from stopflow.llm.common import release, saved
+
+    table = saved(spark.range(5), "spare")
+    assert table.count() == 5 and table.dtypes == spark.range(5).dtypes
+    assert release(spark, "spare") == 1
