@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import ordinals
+
 ID = ["useruuid", "start_month"]
 #: Largest difference in locations by group. Fixed values.
 CALIPER = {"all": 1, "inactive": 1, "moderate": 2, "active": 4}
@@ -125,5 +127,6 @@ def significance(observed: DataFrame, shuffled: DataFrame, scope: list[str]) ->
 
 def anonymised(rows: DataFrame, column: str = "useruuid") -> DataFrame:
     """user_1, user_2, ... in the order of the ids, which do not appear."""
-    ids = rows.select(column).distinct()
-    return rows.join(ids.withColumn("anon", F.concat(F.lit("user_"), F.dense_rank().over(Window.orderBy(column)).cast("string"))), column).drop(column)
+    ids = ordinals(rows.select(column, F.lit(0).alias("_all")).distinct(), ["_all"], [column])
+    named = ids.select(column, F.concat(F.lit("user_"), (F.col("place") + 1).cast("string")).alias("anon"))
+    return rows.join(named, column).drop(column)

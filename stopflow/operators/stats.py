@@ -14,16 +14,25 @@ POPULATION = {
 }
 
 
-def numbered(rows: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
-    """place 0..n-1 in a stable order, and n, within each scope."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*scope).orderBy(*order)).cast("long") - 1).withColumn(
-        "n", F.count("*").over(Window.partitionBy(*scope))
-    )
+def ordinals(rows: DataFrame, scope: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """rows with their number from 0 in the order within each scope, and the size n of the scope.
+
+    Rows are dealt by ranges of the order; a small table of counts by range and scope gives what comes before,
+    so a scope of any size is spread over tasks.
+    """
+    at = rows.repartitionByRange(*scope, *order).withColumn("_part", F.spark_partition_id()).persist()
+    counts = at.groupBy(*scope, "_part").agg(F.count("*").alias("_rows"))
+    all_ = Window.partitionBy(*scope)
+    earlier = F.sum("_rows").over(all_.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select(*scope, "_part", F.coalesce(earlier, F.lit(0)).alias("_before"), F.sum("_rows").over(all_).alias("n"))
+    local = F.row_number().over(Window.partitionBy(*scope, "_part").orderBy(*order)).cast("long") - 1
+    numbered_ = at.withColumn(name, local).join(before, [*scope, "_part"])
+    return numbered_.withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
 
 
 def resampled(rows: DataFrame, scope: list[str], order: list[str], times: int, seed: int = 0) -> DataFrame:
     """rows drawn with replacement, n of them for each scope and iteration b in 0..times-1."""
-    at = numbered(rows, scope, order)
+    at = ordinals(rows, scope, order)
     draws = at.select(*scope, "place", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))).alias("b"))
     drawn = draws.select(*scope, "b", (mixed(F.col("place"), F.col("b"), seed) % F.col("n")).alias("place"))
     return drawn.join(at.drop("n"), [*scope, "place"]).drop("place")
@@ -31,11 +40,11 @@ def resampled(rows: DataFrame, scope: list[str], order: list[str], times: int, s
 
 def permuted(rows: DataFrame, column: str, scope: list[str], order: list[str], times: int, seed: int = 0) -> DataFrame:
     """rows for each iteration b, with the values of a column shuffled within its scope."""
-    at = numbered(rows, scope, order).drop("n")
+    at = ordinals(rows, scope, order).drop("n")
     turns = at.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))))
-    by = Window.partitionBy(*scope, "b").orderBy(mixed(F.col("place"), F.col("b"), seed), "place")
-    moved = turns.select(*scope, "b", column, (F.row_number().over(by).cast("long") - 1).alias("place"))
-    return turns.drop(column).join(moved, [*scope, "b", "place"]).drop("place")
+    shuffled = turns.select(*scope, "b", column, "place", mixed(F.col("place"), F.col("b"), seed).alias("_mix"))
+    moved = ordinals(shuffled.withColumnRenamed("place", "_from"), [*scope, "b"], ["_mix", "_from"])
+    return turns.drop(column).join(moved.select(*scope, "b", "place", column), [*scope, "b", "place"]).drop("place")
 
 
 def bootstrap(rows: DataFrame, scope: list[str], order: list[str], of: Column, times: int, ddof: int = 0, seed: int = 0) -> DataFrame:

@@ -464,7 +464,7 @@ SCOPE = ["activity_repertoire_groups"]
 
 
 def _eligible(spark, sf) -> DataFrame:
-    return matching.eligible(user_months(spark, sf), METRICS, LEAST)
+    return matching.eligible(user_months(spark, sf), METRICS, LEAST).persist()
 
 
 @query
