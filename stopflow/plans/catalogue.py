@@ -1,6 +1,6 @@
 """Every query of the library by name, over the driver's tables.
 
-Frames that a query uses several times are persisted in memory and on disk; a lost part is computed again.
+Frames that a query uses several times are persisted, or written out where their plans would be repeated often.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from ..functions import calendar
 from ..operators import anchors, contrasts, graph, graph_kernel, matching, mobility, quantiles, stats, tours
 from ..sources import stops as source
 from ..sources.stops import KEYS
+from ..sources.working import materialised
 from . import oracles
 
 UM = ["useruuid", "start_month"]
@@ -464,7 +465,7 @@ SCOPE = ["activity_repertoire_groups"]
 
 
 def _eligible(spark, sf) -> DataFrame:
-    return matching.eligible(user_months(spark, sf), METRICS, LEAST).persist()
+    return materialised(matching.eligible(user_months(spark, sf), METRICS, LEAST), "eligible")
 
 
 @query
@@ -483,7 +484,6 @@ def match_f2m(spark, sf):
 
 
 def _deltas(rows: DataFrame, scope: list[str]) -> DataFrame:
-    rows = rows.persist()
     return matching.deltas(matching.matched_pairs(rows, scope), rows, METRICS, scope)
 
 
@@ -500,7 +500,7 @@ def match_delta_summary(spark, sf):
 @query
 def permutation_baseline(spark, sf):
     rows = _eligible(spark, sf)
-    moved = stats.permuted(rows, "gender", SCOPE, UM, TIMES)
+    moved = materialised(stats.permuted(rows, "gender", SCOPE, UM, TIMES), "permuted")
     by = [*SCOPE, "b"]
     return matching.delta_summary(matching.within_caliper(_deltas(moved, by)), by)
 
@@ -510,7 +510,7 @@ def match_significance(spark, sf):
     rows = _eligible(spark, sf)
     by = [*SCOPE, "b"]
     seen = matching.delta_summary(matching.within_caliper(_deltas(rows, SCOPE)), SCOPE)
-    moved = stats.permuted(rows, "gender", SCOPE, UM, TIMES)
+    moved = materialised(stats.permuted(rows, "gender", SCOPE, UM, TIMES), "permuted")
     return matching.significance(seen, matching.delta_summary(matching.within_caliper(_deltas(moved, by)), by), SCOPE)
 
 
