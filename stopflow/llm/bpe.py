@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, blocks, table
+from .common import BLOCK_BYTES, blocks, table, trim
 from .hashing import span_hashes
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -354,6 +354,7 @@ def split_words(docs: DataFrame, known: Known, path: str = VOCABULARY, block: in
                 if total >= block:
                     yield row(*state)
                     state, total, done = ([], [], [], [], []), 0, 0
+                    trim()
         if state[0]:
             yield row(*state)
 
@@ -454,6 +455,7 @@ def digests(encoded: Encoded) -> DataFrame:
                 [doc_ids.cast(pa.int64()), pa.array(total[borders[1:]] - total[borders[:-1]]), *(pa.array(h, pa.string()) for h in hashes)],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+            trim()
 
     return encoded.blocks.mapInArrow(each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
