@@ -1,4 +1,4 @@
-"""Seeded synthetic stops: exploration and preferential return (Pappalardo et al., 2015)."""
+"""Seeded synthetic stops by the model of exploration and preferential return."""
 
 from __future__ import annotations
 
