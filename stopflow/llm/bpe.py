@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, blocks, table, trim
+from .common import BLOCK_BYTES, blocks, table
 from .hashing import span_hashes
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -41,6 +41,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 4096, 20_000, 1 << 18
 #: A lookup that finds no pair gives at least this; ids are below it.
 NO_MERGE = 1 << 16
 EMPTY = (1 << 48) - 1
+#: An entry of a word under folding: rank with the next part * 2^RANK + 2^16 * room for a place below 64 + id.
+RANK = 22
 
 
 @lru_cache(maxsize=2)
@@ -52,10 +54,10 @@ def ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(maxsize=2)
 def pair_table(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Displacements d and entries e: e[(key % len(e) + d[key % len(d)]) % len(e)] - key * 2^16 is the rank.
+    """Displacements d and entries e: e[(key % len(e) + d[key % len(d)]) % len(e)] xor key * 2^16 is the rank.
 
     A key is left id * 2^16 + right id; an entry is key * 2^16 + rank of the joined bytes, or EMPTY, so that
-    an entry of another key gives a difference outside of 0..2^16 - 1.
+    an entry of another key gives 2^16 or more.
     """
     known = ranks(path)
     packed = {}
@@ -109,7 +111,7 @@ def with_ranks(blocks_: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 
 def folded(words: Column, table_: Column, path: str = VOCABULARY) -> Column:
-    """Ids of each word, from array<array<bigint>>: for each byte, rank of it and its neighbour * 2^16 + its id."""
+    """Ids of each word, from array<array<bigint>>: for each byte, rank of it and its neighbour * 2^RANK + its id."""
     shift, entries = pair_table(path)
     return _bind(table_, lambda t: _folded(words, t["moves"], len(shift), t["entries"], len(entries)))
 
@@ -119,16 +121,16 @@ def _folded(words: Column, moves: Column, groups: int, table_: Column, size: int
         """The entry of a part `left` that `right` follows."""
         key = F.shiftleft(left, 16).bitwiseOR(right)
         spot = (key % size + F.get(moves, (key % groups).cast("int"))) % size
-        found = F.pmod(F.get(table_, spot.cast("int")) - F.shiftleft(key, 16), F.lit(1 << 50))
-        return F.shiftleft(F.least(found, F.lit(NO_MERGE)), 16).bitwiseOR(left)
+        found = F.get(table_, spot.cast("int")).bitwiseXOR(F.shiftleft(key, 16))
+        return F.shiftleft(F.least(found, F.lit(NO_MERGE)), RANK).bitwiseOR(left)
 
     def id_of(entry: Column) -> Column:
         return entry.bitwiseAND(NO_MERGE - 1)
 
     def merged(parts: Column, found: Column) -> Column:
-        """`found` is the least rank * 64 + the first place that has it; the rank is the id of the joined part."""
-        at, new = found.bitwiseAND(63).cast("int"), F.shiftright(found, 6)
-        last = F.shiftleft(F.lit(NO_MERGE).cast("bigint"), 16).bitwiseOR(new)
+        """`found` has the least rank and the first place that has it; the rank is the id of the joined part."""
+        at, new = F.shiftright(found, 16).bitwiseAND(63).cast("int"), F.shiftright(found, RANK)
+        last = F.lit(NO_MERGE << RANK).bitwiseOR(new)
 
         def renewed(old: Column, k: Column) -> Column:
             joined = F.when(at + 2 < F.size(parts), part(new, id_of(F.get(parts, at + 2)))).otherwise(last)
@@ -142,9 +144,9 @@ def _folded(words: Column, moves: Column, groups: int, table_: Column, size: int
         return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), renewed)
 
     def step(parts: Column, _: Column) -> Column:
-        ranked = F.transform(parts, lambda e, k: F.shiftleft(F.shiftright(e, 16), 6).bitwiseOR(k.cast("bigint")))
+        ranked = F.transform(parts, lambda e, k: e.bitwiseOR(F.shiftleft(k, 16).cast("bigint")))
         next_ = F.transform(
-            F.array(F.array_min(ranked)), lambda f: F.when(f < NO_MERGE << 6, merged(parts, f)).otherwise(parts)
+            F.array(F.array_min(ranked)), lambda f: F.when(f < NO_MERGE << RANK, merged(parts, f)).otherwise(parts)
         )
         return F.get(next_, F.lit(0))
 
@@ -255,14 +257,14 @@ def _hashed(rows: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _packed(words: list[bytes], path: str, table_: tuple[np.ndarray, np.ndarray]) -> pa.Array:
-    """What folded() takes: for each byte of a word, the rank of it and its neighbour * 2^16 + its id."""
+    """What folded() takes: for each byte of a word, the rank of it and its neighbour * 2^RANK + its id."""
     known = ranks(path)
     byte = np.array([known[bytes([b])] for b in range(256)], np.int64)
     ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
     flat = byte[np.frombuffer(b"".join(words), np.uint8)]
     linked = np.concatenate((pair_ranks(flat, table_), [NO_MERGE])) if len(flat) else flat
     linked[ends[1:][np.diff(ends) > 0] - 1] = NO_MERGE
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(linked * NO_MERGE + flat))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((linked << RANK) + flat))
 
 
 def known_words(docs: DataFrame, path: str = VOCABULARY) -> Known:
@@ -354,7 +356,6 @@ def split_words(docs: DataFrame, known: Known, path: str = VOCABULARY, block: in
                 if total >= block:
                     yield row(*state)
                     state, total, done = ([], [], [], [], []), 0, 0
-                    trim()
         if state[0]:
             yield row(*state)
 
@@ -455,7 +456,6 @@ def digests(encoded: Encoded) -> DataFrame:
                 [doc_ids.cast(pa.int64()), pa.array(total[borders[1:]] - total[borders[:-1]]), *(pa.array(h, pa.string()) for h in hashes)],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
-            trim()
 
     return encoded.blocks.mapInArrow(each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

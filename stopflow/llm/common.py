@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import re
 import tempfile
 import uuid
@@ -70,13 +68,6 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         first = last
 
 
-def trim() -> None:
-    """Gives memory that this Python worker has freed back to the system, where the C library can."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have, in any case."""
     taken = {c.lower() for c in df.columns}
