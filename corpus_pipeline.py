@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from stopflow.llm import line_dedup, near_dup, packing, quality, secrets
 from stopflow.llm.common import saved, table
 
+#: Near copies are linked at this many hundredths of similarity, lower than in op6.
+NEAR = 80
+
 
 def _counted(docs: DataFrame) -> DataFrame:
     """n_chars, where there is one, follows the text."""
@@ -27,7 +30,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one of the smallest doc_id."""
-    return near_dup.keep_one(docs)
+    return near_dup.keep_one(docs, NEAR)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,11 +5,12 @@ Sketching", FOCS 2017). In round i < COORDINATES each shingle falls into a hashe
 in round COORDINATES + j each falls into bin j, so every bin fills. A document leaves the rounds once its bins
 are full. Bins keep the least value, and two sets agree in a bin with the probability of their similarity.
 
-BANDS bands of ROWS bins make bucket keys. A pair at the threshold 0.85 shares no bucket with probability
-(1 - 0.85^4)^32 = 6e-11. Documents with equal sets are one class from the start. In each bucket every class
+A pair is linked at a similarity of `link` hundredths; op6 uses LINK, the pipeline a threshold of its own.
+BANDS bands of ROWS bins make bucket keys. A pair at 0.85 shares no bucket with probability
+(1 - 0.85^4)^32 = 6e-11, one at 0.80 with 5e-8. Documents with equal sets are one class from the start. In each bucket every class
 is compared with the smallest one on full sets. Where classes of a bucket are then still in different
 components, a prefix filter finds the remaining pairs: a set of n members shares one of its first
-n - ceil(0.85 n) + 1 members, in an order common to all, with every partner, and rare members come first in
+n - ceil(link n / 100) + 1 members, in an order common to all, with every partner, and rare members come first in
 it; members of one component only cannot count. No link is lost, and a large group is not paired with itself.
 
 Defined cases: null and empty texts and texts without words have an empty set and stand alone; texts of any
@@ -33,7 +34,7 @@ from .hashing import U64, mix, seeds, shingle_sets
 WORDS = 5
 COORDINATES, BANDS = 128, 32
 ROWS = COORDINATES // BANDS
-#: Linked at 100 * intersection >= LINK * union.
+#: Linked at 100 * intersection >= link * union; this one is fixed by op6.
 LINK = 85
 
 _ROUND = seeds(2 * COORDINATES, 3)
@@ -92,23 +93,28 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        batch = batch.rename_columns(["a", "b", "text", "other"])
-        for first, last, data, at in blocks(batch.column("text")):
-            left = shingle_sets(data, at, WORDS)
-            right = shingle_sets(*buffers(batch.column("other")[first:last]), WORDS)
-            linked = []
-            for x, y in zip(left, right, strict=True):
-                small, large = sorted((x, y), key=len)
-                if 100 * len(small) < LINK * len(large):
-                    linked.append(False)
-                    continue
-                spot = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[spot] == small).sum())
-                linked.append(100 * both >= LINK * (len(x) + len(y) - both))
-            mask = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c)[first:last].filter(mask) for c in ("a", "b")], ["a", "b"])
+def _verified(link: int):
+    """An Arrow pass that keeps the pairs whose sets reach the threshold."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.rename_columns(["a", "b", "text", "other"])
+            for first, last, data, at in blocks(batch.column("text")):
+                left = shingle_sets(data, at, WORDS)
+                right = shingle_sets(*buffers(batch.column("other")[first:last]), WORDS)
+                linked = []
+                for x, y in zip(left, right, strict=True):
+                    small, large = sorted((x, y), key=len)
+                    if 100 * len(small) < link * len(large):
+                        linked.append(False)
+                        continue
+                    spot = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                    both = int((large[spot] == small).sum())
+                    linked.append(100 * both >= link * (len(x) + len(y) - both))
+                mask = pa.array(linked, pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(c)[first:last].filter(mask) for c in ("a", "b")], ["a", "b"])
+
+    return each
 
 
 def _members(docs: DataFrame) -> DataFrame:
@@ -129,12 +135,12 @@ def _members(docs: DataFrame) -> DataFrame:
     )
 
 
-def _prefixes(docs: DataFrame) -> DataFrame:
+def _prefixes(docs: DataFrame, link: int) -> DataFrame:
     """(doc_id, component, n, useful, shingle): the prefix of each set that can reach a set of another component.
 
     Members that occur in one component only are useless for that, so they come first in the common order;
-    the others follow by rarity. A set needs ceil(0.85 n) useful members, and n - ceil(0.85 n) + 1 less the
-    useless ones are its prefix.
+    the others follow by rarity. A set needs ceil(link n / 100) useful members, and n - ceil(link n / 100) + 1
+    less the useless ones are its prefix.
     """
     members = _members(docs)
     across = (
@@ -148,20 +154,21 @@ def _prefixes(docs: DataFrame) -> DataFrame:
         members.join(saved(across, "across"), "shingle")
         .withColumn("useful", F.count("*").over(own))
         .withColumn("place", F.row_number().over(own.orderBy("df", "shingle")))
-        .filter(f"place <= useful + 1 - ceil({LINK} * n / 100.0)")
+        .filter(f"place <= useful + 1 - ceil({link} * n / 100.0)")
         .select("doc_id", "component", "n", "useful", "place", "shingle")
     )
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, link: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right")
+    return both.mapInArrow(_verified(link), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs (doc_id, text)."""
+def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of docs (doc_id, text), linked at `link` hundredths."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = saved(
         docs.mapInArrow(_sketched, "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>"), "sketches"
@@ -179,7 +186,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         docs.join(members.agg(F.max("n").alias("n")).select(F.col("rep").alias("doc_id")), "doc_id"), "texts"
     )
     sizes = buckets.groupBy(F.col("rep").alias("hub")).agg(F.max("n").alias("m"))
-    reach = f"100 * least(n, m) >= {LINK} * greatest(n, m)"
+    reach = f"100 * least(n, m) >= {link} * greatest(n, m)"
     first = (
         buckets.filter("rep <> hub")
         .groupBy(F.col("hub"), "rep")
@@ -189,7 +196,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     )
     tried = saved(first, "pairs")
-    links = saved(_links(tried, texts), "linked")
+    links = saved(_links(tried, texts, link), "linked")
     found = components(links)
     # Buckets whose classes are not yet one component: compare across the components.
     named = (
@@ -202,18 +209,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         texts.select("doc_id", "text").join(open_.agg(F.max("component").alias("component"), F.max("n").alias("n")), "doc_id"),
         "unsettled",
     )
-    left = saved(_prefixes(unsettled), "prefixes")
+    left = saved(_prefixes(unsettled, link), "prefixes")
     other = left.selectExpr("shingle", "doc_id AS b", "n AS m", "useful AS m_useful", "place AS m_place", "component AS with")
     # Common members of a pair: those up to the shared one in either order, and those after it in both.
     rest = (
         left.join(other, "shingle")
         .filter(f"component <> with AND doc_id < b AND {reach}")
-        .filter(f"(least(place, m_place) + least(useful - place, m_useful - m_place)) * {100 + LINK} >= {LINK} * (n + m)")
+        .filter(f"(least(place, m_place) + least(useful - place, m_useful - m_place)) * {100 + link} >= {link} * (n + m)")
         .select(F.col("doc_id").alias("a"), "b")
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
-    more = saved(_links(saved(rest, "rest"), texts), "linked")
+    more = saved(_links(saved(rest, "rest"), texts, link), "linked")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     owner = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -227,12 +234,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, link: int = LINK) -> DataFrame:
     """The rows of docs without those that a smaller doc_id of their component stands for."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    kept = near_duplicates(docs, link).filter("kept").select("doc_id").distinct()
     chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return chosen.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), LINK)

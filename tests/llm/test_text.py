@@ -293,6 +293,16 @@ def test_keep_one(awkward):
     assert out.columns == awkward.columns
 
 
+def test_pipeline_links_at_80(spark, sf):
+    """Four documents, neighbours of similarity 91 / 109 = 0.83: one for the pipeline, four for op6."""
+    words = [f"w{i}" for i in range(131)]
+    docs = spark.createDataFrame([(i, " ".join(words[9 * i : 9 * i + 104])) for i in range(4)], "doc_id long, text string")
+    near = shingles(docs.first().text), shingles(docs.collect()[1].text)
+    assert 80 <= 100 * len(near[0] & near[1]) / len(near[0] | near[1]) < 85
+    assert [r.doc_id for r in corpus_pipeline.keep_one(spark, docs, sf).collect()] == [0]
+    assert near_dup.near_duplicates(docs).filter("kept").count() == 4
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 1100).astype(np.uint64)
