@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and a randomness test battery over other long tokens.
 
 Patterns find assigned values, access keys and long hexadecimal strings; see BASE. Beyond them, every maximal
-run of MIN_RANDOM or more token characters is a candidate. Its encoding (hexadecimal, base 32, lower or upper
+run of MIN_RANDOM or more token characters is a candidate; `=` parts runs, but for those that close one. A run with
+`+` or `/` and also `_` or `-` fits no encoding, so it is parted at either pair of signs and each long piece is a
+candidate; of random pieces within one another the longest counts. Its encoding (hexadecimal, base 32, lower or upper
 case alphanumeric, alphanumeric, base 64 in either form) is inferred from its characters, and three statistics
 are taken over the encoding's alphabet: chi-squared against uniform counts, runs above and below the middle,
 and serial correlation of neighbours. Fisher's method joins their p-values; a candidate must be consistent
@@ -9,7 +11,7 @@ with randomness (joint p >= UNIFORM_AT). The sum of squared counts is also held
 letters of running text, with exact mean and variance of a multinomial; its lower tail is the p-value of the
 hypothesis "this is text". False discoveries are controlled over all candidates of the table by the
 Benjamini-Hochberg rule at rate Q within strata of length, as short tokens carry less evidence: a histogram
-of p-values, a row for each stratum and bin, gives the cut-offs. Runs of digits alone, or with `=` inside,
+of p-values, a row for each stratum and bin, gives the cut-offs. Runs of digits alone
 have no encoding and are not candidates. A candidate that touches a span of the patterns adds nothing.
 
 Everything is built from DataFrame functions. Places are code points, ends exclusive.
@@ -39,7 +41,8 @@ BASE = [
 ]
 RANDOM = "random"
 MIN_RANDOM = 20
-_RUN = r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RANDOM
+_RUN = r"[A-Za-z0-9+/_-]{%d,}(?:=+(?![A-Za-z0-9+/_=-]))?" % MIN_RANDOM
+_PIECES = [r"[A-Za-z0-9%s]{%d,}(?:=+$)?" % (signs, MIN_RANDOM) for signs in ("+/", "_-")]
 #: Lower ends of the strata of length.
 STRATA = [20, 28, 40, 64]
 Q = 0.01
@@ -163,6 +166,19 @@ def _battery(chars: Column, kind: Column) -> Column:
     return _bind(F.transform(chars, lambda c: (F.instr(alphabet, c) - 1).cast("double")), tests)
 
 
+def _pieces(text: Column) -> Column:
+    """array<struct<start, stop, value>> of the long runs, parted where no encoding has all their signs."""
+
+    def parted(m: Column) -> Column:
+        def placed(x: Column) -> Column:
+            return F.struct((m["start"] + x["start"]).alias("start"), (m["start"] + x["stop"]).alias("stop"), x["value"].alias("value"))
+
+        parts = F.array_distinct(F.concat(*(F.transform(matches(m["value"], p, 0), placed) for p in _PIECES)))
+        return F.when(m["value"].rlike("[+/]") & m["value"].rlike("[_-]"), parts).otherwise(F.array(m))
+
+    return F.flatten(F.transform(matches(text, _RUN, 0), parted))
+
+
 def candidates(text: Column) -> Column:
     """array<struct<start, stop, stratum, bin, uniform>> of the long tokens that have an encoding."""
 
@@ -193,7 +209,7 @@ def candidates(text: Column) -> Column:
 
         return _bind(_battery(m["chars"], m["kind"]), with_bin)
 
-    found = F.filter(F.transform(matches(text, _RUN, 0), named), lambda m: m["kind"].isNotNull())
+    found = F.filter(F.transform(_pieces(text), named), lambda m: m["kind"].isNotNull())
     return F.transform(found, binned)
 
 
@@ -221,7 +237,14 @@ def with_spans(docs: DataFrame, base: str = "base_spans", spans: str = "spans")
         touched = F.exists(F.col(base), lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))
         return (m["bin"] >= limit) & (m["uniform"] >= UNIFORM_AT) & ~touched
 
-    added = F.transform(F.filter(candidates(text), random), lambda m: _span(m, len(BASE), RANDOM))
+    def outermost(found: Column) -> Column:
+        def within(m: Column, o: Column) -> Column:
+            return (o["start"] <= m["start"]) & (m["stop"] <= o["stop"]) & (o["stop"] - o["start"] > m["stop"] - m["start"])
+
+        return F.filter(found, lambda m: ~F.exists(found, lambda o: within(m, o)))
+
+    flagged = _bind(F.filter(candidates(text), random), outermost)
+    added = F.transform(flagged, lambda m: _span(m, len(BASE), RANDOM))
     return docs.withColumn(base, base_spans(text)).withColumn(spans, F.array_sort(F.concat(F.col(base), added)))
 
 

@@ -56,6 +56,18 @@ def test_secret_spans(spark, awkward, documents):
     assert not any(w.isalpha() and w.islower() for w in extra)
 
 
+def test_secrets_behind_equals_and_between_mixed_signs(spark):
+    """Random values after `=`, and beside signs that their encoding lacks, have candidates and spans of their own."""
+    key, safe, plain = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ8vT3pLuHd", "k9Xq2LmZ7_Rt4VbN8sWc1-hJ6dFg3KaQ", "k9Xq2LmZ7pRt4VbN8sWc1YhJ6dFg3KaQ"
+    seen = [f"aws_secret_access_key={key} x", f"é PRIVATE_KEY={plain}==", f"a?sig={safe}&b", f"x=={plain}=1", f"to/{safe}/end", f"id-{key}"]
+    meant = [key, f"{plain}==", safe, plain, safe, key]
+    docs = spark.createDataFrame(list(enumerate(seen)), "doc_id long, text string")
+    for r in secrets.with_spans(docs).collect():
+        assert [r.text[s.start : s.stop] for s in r.spans if s.kind == "random"] == [meant[r.doc_id]], r.text
+    for r in secrets.redact(docs).collect():
+        assert r.text == seen[r.doc_id].replace(meant[r.doc_id], "[SECRET]")
+
+
 def test_statistics_of_the_battery(spark):
     """The sum of squared counts, runs and serial product of a token, against direct formulas."""
     token = "k9Xq2LmZ7pRt4VbN8sWc1YhJ6dFg3KaQ"
