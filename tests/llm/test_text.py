@@ -94,6 +94,30 @@ def test_statistics_of_the_battery(spark):
     assert row.bin == int(-np.log10(below(z_of((shares**2).sum(), (shares**3).sum()))) * secrets.BINS_PER)
 
 
+def planted_tokens(times, alphabets, lengths, seed=5):
+    import random
+
+    r = random.Random(seed)
+    return [(n, name, "".join(r.choice(a) for _ in range(n))) for n in lengths for name, a in alphabets.items() for _ in range(times)]
+
+
+def test_short_random_tokens_among_many_of_text(spark):
+    """Keys of 20 to 27 characters, 1 in 100 of the table's long tokens, are told from identifiers."""
+    import random
+
+    from conftest import WORDS
+
+    r = random.Random(2)
+    names = [r.choice(["_", "-", "/", ""]).join(w.title() if r.random() < 0.3 else w for w in r.choices(WORDS, k=5)) + r.choice(["", "", "2", "_v10"]) for _ in range(4000)]
+    names = [n for n in names if len(n) >= secrets.MIN_RANDOM]
+    alphabets = {name: secrets.ENCODINGS[k][1] for name, k in (("base 32", 2), ("base 62", 5), ("base 64", 6), ("url", 7))}
+    keys = planted_tokens(3, alphabets, (20, 24, 27))
+    docs = spark.createDataFrame([(i, f"{t}") for i, t in enumerate([*names, *(t for *_, t in keys)])], "doc_id long, text string")
+    got = {x.doc_id for x in secrets.with_spans(docs).collect() if x.spans}
+    found = len([i for i in got if i >= len(names)])
+    assert found >= 0.9 * len(keys) and len(got) - found <= 2
+
+
 def test_redaction_and_empty_table(spark, awkward, empty):
     made = spark.createDataFrame([(1, 'a token = "abcdefabcdef0123" b', 5), (2, None, 6), (3, "", 7)], "doc_id long, text string, spans int")
     assert [r.text for r in secrets.redact(made).orderBy("doc_id").collect()] == ['a [SECRET]" b', None, ""]
