@@ -1,10 +1,11 @@
 """Toxicity: noisy-channel deobfuscation, then a hashed-word logistic regression on the restored text.
 
 A character trigram model is counted over all documents. A visible token is suspicious when letters stand
-beside look-alike digits or signs, when a character comes three times in a row, or when separators part its
+beside look-alike digits or signs, when a letter comes twice or more in a row, or when a separator parts its
 letters; so is a row of single characters between spaces. For these a lattice holds, at each character, the
-letters it may stand for, a word break, or nothing (a separator, a repetition), each with a channel cost;
-Viterbi decoding finds the likeliest letters under the model. For all other tokens the lattice has one path,
+letters it may stand for, a word break, or nothing (a separator, a repetition), each with a channel cost; a letter
+doubled just once is dear to drop, so usual spellings keep it. In a row of single characters a break may come
+between any two, and wider gaps are breaks. Viterbi decoding finds the likeliest letters under the model. For all other tokens the lattice has one path,
 the token itself. Features are the words of the text and of its restored tokens and the beginnings of words,
 hashed, with how often they come (at most MOST_OFTEN times); weights are
 learned with follow-the-regularised-leader updates from a bounded sample of labelled rows.
@@ -16,6 +17,7 @@ score is 0.5; other columns play no part.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,10 +47,12 @@ MOST_OFTEN = 4
 LOOKALIKES = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "#": "h",
+    "*": "aeiou",
 }
 SEPARATORS = "._-*~^'`,"
-#: Log costs of the channel: a look-alike, a dropped sign, a dropped repetition, a sign as a break between words.
-SUBSTITUTED, DROPPED, REPEATED, BROKEN = -1.0, -0.5, -0.3, -3.0
+#: Log costs of the channel: a look-alike, a dropped sign, a dropped repetition, a sign as a break between words,
+#: a dropped repetition where the letter comes just twice.
+SUBSTITUTED, DROPPED, REPEATED, BROKEN, DOUBLED = -1.0, -0.5, -0.3, -3.0, -4.0
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[97:123] = np.arange(1, 27)
@@ -88,30 +92,37 @@ def log_probabilities(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + 5.0 * low) / (counts.sum(axis=2, keepdims=True) + 5.0))
 
 
-def restore(token: str, model: list) -> str:
-    """The likeliest letters of a lower-case token; spaces part the words."""
+def restore(token: str, model: list, spaced: bool = False) -> str:
+    """The likeliest letters of a lower-case token; spaces part the words. In a spaced one, breaks may come anywhere."""
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     before = ""
-    for sign in token:
+    for place, sign in enumerate(token):
         after: dict[tuple[int, int], tuple[float, str]] = {}
 
         def reach(state: tuple[int, int], score: float, text: str, after=after) -> None:
             if state not in after or score > after[state][0]:
                 after[state] = (score, text)
 
-        if "a" <= sign <= "z":
+        twice = sign == before and token[place - 2 : place - 1] != sign and token[place + 1 : place + 2] != sign
+        if sign == " ":
+            options = [(0, 0.0)]
+        elif "a" <= sign <= "z":
             options = [(ord(sign) - 96, 0.0)]
         else:
             options = [(ord(c) - 96, SUBSTITUTED) for c in LOOKALIKES.get(sign, "")]
             options.append((0, BROKEN))
         for (a, b), (score, text) in states.items():
             if sign == before:
-                reach((a, b), score + REPEATED, text)
+                reach((a, b), score + (DOUBLED if twice and b and not spaced else REPEATED), text)
             elif sign in SEPARATORS:
                 reach((a, b), score + DROPPED, text)
             for c, cost in options:
                 if c or b:
                     reach((b, c), score + cost + model[a][b][c], text + (chr(96 + c) if c else " "))
+                else:
+                    reach((a, b), score + cost, text)
+                if spaced and c and b:
+                    reach((0, c), score + cost + model[a][b][0] + model[b][0][c], text + " " + chr(96 + c))
         states, before = after, sign
     return max((score + model[a][b][0], text) for (a, b), (score, text) in states.items())[1].strip() if states else ""
 
@@ -127,14 +138,18 @@ def suspicious(low: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
         total = np.concatenate(([0], np.cumsum(marked)))
         return total[ends] - total[starts]
 
-    triple = np.zeros(len(low), bool)
-    triple[2:] = (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & _LETTER[low[2:]]
+    #: Marks a character that continues the token of the one before it.
+    goes_on = ~SPACE[low]
+    goes_on[starts] = False
+    letter = _LETTER[low]
+    double = np.zeros(len(low), bool)
+    double[1:] = (low[1:] == low[:-1]) & letter[1:] & goes_on[1:]
     inside = np.zeros(len(low), bool)
-    inside[1:-1] = _PARTS[low[1:-1]] & _LETTER[low[:-2]] & _LETTER[low[2:]]
+    inside[1:-1] = _PARTS[low[1:-1]] & letter[:-2] & letter[2:] & goes_on[1:-1] & goes_on[2:]
     beside = np.zeros(len(low), bool)
-    beside[:-1] = _LOOKS[low[:-1]] & _LETTER[low[1:]]
-    beside[1:-1] |= _LOOKS[low[1:-1]] & _LETTER[low[:-2]] & _WORD[low[2:]]
-    odd = (number(beside) > 0) | (number(triple) > 0) | (number(inside) >= 2)
+    beside[:-1] = _LOOKS[low[:-1]] & letter[1:] & goes_on[1:]
+    beside[1:] |= _LOOKS[low[1:]] & letter[:-1] & goes_on[1:]
+    odd = (number(beside) > 0) | (number(double) > 0) | (number(inside) > 0)
     odd &= number(_LETTER[low]) > 0
     out = list(zip(row[odd].tolist(), starts[odd].tolist(), ends[odd].tolist(), strict=True))
     single = (ends - starts == 1) & (_LETTER | _LOOKS)[low[starts]]
@@ -160,9 +175,10 @@ class Restorer:
             if len(self.known) >= self.MOST:
                 self.known.clear()
             text = token.decode("utf-8", "replace")
-            if len(text) > 1 and text[1] in " \t":
-                text = "".join(text.split())
-            self.known[token] = restore(text, self.model).encode().split()
+            spaced = len(text) > 1 and text[1].isspace()
+            if spaced:
+                text = re.sub(r"\s+", lambda gap: " " if len(gap[0]) > 1 else "", text)
+            self.known[token] = restore(text, self.model, spaced).encode().split()
         return self.known[token]
 
 

@@ -387,6 +387,22 @@ def test_restoration(documents):
     assert [spaced[a:b].tobytes() for _, a, b in toxicity.suspicious(spaced, np.array([0, len(spaced)]))] == [b"s t u p i d"]
 
 
+def test_common_obfuscations_are_decoded():
+    """Look-alikes at the end, one inner separator, doubled letters, and spaced phrases with their breaks."""
+    text = ("you are an idiot and a moron or a stupid letter will follow the trash; you see this is all good " * 200).encode()
+    symbol = toxicity._SYMBOL[np.frombuffer(text, np.uint8)]
+    counts = np.bincount((symbol[:-2] * 27 + symbol[1:-1]) * 27 + symbol[2:], minlength=27**3).reshape(27, 27, 27)
+    restorer = toxicity.Restorer(toxicity.log_probabilities(counts))
+    for seen, meant in {
+        b"idio7": [b"idiot"], b"tra$#": [b"trash"], b"id.iot": [b"idiot"], b"id-iot": [b"idiot"], b"iddiiot": [b"idiot"], b"stuupid": [b"stupid"],
+        b"m*ron": [b"moron"], b"letter": [b"letter"], b"will!!": [b"will"], b"(good": [b"good"],
+        b"y o u i d i o t": [b"you", b"idiot"], b"y o u  m o r o n": [b"you", b"moron"], b"s t u p i d": [b"stupid"],
+    }.items():
+        line = np.frombuffer(b"so " + seen, np.uint8)
+        assert [line[a:b].tobytes() for _, a, b in toxicity.suspicious(line, np.array([0, len(line)]))] == [seen]
+        assert restorer.words(seen) == meant, seen
+
+
 def test_toxicity(spark, awkward, empty):
     from conftest import prose
 
