@@ -1,48 +1,53 @@
 """Byte-level BPE: Spark higher-order functions fold ranked merges over byte arrays of distinct words.
 
-A block of documents becomes one row: its distinct words as arrays of byte ids with the ranks of neighbours, and the place of each word
-of its texts among them. In the JVM, `aggregate` folds over each word: a step finds the neighbours whose
-joined bytes have the least rank, the leftmost of equals, and merges them; ranks come from a literal table.
-The table maps a pair of ids to the rank of the joined bytes; it is laid out by hash and displacement, so a
-lookup is two array reads, and the ranks of neighbours that a merge leaves alone are kept. A word that is itself
-a token takes its own id. The frequent words of a bounded sample are folded once beforehand. Words over LONG bytes, whose fold
-would be quadratic, go through the same merges in a heap. Decoding joins the binary pieces of the ids.
-
-Defined cases: a null or empty text has no ids; texts of any length are used whole; repeated rows are
-encoded each; a null doc_id is kept; an empty table gives an empty result; other columns play no part.
+A block of documents becomes one row: its distinct words as arrays of byte ids with the ranks of neighbours, and
+the number of each word of its texts among them. In the JVM, `aggregate` folds over each word: a step finds the
+neighbours whose joined bytes have the least rank, the leftmost of equals, and merges them; ranks come from a
+literal table. The table is laid out by row displacement: the entry of a pair lies at the place of its left id
+plus its right id, so a lookup is two array reads, and the ranks of neighbours that a merge leaves alone are kept.
+Words of all lengths are folded; one over CHUNK bytes is held in chunks of its parts, so that a step looks at the
+least entries of the chunks and at four chunks, not at the whole word. A word that is itself a token takes its own
+id. The frequent words of a bounded sample are folded once beforehand; any sample gives the same ids. A document's
+ids are those of its words, joined; decoding joins the binary pieces of the ids.
+
+Words are told apart by their bytes: a hash groups them, and each is held against the first of its group.
+
+Defined cases: a null or empty text has no ids; texts and words of any length are used whole; repeated rows are
+encoded each; a null doc_id is kept; of two pairs of equal rank the leftmost merges first; an empty table gives an
+empty result; other columns play no part.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
-import heapq
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, blocks, table
-from .hashing import span_hashes
+from .common import BLOCK_BYTES, blocks, free_name, table
+from .hashing import distinct_spans, same_spans, span_hashes
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Bytes of text in a block, and the longest word that is folded.
-BLOCK, LONG = 4 << 20, 64
+#: Bytes of text in a block, and of a word in a chunk.
+BLOCK, CHUNK = 4 << 20, 128
 #: The words of this many documents, of their first SAMPLE_CHARS characters, are folded once beforehand: the
 #: most frequent SAMPLE_WORDS of them. A word that is missing there is folded in its block, so any sample will do.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 4096, 20_000, 1 << 18
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 16_384, 4096, 1 << 19
 #: A lookup that finds no pair gives at least this; ids are below it.
 NO_MERGE = 1 << 16
-EMPTY = (1 << 48) - 1
-#: An entry of a word under folding: rank with the next part * 2^RANK + 2^16 * room for a place below 64 + id.
-RANK = 22
+EMPTY = 1 << 62
+#: An entry of a word under folding: rank with the next part * 2^RANK + first byte of the part * 2^16 + its id.
+RANK = 46
+LIMIT = NO_MERGE << RANK
+PLACE = (1 << RANK) - NO_MERGE
+#: An entry of the table: left id * 2^LEFT + rank of the joined bytes.
+LEFT = 17
 
 
 @lru_cache(maxsize=2)
@@ -54,131 +59,161 @@ def ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(maxsize=2)
 def pair_table(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Displacements d and entries e: e[(key % len(e) + d[key % len(d)]) % len(e)] xor key * 2^16 is the rank.
+    """Places p and entries e: e[p[left id] + right id] xor left id * 2^LEFT is the rank of the joined bytes.
 
-    A key is left id * 2^16 + right id; an entry is key * 2^16 + rank of the joined bytes, or EMPTY, so that
-    an entry of another key gives 2^16 or more.
+    An entry of another left id, or an EMPTY one, gives NO_MERGE or more.
     """
     known = ranks(path)
-    packed = {}
+    rows: dict[int, dict[int, int]] = {}
     for token, rank in known.items():
         for cut in range(1, len(token)):
             left, right = known.get(token[:cut]), known.get(token[cut:])
             if left is not None and right is not None:
-                packed[left * NO_MERGE + right] = rank
-    size, groups = 2 * len(packed) | 1, len(packed) | 1
-    while True:
-        members: dict[int, list[int]] = {}
-        for key in packed:
-            members.setdefault(key % groups, []).append(key)
-        entries, shift, taken = np.full(size, EMPTY, np.int64), np.zeros(groups, np.int64), bytearray(size)
-        for group, keys in sorted(members.items(), key=lambda m: -len(m[1])):
-            moves = ([(key + move) % size for key in keys] for move in range(size))
-            spots = next((s for s in moves if not any(taken[x] for x in s)), [])
-            if len(set(spots)) < len(keys):
+                rows.setdefault(left, {})[right] = rank
+    most = max(known.values()) + 1
+    free, reached = np.ones(16 * most, bool), {}
+    places, entries = np.zeros(most, np.int32), np.full(len(free), EMPTY, np.int64)
+    for left, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
+        rights = np.array(sorted(row))
+        begin = max(0, reached.get(len(row), 0) - int(rights[0]))
+        while True:  # a place where the whole row is free, from where the last one of its size was found
+            spots = np.arange(begin, begin + 4096)
+            for right in rights.tolist():
+                spots = spots[free[spots + right]]
+                if not len(spots):
+                    break
+            else:
                 break
-            shift[group] = (spots[0] - keys[0]) % size
-            for spot, key in zip(spots, keys, strict=True):
-                taken[spot], entries[spot] = 1, key * NO_MERGE + packed[key]
-        else:
-            return shift, entries
-        size, groups = size + 2, groups + 2
+            begin += 4096
+        places[left] = spots[0]
+        free[places[left] + rights] = False
+        entries[places[left] + rights] = (left << LEFT) + np.array([row[r] for r in rights.tolist()])
+        reached[len(row)] = int(places[left] + rights[0])
+    return places, entries[: int(places.max()) + most]
 
 
-def _bind(value: Column, body) -> Column:
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
 
 
-def _constant(spark: SparkSession, **values: np.ndarray) -> Column:
+def _constant(spark: SparkSession, **values: pa.Array) -> Column:
     """A literal row of arrays, as a scalar subquery: plans name it where an inline literal would be written out."""
-    row = pa.table({name: pa.array([v], pa.list_(pa.from_numpy_dtype(v.dtype))) for name, v in values.items()})
+    row = pa.table({name: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for name, v in values.items()})
     return spark.createDataFrame(row).select(F.struct(*values)).scalar()
 
 
 def pair_ranks(ids: np.ndarray, table_: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The ranks of neighbours in a flat array of ids, NO_MERGE where they do not join."""
-    shift, entries = table_
-    key = ids[:-1].astype(np.int64) * NO_MERGE + ids[1:]
-    found = entries[(key % len(entries) + shift[key % len(shift)]) % len(entries)] - key * NO_MERGE
-    return np.where((found >= 0) & (found < NO_MERGE), found, NO_MERGE)
+    places, entries = table_
+    left = ids[:-1].astype(np.int64)
+    return np.minimum(entries[places[left] + ids[1:]] ^ (left << LEFT), NO_MERGE)
 
 
 def with_ranks(blocks_: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """blocks with the literal rank map in a column `ranks`, for folded()."""
-    shift, entries = pair_table(path)
-    return blocks_.withColumn("ranks", _constant(blocks_.sparkSession, moves=shift.astype(np.int32), entries=entries))
+    places, entries = pair_table(path)
+    return blocks_.withColumn("ranks", _constant(blocks_.sparkSession, places=pa.array(places), entries=pa.array(entries)))
 
 
-def folded(words: Column, table_: Column, path: str = VOCABULARY) -> Column:
-    """Ids of each word, from array<array<bigint>>: for each byte, rank of it and its neighbour * 2^RANK + its id."""
-    shift, entries = pair_table(path)
-    return _bind(table_, lambda t: _folded(words, t["moves"], len(shift), t["entries"], len(entries)))
+def folded(words: Column, chunked: Column, table_: Column) -> Column:
+    """Ids of each word of array<array<bigint>>, then of each of array<array<array<bigint>>>: entries for its bytes, see RANK."""
 
+    def all_(t: Column) -> Column:
+        merge = _merge(t["places"], t["entries"])
+        return F.concat(F.transform(words, _fold(merge)), F.transform(chunked, _chunked_fold(merge)))
 
-def _folded(words: Column, moves: Column, groups: int, table_: Column, size: int) -> Column:
-    def part(left: Column, right: Column) -> Column:
+    return _bind(table_, all_)
+
+
+def _id(entry: Column) -> Column:
+    return entry.bitwiseAND(NO_MERGE - 1).cast("int")
+
+
+def _merge(places: Column, entries: Column) -> Callable[[Column, Column], Column]:
+    """A function of parts and the entry of the one to be merged with the next; its rank is the id of both together."""
+
+    def part(left: Column, right: Column, place: Column) -> Column:
         """The entry of a part `left` that `right` follows."""
-        key = F.shiftleft(left, 16).bitwiseOR(right)
-        spot = (key % size + F.get(moves, (key % groups).cast("int"))) % size
-        found = F.get(table_, spot.cast("int")).bitwiseXOR(F.shiftleft(key, 16))
-        return F.shiftleft(F.least(found, F.lit(NO_MERGE)), RANK).bitwiseOR(left)
-
-    def id_of(entry: Column) -> Column:
-        return entry.bitwiseAND(NO_MERGE - 1)
-
-    def merged(parts: Column, found: Column) -> Column:
-        """`found` has the least rank and the first place that has it; the rank is the id of the joined part."""
-        at, new = F.shiftright(found, 16).bitwiseAND(63).cast("int"), F.shiftright(found, RANK)
-        last = F.lit(NO_MERGE << RANK).bitwiseOR(new)
-
-        def renewed(old: Column, k: Column) -> Column:
-            joined = F.when(at + 2 < F.size(parts), part(new, id_of(F.get(parts, at + 2)))).otherwise(last)
-            return (
-                F.when(k > at, F.get(parts, k + 1))
-                .when(k == at, joined)
-                .when(k == at - 1, part(id_of(old), new))
-                .otherwise(old)
-            )
-
-        return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), renewed)
+        found = F.get(entries, F.get(places, left) + right).bitwiseXOR(F.shiftleft(left.cast("bigint"), LEFT))
+        return F.shiftleft(F.least(found, F.lit(NO_MERGE)), RANK).bitwiseOR(place).bitwiseOR(left)
+
+    def merged(parts: Column, least: Column) -> Column:
+        new = F.shiftright(least, RANK).cast("int")
+
+        def at(place: Column) -> Column:
+            def beside(before: Column) -> Column:
+                n, after = F.size(before), F.get(parts, F.size(before) + 2)
+                joined = F.when(
+                    n + 2 < F.size(parts), _bind(new, lambda one: part(one, _id(after), place))
+                ).otherwise(place.bitwiseOR(new).bitwiseOR(LIMIT))
+                rest = F.slice(parts, n + 3, F.size(parts))
+
+                def renewed(last: Column) -> Column:
+                    changed = _bind(_id(last), lambda left: part(left, new, last.bitwiseAND(PLACE)))
+                    return F.concat(F.slice(before, F.lit(1), n - 1), F.array(changed, joined), rest)
+
+                return F.when(n > 0, _bind(F.get(before, n - 1), renewed)).otherwise(F.concat(F.array(joined), rest))
+
+            return _bind(F.filter(parts, lambda e: e.bitwiseAND(PLACE) < place), beside)
+
+        return _bind(least.bitwiseAND(PLACE), at)
+
+    return merged
+
+
+def _fold(merge: Callable[[Column, Column], Column]) -> Callable[[Column], Column]:
+    """A function of a word; a word of n bytes takes at most n - 1 merges."""
 
     def step(parts: Column, _: Column) -> Column:
-        ranked = F.transform(parts, lambda e, k: e.bitwiseOR(F.shiftleft(k, 16).cast("bigint")))
-        next_ = F.transform(
-            F.array(F.array_min(ranked)), lambda f: F.when(f < NO_MERGE << RANK, merged(parts, f)).otherwise(parts)
-        )
-        return F.get(next_, F.lit(0))
-
-    def fold(word: Column) -> Column:
-        return F.transform(F.aggregate(F.slice(word, F.lit(2), F.size(word)), word, step), lambda e: id_of(e).cast("int"))
-
-    return F.transform(words, fold)
-
-
-def merge_long(word: bytes, known: dict[bytes, int]) -> list[int]:
-    """The same merges for a long word: a heap of (rank, place), with links between the parts that remain."""
-    parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
-    after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-    heap = [(r, i, 1, 1) for i in range(len(word) - 1) if (r := known.get(word[i : i + 2])) is not None]
-    heapq.heapify(heap)
-
-    def offer(i: int) -> None:
-        j = after[i]
-        if j < len(word) and (r := known.get(parts[i] + parts[j])) is not None:
-            heapq.heappush(heap, (r, i, len(parts[i]), len(parts[j])))
-
-    while heap:
-        _, i, left, right = heapq.heappop(heap)
-        if parts[i] is None or len(parts[i]) != left or (j := after[i]) >= len(word) or len(parts[j]) != right:
-            continue
-        parts[i], parts[j], after[i] = parts[i] + parts[j], None, after[j]
-        if after[i] < len(word):
-            before[after[i]] = i
-            offer(i)
-        if before[i] >= 0:
-            offer(before[i])
-    return [known[p] for p in parts if p is not None]
+        return _bind(F.array_min(parts), lambda least: F.when(least < LIMIT, merge(parts, least)).otherwise(parts))
+
+    return lambda word: F.transform(F.aggregate(F.slice(word, F.lit(2), F.size(word)), word, step), _id)
+
+
+def _chunked_fold(merge: Callable[[Column, Column], Column]) -> Callable[[Column], Column]:
+    """The same fold of a long word in chunks that are never empty; `least` has each chunk's least entry.
+
+    A merge at most reaches the last part of the chunk before and the two parts after it: these four chunks are
+    joined, merged and cut again where they were, and the last of them goes if nothing is left of it.
+    """
+
+    def state(chunks: Column) -> Column:
+        return F.struct(chunks.alias("chunks"), F.transform(chunks, F.array_min).alias("least"))
+
+    def merged(old: Column, least: Column) -> Column:
+        chunks, minima = old["chunks"], old["least"]
+
+        def near(first: Column) -> Column:
+            some = F.slice(chunks, first, F.lit(4))
+
+            def cut(parts: Column) -> Column:
+                ends = F.transform(some, lambda _, k: F.aggregate(F.slice(some, F.lit(1), k + 1), F.lit(0), lambda n, c: n + F.size(c)))
+                pieces = F.transform(some, lambda c, k: F.slice(parts, F.get(ends, k) - F.size(c) + 1, F.size(c)))
+                kept = F.filter(pieces, lambda c: F.size(c) > 0)
+                far = first + 4
+
+                def joined(new: Column) -> Column:
+                    def whole(all_: Column, fresh: Column) -> Column:
+                        return F.concat(F.slice(all_, F.lit(1), first - 1), fresh, F.slice(all_, far, F.size(all_)))
+
+                    return F.struct(whole(chunks, new).alias("chunks"), whole(minima, F.transform(new, F.array_min)).alias("least"))
+
+                return _bind(kept, joined)
+
+            return _bind(merge(F.flatten(some), least), cut)
+
+        before = F.size(F.filter(chunks, lambda c: F.get(c, F.lit(0)).bitwiseAND(PLACE) <= least.bitwiseAND(PLACE)))
+        return _bind(F.greatest(before - 1, F.lit(1)), near)
+
+    def step(old: Column, _: Column) -> Column:
+        return _bind(F.array_min(old["least"]), lambda least: F.when(least < LIMIT, merged(old, least)).otherwise(old))
+
+    def ids(word: Column) -> Column:
+        turns = F.slice(F.flatten(word), F.lit(2), F.aggregate(word, F.lit(0), lambda n, c: n + F.size(c)))
+        return F.aggregate(turns, state(word), step, lambda done: F.transform(F.flatten(done["chunks"]), _id))
+
+    return ids
 
 
 @lru_cache(maxsize=1)
@@ -226,239 +261,179 @@ def piece_starts(code: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Known:
-    """Ids of words by their hashes: hash k, sorted, has values[first[k]:first[k] + size[k]]."""
+    """Words and their ids: the word of the k-th hash in order is bytes data[at[k]:at[k] + long[k]], its ids values[first[k]:first[k] + size[k]]."""
 
-    def __init__(self, hashes: np.ndarray, size: np.ndarray, values: np.ndarray):
+    def __init__(self, words: list[bytes], size: np.ndarray, values: np.ndarray):
+        self.data = np.frombuffer(b"".join(words), np.uint8)
+        long = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.cumsum(long) - long
+        hashes = span_hashes(self.data, at, at + long)
         order = np.argsort(hashes, kind="stable")
         first = np.cumsum(size) - size
-        self.hashes, self.first, self.size = hashes[order], first[order], size[order]
-        self.values = values.astype(np.int32)
-        self.mark = hash((self.hashes.tobytes(), self.values.tobytes()))
+        self.hashes, self.at, self.long = hashes[order], at[order].astype(np.int32), long[order].astype(np.int32)
+        self.first, self.size, self.values = first[order].astype(np.int32), size[order].astype(np.int32), values.astype(np.int32)
 
-    def slots(self, hashes: np.ndarray) -> np.ndarray:
-        """The place of each hash, -1 where it is unknown."""
+    def slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word of data among the known ones, -1 where it is unknown."""
         spot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[spot] == hashes, spot, -1).astype(np.int32)
+        n = self.long[spot].astype(np.int64)
+        same = (self.hashes[spot] == hashes) & (n == ends - starts)
+        same[same] = same_spans(data, starts[same], self.data, self.at[spot[same]].astype(np.int64), n[same])
+        return np.where(same, spot, -1)
+
+    def ids(self, slots: np.ndarray) -> pa.ListArray:
+        size = self.size[slots].astype(np.int64)
+        return _lists(self.values[_ranges(self.first[slots].astype(np.int64), size)], size)
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first[k]..first[k] + size[k] - 1 of all k, in a row."""
+    return np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
 
-    def ids(self) -> list[list[int]]:
-        flat = self.values.tolist()
-        return [flat[a : a + n] for a, n in zip(self.first.tolist(), self.size.tolist(), strict=True)]
 
+def _lists(values, size: np.ndarray) -> pa.ListArray:
+    """values cut into lists of the sizes."""
+    ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values if isinstance(values, pa.Array) else pa.array(values))
 
-def _hashed(rows: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-    """The rows' text, the spans of its words, their hashes, and the number of words in each row."""
+
+def _words(rows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' bytes, starts and ends of its words there, and the number of words in each row."""
     borders = np.concatenate(([0], np.cumsum([len(x) for x in rows], dtype=np.int64)))
     text = "".join(rows)
-    code = np.frombuffer(text.encode("utf-32-le"), "<u4")
-    starts = piece_starts(code, borders) if len(code) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(code))[: len(starts)]
-    spans = np.stack((starts, ends), axis=1)
-    return text, spans, span_hashes(code, starts, ends), np.diff(np.searchsorted(starts, borders))
+    raw, code = np.frombuffer(text.encode(), np.uint8), np.frombuffer(text.encode("utf-32-le"), "<u4")
+    found = piece_starts(code, borders) if len(code) else np.zeros(0, np.int64)
+    count = np.diff(np.searchsorted(found, borders))
+    if len(raw) > len(code):  # from code points to bytes
+        found = np.concatenate(([0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF), dtype=np.int64)))[found]
+    return raw, found, np.append(found[1:], len(raw))[: len(found)], count
 
 
-def _packed(words: list[bytes], path: str, table_: tuple[np.ndarray, np.ndarray]) -> pa.Array:
-    """What folded() takes: for each byte of a word, the rank of it and its neighbour * 2^RANK + its id."""
+def _entries(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, path: str, table_: tuple[np.ndarray, np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """What folded() takes for the words of data: those up to CHUNK bytes, and the longer ones in chunks."""
     known = ranks(path)
     byte = np.array([known[bytes([b])] for b in range(256)], np.int64)
-    ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
-    flat = byte[np.frombuffer(b"".join(words), np.uint8)]
-    linked = np.concatenate((pair_ranks(flat, table_), [NO_MERGE])) if len(flat) else flat
-    linked[ends[1:][np.diff(ends) > 0] - 1] = NO_MERGE
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((linked << RANK) + flat))
+
+    def entries(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        flat = byte[data[_ranges(starts, size)]]
+        rank = np.append(pair_ranks(flat, table_), NO_MERGE) if len(flat) else flat
+        rank[np.cumsum(size) - 1] = NO_MERGE
+        return (rank << RANK) | (_ranges(np.zeros_like(size), size) << 16) | flat
+
+    size = ends - starts
+    long = size > CHUNK
+    chunks = -(-size[long] // CHUNK)
+    each = np.full(int(chunks.sum()), CHUNK)
+    each[np.cumsum(chunks) - 1] = size[long] - (chunks - 1) * CHUNK
+    return _lists(entries(starts[~long], size[~long]), size[~long]), _lists(_lists(entries(starts[long], size[long]), each), chunks)
 
 
 def known_words(docs: DataFrame, path: str = VOCABULARY) -> Known:
     """The tokens of the vocabulary, and the frequent words of a bounded sample, folded."""
-    tokens_: dict[str, int] = {}
-    for token, rank in ranks(path).items():
-        try:
-            tokens_[token.decode()] = rank
-        except UnicodeDecodeError:
-            continue  # no text is such bytes alone
-    hashes, size = [_each_hash(list(tokens_))], [np.ones(len(tokens_), np.int64)]
-    values = [np.array(list(tokens_.values()), np.int32)]
+    words, values = list(ranks(path)), np.array(list(ranks(path).values()), np.int32)
+    size, tokens_ = np.ones(len(words), np.int64), frozenset(words)
+    often: dict[bytes, int] = {}
     head = [r[0] for r in docs.select(F.substring("text", 1, SAMPLE_CHARS)).head(SAMPLE_DOCS) if r[0]]
-    parts, done_ = [], 0
-    for k in range(0, len(head), 32):
-        part = _hashed(head[k : k + 32])
-        parts.append((part[0], part[1] + done_, part[2]))
-        done_ += len(part[0])
-    text = "".join(t for t, _, _ in parts)
-    spans = np.concatenate([np.zeros((0, 2), np.int64), *(p[1] for p in parts)])
-    found = np.concatenate([np.zeros(0, np.uint64), *(p[2] for p in parts)])
-    places, distinct = pd.factorize(found)
-    first = np.zeros(len(distinct), np.int64)
-    first[places[::-1]] = np.arange(len(places) - 1, -1, -1)
-    often = np.argsort(-np.bincount(places, minlength=len(distinct)), kind="stable")[:SAMPLE_WORDS]
-    words = [w for a, b in spans[first[often]].tolist() if (w := text[a:b]) not in tokens_ and len(w.encode()) <= LONG]
-    chunks = [words[k : k + 4096] for k in range(0, len(words), 4096)]
-    if chunks:
-        lists = [_packed([w.encode() for w in c], path, pair_table(path)) for c in chunks]
-        ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32))
-        rows = pa.table({"k": pa.array(range(len(chunks))), "words": pa.ListArray.from_arrays(ends, pa.concat_arrays(lists))})
-        spread = docs.sparkSession.createDataFrame(rows).repartition(len(chunks), "k")
-        done = with_ranks(spread, path).select("k", folded(F.col("words"), F.col("ranks"), path).alias("ids")).toArrow().sort_by("k").combine_chunks()
-        ids = pa.concat_arrays(done["ids"].chunks).flatten()
-        hashes.append(_each_hash(words))
-        size.append(np.diff(ids.offsets.to_numpy())[: len(ids)].astype(np.int64))
-        values.append(ids.flatten().to_numpy(zero_copy_only=False))
-    return Known(*(np.concatenate(x) for x in (hashes, size, values)))
-
-
-def _each_hash(words: list[str]) -> np.ndarray:
-    """The hash of each text taken as one word."""
-    ends = np.cumsum([len(w) for w in words])
-    code = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
-    return span_hashes(code, ends - np.array([len(w) for w in words]), ends)
+    for k in range(0, len(head), 128):
+        raw, starts, ends, _ = _words(head[k : k + 128])
+        places, first = distinct_spans(raw, starts, ends)
+        data = raw.tobytes()
+        for a, b, n in zip(starts[first].tolist(), ends[first].tolist(), np.bincount(places).tolist(), strict=True):
+            often[data[a:b]] = often.get(data[a:b], 0) + n
+    some = sorted((w for w in often if w not in tokens_ and len(w) <= CHUNK), key=lambda w: (-often[w], w))[:SAMPLE_WORDS]
+    if not some:
+        return Known(words, size, values)
+    chunks = [some[k : k + 4096] for k in range(0, len(some), 4096)]
+
+    def packed(chunk: list[bytes]) -> pa.Array:
+        ends = np.cumsum([len(w) for w in chunk])
+        starts = np.concatenate(([0], ends[:-1]))
+        return _entries(np.frombuffer(b"".join(chunk), np.uint8), starts, ends, path, pair_table(path))[0]
+
+    lists = _lists(pa.concat_arrays([packed(c) for c in chunks]), np.array([len(c) for c in chunks]))
+    spread = docs.sparkSession.createDataFrame(pa.table({"k": pa.array(range(len(chunks))), "words": lists})).repartition(len(chunks), "k")
+    none = F.array().cast("array<array<array<bigint>>>")
+    done = with_ranks(spread, path).select("k", folded(F.col("words"), none, F.col("ranks")).alias("ids")).toArrow().sort_by("k")
+    ids = pa.concat_arrays(done.column("ids").combine_chunks().chunks if done.column("ids").num_chunks > 1 else done.column("ids").chunks).flatten()
+    more = np.diff(ids.offsets.to_numpy())[: len(ids)].astype(np.int64)
+    return Known(words + some, np.concatenate((size, more)), np.concatenate((values, ids.flatten().to_numpy(zero_copy_only=False))))
 
 
 def split_words(docs: DataFrame, known: Known, path: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
-    """A row for each block: doc_ids, words in each, the number of every word among the distinct ones, and these.
+    """A row for each block: its documents' doc_id with the numbers of their words, and the distinct words.
 
-    `slots` has a distinct word's place in the known ones, or -1 - its place in `words`, for folded(), with
-    the ids of those longer than LONG in `far`. Words are told apart by a 64-bit hash.
+    Words are numbered along `given`, the ids of known ones, then `words` and `chunked`, for folded().
     """
     table_ = pair_table(path)
 
-    def row(ids: list, sizes: list, texts: list, hashes: list, spans: list) -> pa.RecordBatch:
-        places, distinct = pd.factorize(np.concatenate(hashes))
-        first = np.empty(len(distinct), np.int64)
-        first[places[::-1]] = np.arange(len(places) - 1, -1, -1)
-        slots = known.slots(distinct)
-        unknown = np.flatnonzero(slots < 0)
-        slots[unknown] = -1 - np.arange(len(unknown), dtype=np.int32)
-        text = "".join(texts)
-        words = [text[a:b].encode() for a, b in np.concatenate(spans)[first[unknown]].tolist()]
-        far = [merge_long(w, ranks(path)) if len(w) > LONG else None for w in words]
-        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-        return pa.RecordBatch.from_arrays(
-            [
-                one(pa.array(ids, pa.int64())),
-                *(pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (np.concatenate(sizes), places, slots)),
-                one(_packed([b"" if f else w for w, f in zip(words, far, strict=True)], path, table_)),
-                one(pa.array(far, pa.list_(pa.int32()))),
-            ],
-            ["doc_ids", "sizes", "places", "slots", "words", "far"],
-        )
+    def row(ids: list, sizes: list, raws: list, starts: list, ends: list) -> pa.RecordBatch:
+        raw, start, end = np.concatenate(raws), np.concatenate(starts), np.concatenate(ends)
+        hashes = span_hashes(raw, start, end)
+        places, first = distinct_spans(raw, start, end, hashes)
+        start, end = start[first], end[first]
+        slots = known.slots(raw, start, end, hashes[first])
+        kind = np.where(slots >= 0, 0, np.where(end - start <= CHUNK, 1, 2))
+        order = np.argsort(kind, kind="stable")
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order))
+        new = order[kind[order] > 0]
+        words, chunked = _entries(raw, start[new], end[new], path, table_)
+        each = _lists(number[places], np.concatenate(sizes))
+        docs = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), each], ["doc_id", "places"])
+        columns = [_lists(x, np.array([len(x)])) for x in (docs, known.ids(slots[order[kind[order] == 0]]), words, chunked)]
+        return pa.RecordBatch.from_arrays(columns, ["docs", "given", "words", "chunked"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: tuple[list, ...] = ([], [], [], [], [])
-        total = done = 0
+        total = 0
         for batch in batches:
             for first, last, data, at in blocks(batch.column("text"), BLOCK_BYTES // 4):
-                ids, sizes, texts, hashes, spans = state
-                rows = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
-                text, span, h, size = _hashed(rows)
-                for to, value in ((sizes, size), (texts, text), (hashes, h), (spans, span + done)):
-                    to.append(value)
+                ids, *parts = state
+                raw, start, end, size = _words([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)])
                 ids += batch.column("doc_id")[first:last].to_pylist()
-                total, done = total + len(data), done + len(text)
+                for to, value in zip(parts, (size, raw, start + total, end + total), strict=True):
+                    to.append(value)
+                total += len(raw)
                 if total >= block:
                     yield row(*state)
-                    state, total, done = ([], [], [], [], []), 0, 0
+                    state, total = ([], [], [], [], []), 0
         if state[0]:
             yield row(*state)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         split,
-        "doc_ids array<long>, sizes binary, places binary, slots binary, words array<array<bigint>>, far array<array<int>>",
+        "docs array<struct<doc_id: long, places: array<int>>>, given array<array<int>>, words array<array<bigint>>, chunked array<array<array<bigint>>>",
     )
 
 
-@dataclass(frozen=True)
-class Encoded:
-    """Blocks of documents with the ids of their unknown words, and the words known beforehand."""
-
-    blocks: DataFrame
-    known: Known
-    path: str
-
-
-def encode(docs: DataFrame, path: str = VOCABULARY, block: int = BLOCK) -> Encoded:
+def encode(docs: DataFrame, path: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
+    """(doc_id, ids) of every row of docs (doc_id, text)."""
     known = known_words(docs, path)
-    ids = F.zip_with(folded(F.col("words"), F.col("ranks"), path), "far", lambda a, b: F.coalesce(b, a))
-    split = with_ranks(split_words(docs, known, path, block), path)
-    return Encoded(split.select("doc_ids", "sizes", "places", "slots", ids.alias("ids")), known, path)
-
-
-def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, list]]:
-    """doc_ids, borders of the documents among the words, the words' numbers, slots, and the ids of unknown words."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            sizes, places, slots = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int32) for c in ("sizes", "places", "slots"))
-            lists = batch.column("ids")[k].values
-            at = lists.offsets.to_numpy()
-            flat, cuts = lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]].tolist(), (at - at[0]).tolist()
-            own = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield batch.column("doc_ids")[k].values, np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), places, slots, own
 
+    def documents(ids: Column) -> Column:
+        def whole(doc: Column) -> Column:
+            return F.struct(doc["doc_id"].alias("doc_id"), F.flatten(F.transform(doc["places"], lambda k: F.get(ids, k))).alias("ids"))
 
-def tokens(encoded: Encoded) -> DataFrame:
-    """(doc_id, ids) of encoded blocks."""
-    known = encoded.known
+        return F.transform("docs", whole)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = known.ids()
-        for doc_ids, borders, places, slots, own in _blocks_of(batches):
-            words = [table_[s] if s >= 0 else own[-1 - s] for s in slots.tolist()]
-            for doc_id, a, b in zip(doc_ids, borders[:-1].tolist(), borders[1:].tolist(), strict=True):
-                ids = [i for w in places[a:b].tolist() for i in words[w]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_id.as_py()], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], ["doc_id", "ids"]
-                )
-
-    return encoded.blocks.mapInArrow(each, "doc_id long, ids array<int>")
+    every = F.concat("given", folded(F.col("words"), F.col("chunked"), F.col("ranks")))
+    split = with_ranks(split_words(docs, known, path, block), path)
+    return split.select(F.inline(_bind(every, documents)))
 
 
 def decode(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, bytes) of (doc_id, ids): the pieces of the ids, joined."""
-    known = {i: b for b, i in ranks(path).items()}
-    pieces = F.split(F.lit(",".join(known.get(i, b"").hex() for i in range(max(known) + 1))), ",")
-    text = F.array_join(F.transform("ids", lambda i: F.get(pieces, i)), "")
-    return rows.select("doc_id", F.unhex(text).alias("bytes"))
-
-
-#: Written forms of the known words, kept by a Python worker for its next task of the same query.
-_forms: dict[int, tuple[list[bytes], list[bytes]]] = {}
-
-
-def digests(encoded: Encoded) -> DataFrame:
-    """n_tokens, and SHA-256 of the ids and of the bytes they decode to, for each document.
-
-    Each distinct word's ids are written out and decoded once; a document joins those of its words.
-    """
-    known, path = encoded.known, encoded.path
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = {i: b for b, i in ranks(path).items()}
-
-        def forms(ids: list[list[int]]) -> tuple[list[bytes], list[bytes]]:
-            return [",".join(map(str, x)).encode() for x in ids], [b"".join([piece[i] for i in x]) for x in ids]
-
-        if known.mark not in _forms:
-            _forms.clear()
-            _forms[known.mark] = forms(known.ids())
-        said_known, back_known = _forms[known.mark]
-        for doc_ids, borders, places, slots, own in _blocks_of(batches):
-            said_own, back_own = forms(own)
-            numbers = slots.tolist()
-            said = [said_known[s] if s >= 0 else said_own[-1 - s] for s in numbers]
-            back = [back_known[s] if s >= 0 else back_own[-1 - s] for s in numbers]
-            more = np.array([len(x) for x in own] or [0])
-            size = np.where(slots >= 0, known.size[np.maximum(slots, 0)], more[np.maximum(-1 - slots, 0)])
-            total = np.concatenate(([0], np.cumsum(size[places])))
-            hashes: tuple[list[str], list[str]] = ([], [])
-            for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
-                here = places[a:b].tolist()
-                hashes[0].append(hashlib.sha256(b",".join([said[w] for w in here])).hexdigest())
-                hashes[1].append(hashlib.sha256(b"".join([back[w] for w in here])).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [doc_ids.cast(pa.int64()), pa.array(total[borders[1:]] - total[borders[:-1]]), *(pa.array(h, pa.string()) for h in hashes)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return encoded.blocks.mapInArrow(each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """rows with `bytes`: the binary pieces of their ids, joined."""
+    known, name = {i: b for b, i in ranks(path).items()}, free_name(rows, "pieces")
+    pieces = pa.array([known.get(i, b"").hex() for i in range(max(known) + 1)])
+    text = F.array_join(F.transform("ids", lambda i: F.get(F.col(name)["pieces"], i)), "")
+    return rows.withColumn(name, _constant(rows.sparkSession, pieces=pieces)).withColumn("bytes", F.unhex(text)).drop(name)
 
 
 def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode(table(spark, sf_dir, "documents")))
+    """doc_id, n_tokens, and SHA-256 of the ids and of the bytes they decode to."""
+    return decode(encode(table(spark, sf_dir, "documents"))).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )

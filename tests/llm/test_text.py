@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stopflow.llm import bpe, licences, line_dedup, near_dup, packing, quality, registry, secrets, toxicity
+from stopflow.llm import bpe, hashing, licences, line_dedup, near_dup, packing, quality, registry, secrets, toxicity
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 ASSIGN = re.compile(
@@ -177,17 +177,44 @@ def reference():
     return tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(bpe.VOCABULARY), special_tokens={})
 
 
+def thue_morse(size):
+    """A word over a and b, and its complement: they collide under every polynomial modulo 2^64."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(size))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+#: Texts of one long word, and of words that a weak hash would take for each other.
+LONG_WORDS = ["ab" * 300, "a" * 3000, " strange" * 20 + "strange" * 40, "x" * 129, "é中😀" * 90, *thue_morse(2048), " ".join(thue_morse(1024)) + " ab"]
+
+
 def test_bpe(spark, awkward, documents, reference, empty):
-    docs = awkward.select("doc_id", "text").union(documents.select("doc_id", "text"))
-    encoded = bpe.encode(docs.coalesce(1), block=50_000)
+    long = spark.createDataFrame([(7000 + i, t) for i, t in enumerate(LONG_WORDS)], "doc_id long, text string")
+    docs = awkward.select("doc_id", "text").union(documents.select("doc_id", "text")).union(long)
     want = Counter()
     for i, t in texts(docs):
+        want[i, tuple(reference.encode_ordinary(t)), t.encode()] += 1
+    got = bpe.decode(bpe.encode(docs.coalesce(1), block=50_000)).collect()
+    assert Counter((r.doc_id, tuple(r.ids), bytes(r.bytes)) for r in got) == want
+    assert bpe.encode(empty).count() == 0
+    nameless = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
+    assert sorted(len(r.ids) for r in bpe.encode(nameless).collect()) == [0, 2]
+
+
+def test_bpe_digests(spark, sf, documents, reference):
+    want = {}
+    for i, t in texts(documents):
         ids = reference.encode_ordinary(t)
-        want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += 1
-    assert Counter(map(tuple, bpe.digests(encoded).collect())) == want
-    ids = bpe.tokens(bpe.encode(awkward))
-    assert Counter(bytes(r.bytes) for r in bpe.decode(ids).collect()) == Counter(t.encode() for _, t in texts(awkward))
-    assert bpe.digests(bpe.encode(empty)).count() == 0
+        want[i] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    assert {r[0]: tuple(r)[1:] for r in bpe.op5_byte_level_bpe(spark, sf).collect()} == want
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    """Spans are held against each other byte by byte, whatever the hash says."""
+    data = np.frombuffer(b"abcabdabc" + b"x" * 200 + b"x" * 199 + b"y", np.uint8)
+    starts, ends = np.array([0, 3, 6, 9, 209]), np.array([3, 6, 9, 209, 409])
+    for hashes in (None, np.zeros(5, np.uint64)):
+        places, first = hashing.distinct_spans(data, starts, ends, hashes)
+        assert places.tolist() == [0, 1, 0, 2, 3] and first.tolist() == [0, 1, 3, 4]
 
 
 @settings(max_examples=300, deadline=None)
@@ -202,11 +229,6 @@ def test_split_is_the_pattern(rows):
     assert (bpe.piece_starts(code, at).tolist() if len(code) else []) == want
 
 
-def test_long_words_merge_alike(reference):
-    for word in (b"ab" * 300, b"aaaaaaa" * 50, " strange".encode() * 20, b"x" * 200, bytes(range(128, 256))):
-        assert bpe.merge_long(word, bpe.ranks(bpe.VOCABULARY)) == reference._encode_single_piece(word)
-
-
 def test_packing(spark, awkward, documents, empty):
     from tokenizers import Tokenizer
 
