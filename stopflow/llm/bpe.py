@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, blocks, free_name, table
+from .common import BLOCK_BYTES, blocks, buffers, free_name, table
 from .hashing import distinct_spans, same_spans, span_hashes
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -38,7 +38,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BLOCK, CHUNK = 4 << 20, 128
 #: The words of this many documents, of their first SAMPLE_CHARS characters, are folded once beforehand: the
 #: most frequent SAMPLE_WORDS of them. A word that is missing there is folded in its block, so any sample will do.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 16_384, 4096, 1 << 19
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 12_288, 4096, 3 << 17
 #: A lookup that finds no pair gives at least this; ids are below it.
 NO_MERGE = 1 << 16
 EMPTY = 1 << 62
@@ -340,21 +340,25 @@ def known_words(docs: DataFrame, path: str = VOCABULARY) -> Known:
         data = raw.tobytes()
         for a, b, n in zip(starts[first].tolist(), ends[first].tolist(), np.bincount(places).tolist(), strict=True):
             often[data[a:b]] = often.get(data[a:b], 0) + n
+    del head
     some = sorted((w for w in often if w not in tokens_ and len(w) <= CHUNK), key=lambda w: (-often[w], w))[:SAMPLE_WORDS]
     if not some:
         return Known(words, size, values)
-    chunks = [some[k : k + 4096] for k in range(0, len(some), 4096)]
-
-    def packed(chunk: list[bytes]) -> pa.Array:
-        ends = np.cumsum([len(w) for w in chunk])
-        starts = np.concatenate(([0], ends[:-1]))
-        return _entries(np.frombuffer(b"".join(chunk), np.uint8), starts, ends, path, pair_table(path))[0]
+    table_ = pair_table(path)
 
-    lists = _lists(pa.concat_arrays([packed(c) for c in chunks]), np.array([len(c) for c in chunks]))
-    spread = docs.sparkSession.createDataFrame(pa.table({"k": pa.array(range(len(chunks))), "words": lists})).repartition(len(chunks), "k")
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, chunk in zip(batch.column("k").to_pylist(), batch.column("words"), strict=True):
+                data, at = buffers(chunk.values)
+                one = _lists(_entries(data, at[:-1], at[1:], path, table_)[0], np.array([len(at) - 1]))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), one], ["k", "words"])
+
+    size_of = np.array([min(4096, len(some) - k) for k in range(0, len(some), 4096)])
+    rows = pa.table({"k": pa.array(range(len(size_of))), "words": _lists(pa.array(some, pa.binary()), size_of)})
+    spread = docs.sparkSession.createDataFrame(rows).repartition(len(size_of), "k").mapInArrow(entries, "k long, words array<array<bigint>>")
     none = F.array().cast("array<array<array<bigint>>>")
     done = with_ranks(spread, path).select("k", folded(F.col("words"), none, F.col("ranks")).alias("ids")).toArrow().sort_by("k")
-    ids = pa.concat_arrays(done.column("ids").combine_chunks().chunks if done.column("ids").num_chunks > 1 else done.column("ids").chunks).flatten()
+    ids = done.column("ids").combine_chunks().flatten()
     more = np.diff(ids.offsets.to_numpy())[: len(ids)].astype(np.int64)
     return Known(words + some, np.concatenate((size, more)), np.concatenate((values, ids.flatten().to_numpy(zero_copy_only=False))))
 

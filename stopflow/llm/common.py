@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,29 +9,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.working import forget, materialised
+
+__all__ = ["BLOCK_BYTES", "blocks", "buffers", "forget", "free_name", "saved", "table"]
 #: Bytes of text that a kernel works on at once; one longer document makes a block of its own.
 BLOCK_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only a session without one gets its own."""
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="stopflow-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back.
-
-    Cuts the lineage with files that outlive any executor, and gives every reader the same rows.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Writes a frame to the shared folder and reads it back; see working.materialised()."""
+    return materialised(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,14 +58,3 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
-
-
-def release(spark: SparkSession, name: str = "") -> int:
-    """Deletes the working tables below the shared folder, or those of one name, once results are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [s.getPath() for s in system.listStatus(path) if re.fullmatch(r"\w+-[0-9a-f]{32}", s.getPath().getName())]
-    found = [p for p in found if not name or p.getName().startswith(f"{name}-")]
-    for one in found:
-        system.delete(one, True)
-    return len(found)

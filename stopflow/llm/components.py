@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, saved
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     both = saved(
         links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links"
     )
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
+    labels = table = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
     while True:
         near = (
             both.join(labels.withColumnsRenamed({"node": "b", "component": "seen"}), "b")
@@ -29,6 +29,9 @@ def components(links: DataFrame) -> DataFrame:
         )
         jump = step.select(F.col("node").alias("to"), F.col("to").alias("further"))
         after = saved(step.join(jump, "to").select("node", "component", F.col("further").alias("to")), "labels")
-        if after.filter("component <> to").isEmpty():
+        done = after.filter("component <> to").isEmpty()
+        forget(step, table)
+        if done:
+            forget(both)
             return after.select("node", "component")
-        labels = after.select("node", F.col("to").alias("component"))
+        table, labels = after, after.select("node", F.col("to").alias("component"))

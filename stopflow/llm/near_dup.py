@@ -7,15 +7,17 @@ are full. Bins keep the least value, and two sets agree in a bin with the probab
 
 A pair is linked at a similarity of `link` hundredths; op6 uses LINK, the pipeline a threshold of its own.
 BANDS bands of ROWS bins make bucket keys. A pair at 0.85 shares no bucket with probability
-(1 - 0.85^4)^32 = 6e-11, one at 0.80 with 5e-8. Documents with equal sets are one class from the start. In each bucket every class
-is compared with the smallest one on full sets. Where classes of a bucket are then still in different
+(1 - 0.85^4)^32 = 6e-11, one at 0.80 with 5e-8. Documents with equal sets, told by a 128-bit hash of their words, are
+one class from the start. In each bucket every class is compared with the smallest one on full sets. Links are
+confirmed on the words themselves, not on hashes of them. Where classes of a bucket are then still in different
 components, a prefix filter finds the remaining pairs: a set of n members shares one of its first
 n - ceil(link n / 100) + 1 members, in an order common to all, with every partner, and rare members come first in
 it; members of one component only cannot count. No link is lost, and a large group is not paired with itself.
 
 Defined cases: null and empty texts and texts without words have an empty set and stand alone; texts of any
-length are used whole; rows with one doc_id are one document; a row without doc_id stands alone with a null
-component; an empty table gives an empty result; other columns play no part.
+length are used whole; rows with one doc_id are one document, linked through any of its texts, and each row has
+the size of its own set; a row without doc_id stands alone with a null component; an empty table gives an empty
+result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, buffers, saved, table
+from .common import BLOCK_BYTES, blocks, buffers, forget, saved, table
 from .components import components
-from .hashing import U64, mix, seeds, shingle_sets
+from .hashing import U64, exact_shingles, mix, seeds, shingle_sums
 
 WORDS = 5
 COORDINATES, BANDS = 128, 32
@@ -42,7 +44,6 @@ _BAND = seeds(BANDS, 4)
 _PLACE = seeds(ROWS, 5) | U64(1)
 _SHIFT = U64(64 - (COORDINATES.bit_length() - 1))
 _FULL = U64(0xFFFFFFFFFFFFFFFF)
-_SET = seeds(2, 6)
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -76,11 +77,12 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, at in blocks(batch.column("text")):
-            sets = shingle_sets(data, at, WORDS)
+            found = shingle_sums(data, at, WORDS)
+            sets = [s for s, _ in found]
             size = np.array([len(s) for s in sets], np.int64)
             keys = band_keys(sketches(sets)).view(np.int64)
             none = size == 0
-            total = [np.array([mix(s ^ c).sum(dtype=U64) for s in sets], U64).view(np.int64) for c in _SET]
+            total = np.array([t for _, t in found], U64).view(np.int64).T
             ends = np.concatenate(([0], np.cumsum(np.where(none, 0, BANDS)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -94,18 +96,18 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(link: int):
-    """An Arrow pass that keeps the pairs whose sets reach the threshold."""
+    """An Arrow pass that keeps the pairs whose sets of words reach the threshold."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.rename_columns(["a", "b", "text", "other"])
-            for first, last, data, at in blocks(batch.column("text")):
-                left = shingle_sets(data, at, WORDS)
-                right = shingle_sets(*buffers(batch.column("other")[first:last]), WORDS)
+            for first, last, data, at in blocks(batch.column("text"), BLOCK_BYTES // 2):
+                more, more_at = buffers(batch.column("other")[first:last])
+                sets = exact_shingles(np.concatenate((data, more)), np.concatenate((at, len(data) + more_at[1:])), WORDS)
                 linked = []
-                for x, y in zip(left, right, strict=True):
+                for x, y in zip(sets[: last - first], sets[last - first :], strict=True):
                     small, large = sorted((x, y), key=len)
-                    if 100 * len(small) < link * len(large):
+                    if not len(small) or 100 * len(small) < link * len(large):
                         linked.append(False)
                         continue
                     spot = np.minimum(np.searchsorted(large, small), len(large) - 1)
@@ -118,25 +120,26 @@ def _verified(link: int):
 
 
 def _members(docs: DataFrame) -> DataFrame:
-    """(doc_id, component, n, shingle): a row for each member of each set."""
+    """(doc_id, component, own, n, shingle): a row for each member of each set; own tells the texts of a doc_id apart."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, at in blocks(batch.column("text")):
-                sets = shingle_sets(data, at, WORDS)
-                row = pa.array(np.repeat(np.arange(first, last), [len(x) for x in sets]))
-                columns = [batch.column(c).take(row) for c in ("doc_id", "component", "n")]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(np.concatenate(sets).view(np.int64))], ["doc_id", "component", "n", "shingle"]
-                )
-
-    return docs.select("doc_id", "component", "n", "text").mapInArrow(
-        each, "doc_id long, component long, n long, shingle long"
+                found = shingle_sums(data, at, WORDS)
+                size = np.array([len(x) for x, _ in found])
+                row = pa.array(np.repeat(np.arange(first, last), size))
+                own = np.array([t[0] for _, t in found], U64).view(np.int64)
+                members = np.concatenate([x for x, _ in found]).view(np.int64)
+                columns = [*(batch.column(c).take(row) for c in ("doc_id", "component")), *(pa.array(np.repeat(x, size)) for x in (own, size)), pa.array(members)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "component", "own", "n", "shingle"])
+
+    return docs.select("doc_id", "component", "text").mapInArrow(
+        each, "doc_id long, component long, own long, n long, shingle long"
     )
 
 
 def _prefixes(docs: DataFrame, link: int) -> DataFrame:
-    """(doc_id, component, n, useful, shingle): the prefix of each set that can reach a set of another component.
+    """(doc_id, component, n, useful, place, shingle): the prefix of each set that can reach a set of another component.
 
     Members that occur in one component only are useless for that, so they come first in the common order;
     the others follow by rarity. A set needs ceil(link n / 100) useful members, and n - ceil(link n / 100) + 1
@@ -149,7 +152,7 @@ def _prefixes(docs: DataFrame, link: int) -> DataFrame:
         .filter("lo < hi")
         .select("shingle", "df")
     )
-    own = Window.partitionBy("doc_id")
+    own = Window.partitionBy("doc_id", "own")
     return (
         members.join(saved(across, "across"), "shingle")
         .withColumn("useful", F.count("*").over(own))
@@ -167,6 +170,14 @@ def _links(pairs: DataFrame, texts: DataFrame, link: int) -> DataFrame:
     return both.mapInArrow(_verified(link), "a long, b long")
 
 
+def _same_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of the texts of one doc_id, for the ids that have several."""
+    several = rows.groupBy("doc_id").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo < hi").select("doc_id")
+    of = rows.select("doc_id", "k1", "k2").join(several, "doc_id").distinct().join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
+    least = of.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return of.join(least, "doc_id").filter("a < rep").select("a", F.col("rep").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs (doc_id, text), linked at `link` hundredths."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -174,41 +185,29 @@ def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
         docs.mapInArrow(_sketched, "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>"), "sketches"
     )
     some = base.filter("doc_id IS NOT NULL AND k1 IS NOT NULL")
-    classes = saved(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    own = classes.withColumnRenamed("rep", "doc_id")
-    spread = some.join(own, ["k1", "k2", "doc_id"]).select(
-        F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key")
-    )
-    hubs = spread.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("hub")).filter("c > 1").drop("c")
-    buckets = saved(spread.join(saved(hubs, "hubs"), "key"), "buckets")
-    members = buckets.select("rep", "n").union(buckets.select("hub", F.lit(None).cast("long"))).groupBy("rep")
-    texts = saved(
-        docs.join(members.agg(F.max("n").alias("n")).select(F.col("rep").alias("doc_id")), "doc_id"), "texts"
-    )
-    sizes = buckets.groupBy(F.col("rep").alias("hub")).agg(F.max("n").alias("m"))
+    equal = some.groupBy("k1", "k2")
+    classes = saved(equal.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
+    spread = classes.select("rep", "n", F.explode("keys").alias("key"))
+    # The hub of a bucket is its smallest class; its size travels with it.
+    hubs = spread.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("hub")).filter("c > 1")
+    hubs = saved(hubs.select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("m")), "hubs")
+    buckets = saved(spread.join(hubs, "key"), "buckets")
+    wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    texts = saved(docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "text"]), "texts")
     reach = f"100 * least(n, m) >= {link} * greatest(n, m)"
-    first = (
-        buckets.filter("rep <> hub")
-        .groupBy(F.col("hub"), "rep")
-        .agg(F.max("n").alias("n"))
-        .join(sizes, "hub")
-        .filter(reach)
-        .select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    )
-    tried = saved(first, "pairs")
-    links = saved(_links(tried, texts, link), "linked")
+    first = buckets.filter("rep <> hub").filter(reach)
+    tried = saved(first.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    links = saved(_links(tried, texts, link).union(_same_id(some, classes)).distinct(), "linked")
     found = components(links)
     # Buckets whose classes are not yet one component: compare across the components.
     named = (
         buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+        .select("key", "rep", F.coalesce("component", "rep").alias("component"))
     )
     split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    open_ = named.join(saved(split.select("key"), "split"), "key").groupBy(F.col("rep").alias("doc_id"))
-    unsettled = saved(
-        texts.select("doc_id", "text").join(open_.agg(F.max("component").alias("component"), F.max("n").alias("n")), "doc_id"),
-        "unsettled",
-    )
+    split = saved(split.select("key"), "split")
+    open_ = named.join(split, "key").groupBy(F.col("rep").alias("doc_id")).agg(F.max("component").alias("component"))
+    unsettled = saved(texts.join(open_, "doc_id"), "unsettled")
     left = saved(_prefixes(unsettled, link), "prefixes")
     other = left.selectExpr("shingle", "doc_id AS b", "n AS m", "useful AS m_useful", "place AS m_place", "component AS with")
     # Common members of a pair: those up to the shared one in either order, and those after it in both.
@@ -220,10 +219,12 @@ def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
-    more = saved(_links(saved(rest, "rest"), texts, link), "linked")
+    rest = saved(rest, "rest")
+    more = saved(_links(rest, texts, link).distinct(), "linked")
     if not more.isEmpty():
         found = components(links.unionByName(more))
-    owner = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
+    forget(hubs, buckets, texts, tried, links, split, unsettled, left, rest, more)
+    owner = classes.drop("keys").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "k1", "k2", F.coalesce("component", "rep").alias("component")
     )
     return (

@@ -7,8 +7,9 @@ of equal pieces where best-fit decreasing would put them one by one. The plan ha
 whatever the number of documents; every piece then looks up its own place by its rank among its length.
 
 Defined cases: a null or empty text is the closing id alone; texts of any length are cut into pieces, the
-first of which may be shorter; repeated rows are packed each; a null doc_id is packed like any other; an
-empty table gives an empty result; other columns play no part.
+first of which may be shorter; an added token of the vocabulary written out in a text is that token; repeated
+rows are packed each; a null doc_id is packed like any other; of bins with equal room any one is taken; an empty
+table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import public_tokenizers
@@ -101,22 +102,25 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
 
 @lru_cache(maxsize=2)
 def encoding(path: str) -> tiktoken.Encoding:
-    """The vocabulary of a byte-level BPE file of the tokenizers library, with its merges as ranks."""
+    """The vocabulary of a byte-level BPE file of the tokenizers library, with its merges as ranks, and its added tokens."""
     with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+        read = json.load(file)
+    model, added = read["model"], {t["content"]: t["id"] for t in read["added_tokens"]}
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in read["added_tokens"]):
+        raise ValueError(f"{path}: added tokens that take white space or whole words only are not supported")
     spoken = [*range(33, 127), *range(161, 173), *range(174, 256)]
     silent = [b for b in range(256) if b not in spoken]
     byte = {chr(b): b for b in spoken} | {chr(256 + k): b for k, b in enumerate(silent)}
     ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if all(c in byte for c in t)}
-    ranks.pop(b"<|endoftext|>", None)
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {token: i for token, i in ranks.items() if i not in added.values()}
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document's ids and closing id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        encode = partial(encoding(path).encode, allowed_special="all")
         for batch in batches:
             for first, last, data, at in blocks(batch.column("text")):
                 raw, borders = data.tobytes(), at.tolist()
@@ -149,10 +153,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str = VOCABULARY, wi
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
     """Every piece with its sequence_id and its offset there."""
-    cut = saved(pieces(docs, capacity, path, with_ids), "pieces")
+    cut = saved(pieces(docs, capacity, path, with_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
     total = cut.count()
     shards = min(MOST_SHARDS, max(1, total // SHARD_ROWS))
-    key = F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(shards)).alias("shard")
+    key = F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard")
     counted = saved(cut.groupBy(key, "length").agg(F.count("*").alias("n")), "lengths")
     by_length = counted.groupBy("length").agg(F.sum("n").alias("n")).collect()  # a row for each length up to capacity
     steps, _ = plan({r.length: r.n for r in by_length}, capacity)
@@ -172,7 +176,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str = VOCABULARY, with
 
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     earlier = counted.select("shard", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    local = Window.partitionBy("shard", "length").orderBy("doc_id", "piece", "ids_crc32", "start")
+    local = Window.partitionBy("shard", "length").orderBy("row")
     ranked = (
         cut.withColumn("shard", key)
         .withColumn("rank", F.row_number().over(local) - 1)

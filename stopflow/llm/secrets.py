@@ -6,8 +6,7 @@ run of MIN_RANDOM or more token characters is a candidate; `=` parts runs, but f
 candidate; of random pieces within one another the longest counts. Its encoding (hexadecimal, base 32, lower or upper
 case alphanumeric, alphanumeric, base 64 in either form) is inferred from its characters, and three statistics
 are taken over the encoding's alphabet: chi-squared against uniform counts, runs above and below the middle,
-and serial correlation of neighbours. Fisher's method joins their p-values; a candidate must be consistent
-with randomness (joint p >= UNIFORM_AT). The sum of squared counts is also held against its distribution for
+and serial correlation of neighbours. Fisher's method joins their p-values. The sum of squared counts is also held against its distribution for
 letters of running text, with exact mean and variance of a multinomial; its lower tail is a p-value of the
 hypothesis "this is text". A second one is the reciprocal of a likelihood ratio: uniform draws from the encoding
 against a Markov chain over vowels, consonants, capitals, digits and signs with the letters' frequencies, as words
@@ -15,24 +14,28 @@ and identifiers change them seldom. Summed over all tokens of a length, uniform
 so by Markov's inequality the reciprocal times the number of encodings is a p-value at any length. Twice the lesser
 of the two is ranked. False discoveries are controlled over all candidates of the table by the
 Benjamini-Hochberg rule at rate Q within strata of length, as short tokens carry less evidence: a histogram
-of p-values, a row for each stratum and bin, gives the cut-offs. Runs of digits alone
-have no encoding and are not candidates. A candidate that touches a span of the patterns adds nothing.
+of p-values, a row for each stratum and bins, gives the cut-offs. Among the candidates so rejected as text, the same
+rule over the joint p-values of the battery rejects, in each stratum, those that are not random either; the others
+are flagged. Runs of digits alone have no encoding and are not candidates. A candidate that touches a span of the
+patterns adds nothing.
 
-Everything is built from DataFrame functions. Places are code points, ends exclusive.
+Everything is built from DataFrame functions. Places are code points, ends exclusive. What depends on all earlier
+matches of a text, such as their places, is a running fold in chunks, so work grows in proportion to the matches.
 
 Defined cases: a null text counts as empty and has no spans; texts of any length are scanned whole; repeated
-rows are scanned each, and count each in the histogram; an empty table gives an empty result; a null doc_id
-is kept; other columns play no part.
+rows are scanned each, and count each in the histogram; of equal p-values all are rejected or none; an empty table
+gives an empty result; a null doc_id is kept; other columns play no part.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import forget, free_name, saved, table
 
 #: Kind, pattern, group that counts, and its least length. Fixed values.
 BASE = [
@@ -52,7 +55,8 @@ _PIECES = [r"[A-Za-z0-9%s]{%d,}(?:=+$)?" % (signs, MIN_RANDOM) for signs in ("+/
 #: Lower ends of the strata of length.
 STRATA = [20, 28, 40, 64]
 Q = 0.01
-UNIFORM_AT = 0.001
+#: Values that a running fold takes at once, and code points of a piece of text.
+CHUNK, PIECE = 64, 1024
 #: Bins of -log10 p: BINS_PER of them for each power of ten, the last open.
 BINS_PER, BINS = 20, 400
 
@@ -92,22 +96,73 @@ def _within() -> list[float]:
     return [weight.get(c, 1.0) / sum(weight.get(x, 1.0) for x in g) for g in GROUPS for c in g]
 
 
+def running(values: Column, add: Callable[[Column, Column], Column], zero: int = 0) -> Column:
+    """For each of array<int> the fold of those before it; add is associative, with zero as its neutral element.
+
+    Two levels of chunks are folded one by one, so that a value is copied some CHUNK times at most, whatever their number.
+    """
+    kind = "struct<at: int, out: array<int>>"
+
+    def one_by_one(part: Column) -> Column:
+        def step(done: Column, x: Column) -> Column:
+            return F.struct(add(done["at"], x).alias("at"), F.array_append(done["out"], done["at"]).alias("out"))
+
+        return F.aggregate(part, F.struct(F.lit(zero).alias("at"), F.array().alias("out")).cast(kind), step)["out"]
+
+    def chunks(of: Column) -> Column:
+        def cut(of: Column) -> Column:
+            last = F.floor((F.size(of) - 1) / CHUNK).cast("int")
+            return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(of, k * CHUNK + 1, F.lit(CHUNK)))
+
+        return _bind(of, cut)
+
+    def totals(parts: Column) -> Column:
+        return F.transform(parts, lambda part: F.aggregate(part, F.lit(zero), add))
+
+    def beyond(parts: Column, starts: Column) -> Column:
+        return F.flatten(F.zip_with(parts, starts, lambda part, start: F.transform(one_by_one(part), lambda x: add(start, x))))
+
+    def whole(parts: Column) -> Column:
+        above = _bind(chunks(totals(parts)), lambda upper: beyond(upper, one_by_one(totals(upper))))
+        return beyond(parts, above)
+
+    def guarded(values: Column) -> Column:
+        return F.when(F.size(values) > 0, _bind(chunks(values), whole)).otherwise(F.array().cast("array<int>"))
+
+    return _bind(values, guarded)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _fewest(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
 def matches(text: Column, pattern: str, group: int) -> Column:
     """Leftmost non-overlapping matches: array<struct<start, stop, value>>, value being a group of the match."""
     kind = "array<struct<start: int, stop: int, value: string>>"
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     items = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
+    items = F.transform(
+        F.filter(items, lambda x: x["whole"].isNotNull()),
+        lambda x: F.struct(F.char_length(x["gap"]).alias("gap"), F.char_length(x["whole"]).alias("size"), x["value"].alias("value")),
+    )
 
-    def add(done: Column, item: Column) -> Column:
-        start = done["at"] + F.char_length(item["gap"])
-        stop = start + F.char_length(item["whole"])
-        one = F.struct(start.alias("start"), stop.alias("stop"), item["value"].alias("value"))
-        return F.struct(stop.alias("at"), F.array_append(done["out"], one).alias("out"))
+    def placed(found: Column) -> Column:
+        def one(x: Column, before: Column) -> Column:
+            start = before + x["gap"]
+            return F.struct(start.alias("start"), (start + x["size"]).alias("stop"), x["value"].alias("value"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    found = F.aggregate(F.filter(items, lambda x: x["whole"].isNotNull()), begin, add)["out"]
-    return F.when(F.coalesce(text, F.lit("")).rlike(pattern), found).otherwise(F.array().cast(kind))
+        return F.zip_with(found, running(F.transform(found, lambda x: x["gap"] + x["size"]), _sum), one)
+
+    return F.when(F.coalesce(text, F.lit("")).rlike(pattern), _bind(items, placed)).otherwise(F.array()).cast(kind)
 
 
 def base_spans(text: Column) -> Column:
@@ -139,7 +194,7 @@ def _upper(z: Column) -> Column:
 
 def _bind(value: Column, body) -> Column:
     """body(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
 
 
 def _standard(squares: Column, n: Column, s2: Column, s3: Column) -> Column:
@@ -224,7 +279,7 @@ def _unlike_text(chars: Column, kind: Column) -> Column:
 def candidates(text: Column) -> Column:
     """array<struct<start, stop, stratum, bin, rank, uniform>> of the long tokens that have an encoding.
 
-    bin holds the p-value of the squares alone, rank the one of both tests against text.
+    bin holds the p-value of the squares alone, rank the one of both tests against text, uniform that of the battery.
     """
 
     def encoded(bare: Column) -> Column:
@@ -257,7 +312,8 @@ def candidates(text: Column) -> Column:
                 m["stratum"],
                 power(p["text"]).alias("bin"),
                 power(F.least(2 * F.least(p["text"], chain), F.lit(1.0))).alias("rank"),
-                p["uniform"].alias("uniform"),
+                power(p["uniform"]).alias("uniform"),
+                p["uniform"].alias("p_uniform"),
             )
 
         return _bind(_battery(m["chars"], m["kind"]), with_bin)
@@ -266,16 +322,54 @@ def candidates(text: Column) -> Column:
     return F.transform(found, binned)
 
 
-def cutoffs(docs: DataFrame) -> dict[int, int]:
-    """For each stratum, the least bin of p-values that the Benjamini-Hochberg rule rejects as text."""
-    found = docs.select(F.explode(candidates(F.coalesce(F.col("text"), F.lit("")))).alias("c")).select("c.stratum", F.col("c.rank").alias("bin"))
-    counts = found.groupBy("stratum", "bin").agg(F.count("*").alias("n"))  # a row for each stratum and bin at most
+def _rejected(counts: DataFrame, bin_: str) -> DataFrame:
+    """(stratum, at): for rows (stratum, bins, n) the least bin of p-values that the Benjamini-Hochberg rule rejects, if any."""
     most = Window.partitionBy("stratum")
     from_here = most.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ruled = counts.select(
-        "stratum", "bin", F.sum("n").over(from_here).alias("rejected"), F.sum("n").over(most).alias("all")
-    ).filter(F.pow(F.lit(10.0), -F.col("bin") / BINS_PER) * F.col("all") <= F.col("rejected") * Q)
-    return {r["stratum"]: r["bin"] for r in ruled.groupBy("stratum").agg(F.min("bin").alias("bin")).collect()}
+    summed = counts.groupBy("stratum", F.col(bin_).alias("bin")).agg(F.sum("n").alias("n"))
+    ruled = summed.select("stratum", "bin", F.sum("n").over(from_here).alias("rejected"), F.sum("n").over(most).alias("all"))
+    ruled = ruled.filter(F.pow(F.lit(10.0), -F.col("bin") / BINS_PER) * F.col("all") <= F.col("rejected") * Q)
+    return ruled.groupBy("stratum").agg(F.min("bin").alias("at"))
+
+
+def cutoffs(docs: DataFrame) -> dict[int, tuple[int, int]]:
+    """For each stratum that has any, the least bin rejected as text, and, among these, the least bin rejected as random."""
+    found = docs.select(F.explode(candidates(F.coalesce(F.col("text"), F.lit("")))).alias("c")).select("c.stratum", "c.rank", "c.uniform")
+    counts = saved(found.groupBy("stratum", "rank", "uniform").agg(F.count("*").alias("n")), "histogram")  # bounded by the bins
+    text = _rejected(counts, "rank")
+    left = counts.join(text, "stratum").filter("rank >= at").drop("at")
+    both = text.join(_rejected(left, "uniform").withColumnRenamed("at", "random"), "stratum", "left")
+    limits = {r["stratum"]: (r["at"], BINS + 1 if r["random"] is None else r["random"]) for r in both.collect()}
+    forget(counts)
+    return limits
+
+
+def _untouched(found: Column, base: Column) -> Column:
+    """The spans of found that overlap none of base; found is in order of starts."""
+    kind = "array<struct<start: int, own: int, stop: int>>"
+    every = F.array_sort(
+        F.concat(
+            F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(-1).alias("own"), b["stop"].alias("stop"))).cast(kind),
+            F.transform(found, lambda m, k: F.struct(m["start"].alias("start"), k.alias("own"), m["stop"].alias("stop"))).cast(kind),
+        )
+    )
+    none = (1 << 31) - 1
+
+    def marked(all_: Column) -> Column:
+        """The numbers of found that no base span before or at their start reaches, and no one after it begins in."""
+        reach = running(F.transform(all_, lambda x: F.when(x["own"] < 0, x["stop"]).otherwise(0)), _most)
+        begin = F.reverse(running(F.reverse(F.transform(all_, lambda x: F.when(x["own"] < 0, x["start"]).otherwise(none))), _fewest, none))
+        near = F.arrays_zip(all_.alias("x"), reach.alias("reach"), begin.alias("begin"))
+        clear = F.filter(near, lambda n: (n["x"]["own"] >= 0) & (n["reach"] <= n["x"]["start"]) & (n["begin"] >= n["x"]["stop"]))
+        return F.transform(clear, lambda n: F.get(found, n["x"]["own"]))
+
+    return F.when((F.size(base) > 0) & (F.size(found) > 0), _bind(every, marked)).otherwise(found)
+
+
+def _outermost(found: Column) -> Column:
+    """The spans of found, in order of starts and of descending stops, that lie within no other."""
+    before = running(F.transform(found, lambda m: m["stop"]), _most)
+    return F.transform(F.filter(F.arrays_zip(found.alias("m"), before.alias("before")), lambda x: x["before"] < x["m"]["stop"]), lambda x: x["m"])
 
 
 def with_spans(docs: DataFrame, base: str = "base_spans", spans: str = "spans") -> DataFrame:
@@ -284,21 +378,22 @@ def with_spans(docs: DataFrame, base: str = "base_spans", spans: str = "spans")
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def random(m: Column) -> Column:
-        limit = F.lit(BINS + 1)
-        for stratum, low in limits.items():
-            limit = F.when(m["stratum"] == stratum, low).otherwise(limit)
-        touched = F.exists(F.col(base), lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"]))
-        return (m["rank"] >= limit) & (m["uniform"] >= UNIFORM_AT) & ~touched
-
-    def outermost(found: Column) -> Column:
-        def within(m: Column, o: Column) -> Column:
-            return (o["start"] <= m["start"]) & (m["stop"] <= o["stop"]) & (o["stop"] - o["start"] > m["stop"] - m["start"])
+        low, high = F.lit(BINS + 1), F.lit(BINS + 1)
+        for stratum, (at, until) in limits.items():
+            low = F.when(m["stratum"] == stratum, at).otherwise(low)
+            high = F.when(m["stratum"] == stratum, until).otherwise(high)
+        return (m["rank"] >= low) & (m["uniform"] < high)
 
-        return F.filter(found, lambda m: ~F.exists(found, lambda o: within(m, o)))
+    def ends(m: Column) -> Column:
+        return F.struct(m["start"].alias("start"), (-m["stop"]).alias("back"), m["stop"].alias("stop"))
 
-    flagged = _bind(F.filter(candidates(text), random), outermost)
-    added = F.transform(flagged, lambda m: _span(m, len(BASE), RANDOM))
-    return docs.withColumn(base, base_spans(text)).withColumn(spans, F.array_sort(F.concat(F.col(base), added)))
+    # Column by column, as the analyser resolves nested lambda functions level by level.
+    own = free_name(docs, "random_spans")
+    found = docs.withColumn(base, base_spans(text)).withColumn(own, F.filter(candidates(text), random))
+    found = found.withColumn(own, F.array_sort(F.transform(own, ends))).withColumn(own, _outermost(F.col(own)))
+    found = found.withColumn(own, _untouched(F.col(own), F.col(base)))
+    added = F.transform(own, lambda m: _span(m, len(BASE), RANDOM))
+    return found.withColumn(spans, F.array_sort(F.concat(F.col(base), added))).drop(own)
 
 
 def listed(spans: Column) -> Column:
@@ -308,21 +403,24 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of `text` replaced by the mark; spans that overlap are replaced as one."""
-    base, spans = free_name(docs, "base_spans"), free_name(docs, "all_spans")
-    text = F.col("text")
-
-    def rest(at: Column, stop: Column | None = None) -> Column:
-        return F.substr(text, at + 1, F.char_length(text) if stop is None else stop - at)
-
-    def add(done: Column, s: Column) -> Column:
-        clear = F.concat(done["out"], rest(done["at"], s["start"]), F.lit(mark))
-        out = F.when(s["start"] < done["at"], done["out"]).otherwise(clear)
-        return F.struct(F.greatest(done["at"], s["stop"]).alias("at"), out.alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(F.col(spans), begin, add, lambda d: F.concat(d["out"], rest(d["at"])))
-    clean = F.when(text.isNotNull() & (F.size(spans) > 0), done).otherwise(text)
-    return with_spans(docs, base, spans).withColumn("text", clean).select(*docs.columns)
+    names = [free_name(docs, name) for name in ("base_spans", "all_spans", "text_pieces", "covered")]
+    base, spans, pieces, covered = names
+
+    def between(start: Column, stop: Column) -> Column:
+        first = F.floor(start / PIECE).cast("int")
+        some = F.slice(pieces, first + 1, F.floor(stop / PIECE).cast("int") - first + 1)
+        return F.substr(F.array_join(some, ""), start % PIECE + 1, stop - start)
+
+    def shown(span: Column, at: Column) -> Column:
+        return F.when(span["start"] >= at, F.concat(between(at, span["start"]), F.lit(mark))).otherwise("")
+
+    stops = F.transform(spans, lambda s: s["stop"])
+    hit = F.col("text").isNotNull() & (F.size(spans) > 0)
+    found = with_spans(docs, base, spans)
+    found = found.withColumn(pieces, F.when(hit, F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % PIECE), F.lit(0))))
+    found = found.withColumn(covered, F.when(hit, running(stops, _most)))  # by the spans before each
+    clean = F.concat(F.array_join(F.zip_with(spans, covered, shown), ""), between(F.array_max(stops), F.char_length("text")))
+    return found.withColumn("text", F.when(hit, clean).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ def test_statistics_of_the_battery(spark):
     serial = sum((a - middle) * (b - middle) for a, b in zip(x, x[1:])) / ((k * k - 1) / 12)
     p = [below(-z_of(1 / k, 1 / k**2)), 2 * below(-abs(changes - (n - 1) / 2) / np.sqrt((n - 1) / 4)), 2 * below(-abs(serial) / np.sqrt(n - 1))]
     half = -sum(np.log(p))
-    assert row.uniform == pytest.approx(np.exp(-half) * (1 + half + half**2 / 2))
+    assert row.p_uniform == pytest.approx(np.exp(-half) * (1 + half + half**2 / 2))
     shares = np.array(secrets.LETTERS) / sum(secrets.LETTERS)
     assert row.bin == int(-np.log10(below(z_of((shares**2).sum(), (shares**3).sum()))) * secrets.BINS_PER)
 
@@ -139,6 +139,14 @@ def dice(a, b):
     return 2 * len(a & b) / (len(a) + len(b)) if a else 0.0
 
 
+def segments(text):
+    words = re.findall("[a-z0-9]+", text.lower())
+    out = {" ".join(re.findall("[a-z0-9]+", s.lower())) for s in [*text.split("\n"), *re.split(r"\n[ \t\r]*\n", text), text]}
+    for word, place, size in licences.window_words(licences.TEMPLATES):
+        out |= {" ".join(words[max(k - place, 0) : max(k - place, 0) + size]) for k, w in enumerate(words) if w == word}
+    return out
+
+
 def test_licences_by_brute_force(spark, awkward, documents, empty):
     whole = licences.TEMPLATES["MIT"]
     made = spark.createDataFrame(
@@ -146,10 +154,8 @@ def test_licences_by_brute_force(spark, awkward, documents, empty):
     )
     docs = awkward.select("doc_id", "text").union(documents.select("doc_id", "text")).union(made)
     for r in licences.with_licences(docs).collect():
-        text = r.text or ""
-        segments = {" ".join(re.findall("[a-z0-9]+", s.lower())) for s in [*text.split("\n"), *re.split(r"\n[ \t\r]*\n", text), text]}
         want = []
-        for s in segments:
+        for s in segments(r.text or ""):
             scores = sorted((-round(dice(s, licences.bigrams(t)), 6), n) for n, t in licences.TEMPLATES.items())
             if s and -scores[0][0] >= licences.DICE_AT:
                 want.append((-scores[0][0], scores[0][1]))
@@ -157,6 +163,28 @@ def test_licences_by_brute_force(spark, awkward, documents, empty):
     assert licences.with_licences(empty).count() == 0
 
 
+def test_licences_amid_other_text(spark):
+    """Whole licences with blank lines within longer files, wrapped headers, and notices that share their line."""
+    texts_ = licences.TEMPLATES
+    code = "def area(x, y):\n    return x * y\n" * 40
+    comment = "\n".join(" * " + line for line in re.findall(r"(?:\S+\s+){1,9}", texts_["Apache-2.0 header"] + " "))
+    held = {
+        "BSD-2-Clause": "Copyright 2020 Foo\n" + texts_["BSD-2-Clause"] + "\n\n" + code,
+        "BSD-3-Clause": code + texts_["BSD-3-Clause"].replace("copyright holder nor", "Foo Inc. nor"),
+        "MIT": "The MIT License (MIT)\n\nCopyright (c) 2021 Foo\n\n" + texts_["MIT"] + "\n" + code,
+        "ISC": texts_["ISC"].replace("\n\n", " ") + "\n" + code,
+        "Unlicense": code + texts_["Unlicense"],
+        "Apache-2.0 header": "/*\n" + comment + "\n */\n" + code,
+        "GPL-2.0 header": "# Copyright\n" + texts_["GPL-2.0 header"].replace(". ", ".\n\n") + code,
+        "Apache-2.0 notice": "// Copyright 2021 The Foo Authors. Licensed under the Apache License, Version 2.0.",
+        "MIT notice": "This project is copyright 2020 Foo Inc. Released under the MIT License.",
+    }
+    docs = spark.createDataFrame(list(enumerate([*held.values(), code])), "doc_id long, text string")
+    got = {r.doc_id: {x["name"] for x in r.licences} for r in licences.with_licences(docs).collect()}
+    assert all(name in got[i] for i, name in enumerate(held)), got
+    assert not got[len(held)]
+
+
 def test_line_dedup(spark, awkward, empty):
     rows = [(i, f"menu\nown line {i}\n\n  menu \nlast {i}", "h") for i in range(20)] + [(50, "menu\nx", "other"), (51, None, "h"), (52, "menu", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -232,9 +260,10 @@ def test_split_is_the_pattern(rows):
 def test_packing(spark, awkward, documents, empty):
     from tokenizers import Tokenizer
 
-    docs = awkward.select("doc_id", "text").union(documents.select("doc_id", "text").filter("doc_id > 20"))
+    added = [(8000, "a<|endoftext|>b"), (8001, "<|endoftext|>"), (8002, " <|endoftext|> \n<|endoftext|<|endoftext|>"), (None, "a"), (None, "a"), (None, None)]
+    made = spark.createDataFrame(added, "doc_id long, text string")
+    docs = awkward.select("doc_id", "text").union(documents.select("doc_id", "text").filter("doc_id > 20")).union(made)
     encoder = Tokenizer.from_file(packing.VOCABULARY)
-    encoder.encode_special_tokens = True
     ids = defaultdict(list)
     for i, t in texts(docs):
         ids[i].append([*encoder.encode(t, add_special_tokens=False).ids, 0])
@@ -258,6 +287,20 @@ def test_packing(spark, awkward, documents, empty):
     assert packing.pack(empty).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|", "|>", "<", " ", "  ", "\n", "it's", "é中😀", "word", "12", "!?"]), max_size=12))
+def test_ids_are_those_of_the_tokenizers_library(parts):
+    from tokenizers import Tokenizer
+
+    text = "".join(parts)
+    want = Tokenizer.from_file(packing.VOCABULARY) if not _tokenizer else _tokenizer[0]
+    _tokenizer[:] = [want]
+    assert packing.encoding(packing.VOCABULARY).encode(text, allowed_special="all") == want.encode(text, add_special_tokens=False).ids
+
+
+_tokenizer: list = []
+
+
 def best_fit(lengths, capacity):
     rooms = []
     for n in sorted(lengths, reverse=True):
@@ -344,6 +387,24 @@ def test_near_duplicates(spark, awkward, documents, empty):
     assert got == [("5", 5), ("None", None), ("None", None)]
 
 
+def test_near_duplicates_of_weak_hashes_and_repeated_ids(spark):
+    """Words that collide under a polynomial are not linked; the texts of one doc_id are one document."""
+    one, two = thue_morse(2048)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, one), (2, two), (3, f"{one} b c d e"), (4, f"{two} b c d e"), (5, " ".join(words)), (6, "x y z u v w"), (6, " ".join([*words, "more"])), (7, "x y z u v w")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 4), (5, 56, 5), (6, 2, 5), (6, 57, 5), (7, 2, 5)]
+
+
+def test_exact_shingles_are_the_words():
+    rows = ["a b c d e f a b c d e", "A b c d e", "x", "X", "", " ".join(thue_morse(64)) + " " + "y " * 90, "a b c d E f"]
+    data, at = np.frombuffer("".join(rows).encode(), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    sets, weak = hashing.exact_shingles(data, at), hashing.shingle_sets(data, at)
+    for i, x in enumerate(rows):
+        for j, y in enumerate(rows):
+            assert len(np.intersect1d(sets[i], sets[j])) == len(np.intersect1d(weak[i], weak[j])) == len(shingles(x) & shingles(y))
+
+
 def test_keep_one(awkward):
     out = near_dup.keep_one(awkward)
     want = {i for i, (_, c) in components(texts(awkward)).items() if i == c}
