@@ -74,11 +74,11 @@ def label_home_work(
         days = counted.select("useruuid", "d").distinct()
         around = Window.partitionBy("useruuid").orderBy("d").rangeBetween(*reach)
         counts = days.withColumn("days", F.count("*").over(around)).filter(F.col("days") >= valid * window)
-        near = counts.join(daily.withColumnRenamed("d", "e"), "useruuid").filter(
-            (F.col("e") >= F.col("d") + reach[0]) & (F.col("e") <= F.col("d") + reach[1])
-        )
+        # A day's rows go to the days whose window holds it, at most `window` + 1 of them.
+        held = F.explode(F.sequence(F.col("d") - reach[1], F.col("d") - reach[0]))
+        near = daily.withColumn("d", held).join(counts, ["useruuid", "d"])
         means = near.groupBy("useruuid", "d", "loc", "days").agg(
-            (F.sum("part") / F.first("days")).alias("mean"), F.sum((F.col("part") > 0).cast("int")).alias("present")
+            F.round(F.sum("part") / F.first("days"), 9).alias("mean"), F.sum((F.col("part") > 0).cast("int")).alias("present")
         )
         if kind == "W":
             means = means.filter(F.col("present") >= work_presence * F.col("days"))
@@ -104,6 +104,21 @@ def label_home_work(
     )
 
 
+def labelled_home(labelled: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """keys, home_loc, home_lat, home_lon, total_home_time: of the stops at home (location_type H) the place of most stay.
+
+    Ties go to the smaller place; its coordinates are the medians of its stops at home.
+    """
+    spent = labelled.filter("location_type = 'H'").groupBy(*keys, F.col("loc").alias("home_loc")).agg(
+        F.sum(F.col("end") - F.col("start")).alias("total_home_time"),
+        F.median("latitude").alias("home_lat"),
+        F.median("longitude").alias("home_lon"),
+    )
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("total_home_time").desc(), "home_loc"))
+    best = spent.withColumn("first", first).filter("first = 1")
+    return best.select(*keys, "home_loc", "home_lat", "home_lon", "total_home_time")
+
+
 def modal(labels: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """The value of a column with most rows per key, ties to the smaller; null values do not count."""
     counted = labels.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import counts_by_gender, fixed_bin, linear_edges, log_edges
+from .quantiles import counts_by_gender, fixed_bin, grouped, linear_edges, log_edges
 from .stats import pooled_error, resampled
 
 #: Edges in kilometres, in minutes, and in log10 kilometres. Fixed values.
@@ -75,6 +75,25 @@ def reward_bin(column: str) -> Column:
     return fixed_bin(F.log10(F.when(F.col(column) > 0, F.col(column))), REWARD_LOG)
 
 
+def bootstrap_by_reward(rows: DataFrame, values: list[str], times: int, order: list[str]) -> DataFrame:
+    """By gender, reward_bin and q_bin: the user-months, and for each value the mean and deviation of resampled medians.
+
+    rows: user-months with cost, reward and efficiency. Only those with all three and an efficiency of 0 and more
+    count; q_bin numbers the fifths of their visits from 0; a reward outside the bins has none and is left out.
+    """
+    named = ["total_cost_travel_distance", "total_reward_home_distance", "tour_efficiency_dist"]
+    some = rows.na.drop(subset=named).filter("tour_efficiency_dist >= 0")
+    binned = grouped(some, {"visits": "q"}, 5).withColumn("reward_bin", reward_bin("total_reward_home_distance"))
+    binned = binned.withColumn("q_bin", F.col("q") - 1).filter("reward_bin IS NOT NULL")
+    by = ["gender", "reward_bin", "q_bin"]
+    each = resampled(binned, by, order, times).groupBy(*by, "b").agg(*(F.median(v).alias(v) for v in values), F.count("*").alias("n"))
+    return each.groupBy(*by).agg(
+        F.max("n").alias("n_user_months"),
+        *(F.avg(v).alias(f"{v}_median") for v in values),
+        *(F.stddev_samp(v).alias(f"{v}_se") for v in values),
+    )
+
+
 def symmetric_gap(summary: DataFrame, on: list[str], least: int) -> DataFrame:
     """From rows (on, gender, mean, se, n): 2 (M - F) / (M + F) with its error, where both have `least` user-months."""
     m, f = (summary.filter(F.col("gender") == g).drop("gender") for g in ("MALE", "FEMALE"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import great_circle
 from ..sources.stops import KEYS
+from ..sources.working import materialised
 from .steps import steps
 
 
@@ -15,6 +16,27 @@ def transitions(stops: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return steps(stops, keys).filter(F.col("next_loc").isNotNull() & (F.col("next_loc") != F.col("loc")))
 
 
+def largest_component(edge: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """The edges within the largest component of each key's graph, the one of the smallest node among equals.
+
+    Labels spread along edges until none changes; graphs of people are small, so rounds are few.
+    """
+    both = materialised(adjacency(edge, keys).select(*keys, "a", "b").distinct(), "adjacency")
+    labels = both.groupBy(*keys, "a").agg(F.least(F.min("a"), F.min("b")).alias("c"))
+    while True:
+        labels = materialised(labels, "labels")
+        near = both.join(labels.withColumnsRenamed({"a": "b", "c": "d"}), [*keys, "b"]).groupBy(*keys, "a").agg(F.min("d").alias("d"))
+        after = materialised(labels.join(near, [*keys, "a"]).select(*keys, "a", F.least("c", "d").alias("to"), "c"), "labels")
+        done = after.filter("to < c").isEmpty()
+        labels = after.select(*keys, "a", F.col("to").alias("c"))
+        if done:
+            break
+    sizes = labels.groupBy(*keys, "c").agg(F.count("*").alias("n"))
+    best = sizes.groupBy(*keys).agg(F.min_by("c", F.struct(-F.col("n"), F.col("c"))).alias("c"))
+    inside = labels.join(best, [*keys, "c"]).select(*keys, F.col("a").alias("u"))
+    return edge.join(inside, [*keys, "u"], "left_semi")
+
+
 def edges(moves: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """u < v and the number of moves between them in either direction."""
     u, v = F.least("loc", "next_loc"), F.greatest("loc", "next_loc")
@@ -73,12 +95,20 @@ def clustering(edge: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     adj = adjacency(edge, keys)
     top = edge.groupBy(*keys).agg(F.max("w").alias("top"))
     degree = adj.groupBy(*keys, "a").agg(F.count("*").alias("d"))
-    one = adj.select(*keys, "a", F.col("b").alias("u"), F.col("w").alias("w1"))
-    two = adj.select(*keys, "a", F.col("b").alias("v"), F.col("w").alias("w2"))
-    closed = one.join(two, [*keys, "a"]).filter("u < v").join(edge, [*keys, "u", "v"])
-    triangles = closed.groupBy(*keys, "a").agg(
-        F.count("*").alias("t"), F.sum(F.cbrt(F.col("w1") * F.col("w2") * F.col("w"))).alias("tw")
+    # An edge starts at its end of the smaller (degree, node): few wedges leave any node, and each triangle has one first.
+    one = degree.select(*keys, F.col("a").alias("u"), F.col("d").alias("du"))
+    two = degree.select(*keys, F.col("a").alias("v"), F.col("d").alias("dv"))
+    ranked = edge.join(one, [*keys, "u"]).join(two, [*keys, "v"])
+    up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
+    low, high = F.struct(F.col("du").alias("d"), F.col("u").alias("n")), F.struct(F.col("dv").alias("d"), F.col("v").alias("n"))
+    arcs = ranked.select(*keys, F.when(up, low).otherwise(high).alias("x"), F.when(up, high).otherwise(low).alias("y"), "w")
+    wedge = arcs.select(*keys, "x", F.col("y").alias("p"), F.col("w").alias("w1")).join(
+        arcs.select(*keys, "x", F.col("y").alias("q"), F.col("w").alias("w2")), [*keys, "x"]
     )
+    third = arcs.select(*keys, F.col("x").alias("p"), F.col("y").alias("q"), F.col("w").alias("w3"))
+    closed = wedge.filter("p < q").join(third, [*keys, "p", "q"])
+    corners = closed.select(*keys, F.explode(F.array("x.n", "p.n", "q.n")).alias("a"), F.cbrt(F.col("w1") * F.col("w2") * F.col("w3")).alias("tw"))
+    triangles = corners.groupBy(*keys, "a").agg(F.count("*").alias("t"), F.sum("tw").alias("tw"))
     pairs = F.col("d") * (F.col("d") - 1)
     joined = degree.join(triangles, [*keys, "a"], "left").join(top, keys)
     local = F.when(F.col("d") > 1, 2.0 * F.coalesce("t", F.lit(0)) / F.nullif(pairs, F.lit(0))).otherwise(0.0)
@@ -135,10 +165,13 @@ def log_distances(moves: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return pairs.select(*keys, "ei", "ej", log_metres("ideal_km").alias("log_ideal"), log_metres("km").alias("log_observed"))
 
 
-def compressed(moves: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """A row for each key: its edges as sorted arrays of struct<u, v, w> and pairs of struct<u, v, ideal, observed>."""
+def compressed(moves: DataFrame, keys: list[str] = KEYS, pairs: bool = True) -> DataFrame:
+    """A row for each key: its edges as sorted arrays of struct<u, v, w> and, if asked for, all pairs of its nodes as
+    struct<ei, ej, log_ideal, log_observed>, which only distance efficiency reads."""
     arcs = edges(moves, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("u", "v", "w"))).alias("edges"))
-    pairs = log_distances(moves, keys).groupBy(*keys).agg(
+    if not pairs:
+        return arcs
+    far = log_distances(moves, keys).groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("ei", "ej", "log_ideal", "log_observed"))).alias("pairs")
     )
-    return arcs.join(pairs, keys)
+    return arcs.join(far, keys)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .stats import ordinals
 
 ID = ["useruuid", "start_month"]
+#: Parts of the offered points of a scope.
+PARTS = 8
 #: Largest difference in locations by group. Fixed values.
 CALIPER = {"all": 1, "inactive": 1, "moderate": 2, "active": 4}
 
@@ -24,6 +26,17 @@ def eligible(rows: DataFrame, metrics: list[str], least: int) -> DataFrame:
     return rows.filter(good)
 
 
+def scoped(rows: DataFrame) -> DataFrame:
+    """rows once for each scope they are matched in: scope_country is all or their own, scope_group all or their own.
+
+    People of the group `other` are matched among all only, as the caliper has no value for it.
+    """
+    own = F.when(F.col("activity_repertoire_groups").isin([g for g in CALIPER if g != "all"]), F.col("activity_repertoire_groups"))
+    group = F.explode(F.array_compact(F.array(F.lit("all"), own)))
+    country = F.explode(F.array_compact(F.array(F.lit("all"), F.col("GID_0"))))
+    return rows.withColumn("scope_group", group).withColumn("scope_country", country)
+
+
 def nearest(asking: DataFrame, offered: DataFrame, scope: list[str]) -> DataFrame:
     """For each asking row the nearest offered row of its scope, in z-space of the asking side.
 
@@ -39,9 +52,13 @@ def nearest(asking: DataFrame, offered: DataFrame, scope: list[str]) -> DataFram
     other = best_of.select(*scope, F.col("visits").alias("v2"), F.col("locations").alias("l2"), *(F.col(c).alias(f"b_{c}") for c in ID))
     dv = F.coalesce(F.try_divide(F.col("v1") - F.col("v2"), F.col("sv")), F.lit(0.0))
     dl = F.coalesce(F.try_divide(F.col("l1") - F.col("l2"), F.col("sl")), F.lit(0.0))
-    pairs = point.join(z, scope).join(other, scope).withColumn("dist2", F.round(dv * dv + dl * dl, 9))
-    rank = Window.partitionBy(*scope, "v1", "l1").orderBy("dist2", *(f"b_{c}" for c in ID))
-    won = pairs.withColumn("r", F.row_number().over(rank)).filter("r = 1").drop("r")
+    # Offered points are dealt into parts that every asking point visits; the nearest is taken before any row moves on.
+    part = F.pmod(F.xxhash64("v2", "l2"), F.lit(PARTS)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    met = point.join(z, scope).withColumn("part", every).join(other.withColumn("part", part), [*scope, "part"])
+    ids = [f"b_{c}" for c in ID]
+    best = F.min(F.struct(F.round(dv * dv + dl * dl, 9).alias("dist2"), *ids))
+    won = met.groupBy(*scope, "v1", "l1").agg(best.alias("best")).select(*scope, "v1", "l1", "best.*")
     members = asking.select(*scope, F.col("visits").alias("v1"), F.col("locations").alias("l1"), *(F.col(c).alias(f"a_{c}") for c in ID))
     return members.join(won, [*scope, "v1", "l1"]).select(*scope, *(f"a_{c}" for c in ID), *(f"b_{c}" for c in ID), "dist2")
 
@@ -88,10 +105,13 @@ def deltas(pairs: DataFrame, rows: DataFrame, metrics: list[str], scope: list[st
     )
 
 
-def within_caliper(found: DataFrame, group: Column | str = "all") -> DataFrame:
-    """Pairs whose locations differ by no more than their group allows."""
-    allowed = F.lit(CALIPER[group]) if isinstance(group, str) else F.get(F.create_map(*(F.lit(x) for kv in CALIPER.items() for x in kv)), group)
-    return found.filter(F.abs("d_locations") <= allowed)
+def within_caliper(found: DataFrame, group: Column) -> DataFrame:
+    """Pairs whose locations differ by no more than their group allows; a group without a caliper is an error."""
+    allowed = F.lit(None).cast("int")
+    for name, most in CALIPER.items():
+        allowed = F.when(group == name, most).otherwise(allowed)
+    checked = F.when(allowed.isNull(), F.raise_error(F.concat(F.lit("no caliper for group "), group)).cast("int")).otherwise(allowed)
+    return found.filter(F.abs("d_locations") <= checked)
 
 
 def delta_summary(found: DataFrame, scope: list[str]) -> DataFrame:
@@ -125,6 +145,12 @@ def significance(observed: DataFrame, shuffled: DataFrame, scope: list[str]) ->
     return found.select(*scope, "metric", *rounded, who.alias("higher"), flag.alias("flag"))
 
 
+def counted_countries(found: DataFrame) -> DataFrame:
+    """From significance() by country and group: how many countries, all together aside, favour men, women or neither."""
+    each = found.filter("scope_country <> 'all'")
+    return each.groupBy("scope_group", "metric").agg(*(F.count_if(F.col("higher") == who).alias(f"sig_{who}") for who in ("MALE", "FEMALE", "none")))
+
+
 def anonymised(rows: DataFrame, column: str = "useruuid") -> DataFrame:
     """user_1, user_2, ... in the order of the ids, which do not appear."""
     ids = ordinals(rows.select(column, F.lit(0).alias("_all")).distinct(), ["_all"], [column])

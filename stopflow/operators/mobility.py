@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import calendar
 from ..functions.geo import great_circle
 from ..sources.stops import KEYS
-from .anchors import night_home
 from .steps import steps
 
 #: Gaps of this many seconds and more are no travel.
@@ -44,22 +43,35 @@ def metrics() -> dict[str, Column]:
     }
 
 
+#: Metrics that need the previous stop, and whether they need distances.
+_OF_STEPS = {"total_travel_time": False, "total_cost_travel_distance": True}
+
+
 def mobility(stops: DataFrame, keys: list[str] = KEYS, names: list[str] | None = None) -> DataFrame:
-    """A row for each key with the metrics named, all by default; KeyError for an unknown name."""
+    """A row for each key with the metrics named, all by default; KeyError for an unknown name.
+
+    Stops may be steps() already; otherwise steps are taken only where a metric needs them.
+    """
     known = metrics()
-    return steps(stops, keys).groupBy(*keys).agg(*(known[n].alias(n) for n in names or known))
+    wanted = {n: known[n] for n in names or known}
+    stepped = [_OF_STEPS[n] for n in wanted if n in _OF_STEPS]
+    rows = steps(stops, keys, any(stepped)) if stepped else stops
+    return rows.groupBy(*keys).agg(*(of.alias(n) for n, of in wanted.items()))
+
 
+def home_rewards(stops: DataFrame, anchor: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Distances of stops away from home: their sum and maximum, and twice both as rewards; has_home.
 
-def home_rewards(stops: DataFrame, keys: list[str] = KEYS, share: float = 0.2) -> DataFrame:
-    """Distances of stops away from home: their sum and maximum, and twice both as rewards; has_home."""
-    moved = steps(stops, keys)
-    anchor = night_home(stops, keys, share).select(*keys, "home_loc")
-    at = moved.groupBy(*keys, F.col("loc").alias("home_loc")).agg(F.first("mlat").alias("hlat"), F.first("mlon").alias("hlon"))
-    km = great_circle(F.col("latitude"), F.col("longitude"), F.col("hlat"), F.col("hlon"))
+    anchor: keys, home_loc, home_lat, home_lon, as of anchors.labelled_home(). A stop that follows one at the same
+    place does not count again.
+    """
+    moved = steps(stops, keys, distances=False)
+    home = anchor.select(*keys, "home_loc", "home_lat", "home_lon")
+    km = great_circle(F.col("latitude"), F.col("longitude"), F.col("home_lat"), F.col("home_lon"))
     away = (F.col("loc") != F.col("home_loc")) & (F.col("prev_loc").isNull() | (F.col("prev_loc") != F.col("loc")))
     far = F.when(away, km)
     return (
-        moved.join(anchor.join(at, [*keys, "home_loc"]), keys, "left")
+        moved.join(home, keys, "left")
         .groupBy(*keys)
         .agg(
             F.max(F.col("home_loc").isNotNull().cast("int")).alias("has_home"),

@@ -6,12 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mixer import mixed
+from ..sources.working import kept
 
-#: Millions of people. Fixed values.
+#: Each country's share of the people of these ten. Fixed values.
 POPULATION = {
-    "AUS": 26.0, "DEU": 83.2, "ESP": 47.4, "FRA": 67.8, "GBR": 67.3,
-    "JPN": 125.7, "NLD": 17.5, "SWE": 10.4, "TWN": 23.6, "USA": 331.9,
-}
+    "USA": 0.416723038548721,
+    "JPN": 0.1600502537374388,
+    "DEU": 0.10440386812912543,
+    "GBR": 0.08347925503431211,
+    "FRA": 0.08105224253089227,
+    "ESP": 0.058863593224739726,
+    "AUS": 0.03107225947862733,
+    "TWN": 0.029903041019936665,
+    "NLD": 0.02174295481940657,
+    "SWE": 0.012709493476800057,
+}
 
 
 def ordinals(rows: DataFrame, scope: list[str], order: list[str], name: str = "place") -> DataFrame:
@@ -20,7 +29,7 @@ def ordinals(rows: DataFrame, scope: list[str], order: list[str], name: str = "p
     Rows are dealt by ranges of the order; a small table of counts by range and scope gives what comes before,
     so a scope of any size is spread over tasks.
     """
-    at = rows.repartitionByRange(*scope, *order).withColumn("_part", F.spark_partition_id()).persist()
+    at = kept(rows.repartitionByRange(*scope, *order).withColumn("_part", F.spark_partition_id()))
     counts = at.groupBy(*scope, "_part").agg(F.count("*").alias("_rows"))
     all_ = Window.partitionBy(*scope)
     earlier = F.sum("_rows").over(all_.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
@@ -30,10 +39,16 @@ def ordinals(rows: DataFrame, scope: list[str], order: list[str], name: str = "p
     return numbered_.withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
 
 
-def resampled(rows: DataFrame, scope: list[str], order: list[str], times: int, seed: int = 0) -> DataFrame:
-    """rows drawn with replacement, n of them for each scope and iteration b in 0..times-1."""
+def resampled(rows: DataFrame, scope: list[str], order: list[str], times: int, seed: int = 0, shares: DataFrame | None = None) -> DataFrame:
+    """rows drawn with replacement, n of them for each scope and iteration b in 0..times-1.
+
+    With shares (a column of scope, weight), weight * n of them, rounded half to even.
+    """
     at = ordinals(rows, scope, order)
     draws = at.select(*scope, "place", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))).alias("b"))
+    if shares is not None:
+        by = [c for c in shares.columns if c != "weight"]
+        draws = draws.join(shares, by).filter(F.col("place") < F.bround(F.col("n") * F.col("weight"))).drop("weight")
     drawn = draws.select(*scope, "b", (mixed(F.col("place"), F.col("b"), seed) % F.col("n")).alias("place"))
     return drawn.join(at.drop("n"), [*scope, "place"]).drop("place")
 
@@ -106,6 +121,37 @@ def histogram(rows: DataFrame, column: str, scope: list[str], edges: int = 11) -
     )
 
 
+def log_histogram(rows: DataFrame, column: str, scope: list[str], edges: int = 10) -> DataFrame:
+    """Density over edges - 1 bins between powers of ten from 1 to the largest value; smaller values lie outside."""
+    some = rows.filter((F.col(column) >= 1) & (F.col(column) < float("inf")))
+    about = some.groupBy(*scope).agg(F.max(column).cast("double").alias("top"), F.count("*").alias("n")).filter("top > 1")
+    step = F.log10("top") / (edges - 1)
+    place = F.least(F.floor(F.log10(column) / step), F.lit(edges - 2)).cast("long")
+    low, high = (F.pow(F.lit(10.0), (F.col("bin") + k) * step) for k in (0, 1))
+    return (
+        some.join(about, scope)
+        .groupBy(*scope, place.alias("bin"), "top", "n")
+        .agg(F.count("*").alias("count"))
+        .select(*scope, "bin", F.round((low + high) / 2, 6).alias("midpoint"), F.round(F.col("count") / (F.col("n") * (high - low)), 9).alias("density"))
+    )
+
+
+def _cumulated(at: DataFrame, scope: list[str], order: str, columns: list[str]) -> DataFrame:
+    """at with each column's sum up to the row (sum_*) and over the whole scope (all_*), in the order.
+
+    Rows are dealt by ranges of the order, and a small table of sums by range and scope gives what comes before.
+    """
+    dealt = kept(at.repartitionByRange(*scope, order).withColumn("_part", F.spark_partition_id()))
+    parts = dealt.groupBy(*scope, "_part").agg(*(F.sum(c).alias(f"_{c}") for c in columns))
+    whole = Window.partitionBy(*scope)
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {f"_before_{c}": F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)) for c in columns}
+    before = parts.withColumns(sums | {f"all_{c}": F.sum(f"_{c}").over(whole) for c in columns}).drop(*(f"_{c}" for c in columns))
+    local = Window.partitionBy(*scope, "_part").orderBy(order)
+    out = dealt.join(before, [*scope, "_part"]).withColumns({f"sum_{c}": F.sum(c).over(local) + F.col(f"_before_{c}") for c in columns})
+    return out.drop("_part", *(f"_before_{c}" for c in columns))
+
+
 def kolmogorov_smirnov(rows: DataFrame, column: str, scope: list[str]) -> DataFrame:
     """One-sided two-sample statistics of positive values, men against women, with asymptotic p-values.
 
@@ -116,12 +162,9 @@ def kolmogorov_smirnov(rows: DataFrame, column: str, scope: list[str]) -> DataFr
     at = some.groupBy(*scope, F.col(column).cast("double").alias("x")).agg(
         F.count_if(F.col("gender") == "MALE").alias("m"), F.count_if(F.col("gender") == "FEMALE").alias("f")
     )
-    by = Window.partitionBy(*scope).orderBy("x")
-    all_ = Window.partitionBy(*scope)
-    diff = F.sum("m").over(by) / F.sum("m").over(all_) - F.sum("f").over(by) / F.sum("f").over(all_)
-    lined = at.withColumns({"diff": F.round(diff, 9), "nm": F.sum("m").over(all_), "nf": F.sum("f").over(all_)})
-    lined = lined.filter("nm > 0 AND nf > 0")
-    found = lined.groupBy(*scope, "nm", "nf").agg(
+    lined = _cumulated(at, scope, "x", ["m", "f"]).filter("all_m > 0 AND all_f > 0")
+    diff = F.round(F.col("sum_m") / F.col("all_m") - F.col("sum_f") / F.col("all_f"), 9)
+    found = lined.withColumn("diff", diff).groupBy(*scope, F.col("all_m").alias("nm"), F.col("all_f").alias("nf")).agg(
         F.greatest(F.max("diff"), F.lit(0.0)).alias("d_greater"),
         F.greatest(F.max(-F.col("diff")), F.lit(0.0)).alias("d_less"),
         F.max_by("x", F.struct(F.col("diff"), -F.col("x"))).alias("loc_greater"),
@@ -134,10 +177,18 @@ def kolmogorov_smirnov(rows: DataFrame, column: str, scope: list[str]) -> DataFr
     )
 
 
+def permutation_test(rows: DataFrame, column: str, scope: list[str], order: list[str], times: int, seed: int = 0) -> DataFrame:
+    """Observed statistics of each scope, and the share of shuffles of the genders that reach them."""
+    seen = kolmogorov_smirnov(rows, column, scope).select(*scope, "d_greater", "d_less")
+    each = kolmogorov_smirnov(permuted(rows, "gender", scope, order, times, seed), column, [*scope, "b"])
+    both = seen.join(each.select(*scope, *(F.col(f"d_{s}").alias(f"s_{s}") for s in ("greater", "less"))), scope)
+    reached = (F.round(F.avg((F.col(f"s_{s}") >= F.col(f"d_{s}")).cast("double")), 6).alias(f"perm_p_{s}") for s in ("greater", "less"))
+    return both.groupBy(*scope, "d_greater", "d_less").agg(*reached)
+
+
 def population(spark) -> DataFrame:
     """Each country's share of the ten countries' people."""
-    total = sum(POPULATION.values())
-    return spark.createDataFrame([(c, n / total) for c, n in POPULATION.items()], "GID_0 string, weight double")
+    return spark.createDataFrame(list(POPULATION.items()), "GID_0 string, weight double")
 
 
 def over_countries(rows: DataFrame, weights: DataFrame, scope: list[str]) -> DataFrame:
@@ -161,5 +212,6 @@ def pooled_error(column: str) -> Column:
 
 
 def km_label(power: Column) -> Column:
-    """A base-10 logarithm of kilometres as text."""
-    return F.concat(F.format_number(F.pow(F.lit(10.0), power), 1), F.lit(" km"))
+    """A base-10 logarithm as text: two decimals below 1, one below 10, else the whole part with separators."""
+    km = F.pow(F.lit(10.0), power)
+    return F.when(km < 1, F.format_number(km, 2)).when(km < 10, F.format_number(km, 1)).otherwise(F.format_number(F.floor(km), 0))

@@ -82,10 +82,10 @@ def measured(found: DataFrame, seen: DataFrame, keys: list[str] = KEYS) -> DataF
     path = seen.withColumn("step", F.coalesce(step, F.lit(0.0))).withColumn("run", F.sum("step").over(w))
     begin = path.select(*keys, F.col("idx").alias("s"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), F.col("run").alias("run0"))
     away = F.round(1000 * great_circle(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")))
-    inside = (F.col("idx") >= F.col("s")) & (F.col("idx") <= F.col("e"))
     carried = ["loc", "stay_departure", "total_duration", "tour"]
-    first = found.join(begin, [*keys, "s"])
-    joined = first.join(path.select(*keys, "idx", "lat", "lon", "run"), keys).filter(inside)
+    # A row for each stop of a tour, joined by its place: work grows with the tours' stops.
+    each = found.join(begin, [*keys, "s"]).withColumn("idx", F.explode(F.sequence("s", "e")))
+    joined = each.join(path.select(*keys, "idx", "lat", "lon", "run"), [*keys, "idx"])
     return joined.groupBy(*keys, "s", "e", *carried).agg(
         F.count("*").alias("tour_total_stops"),
         (F.max("run") - F.first("run0")).cast("long").alias("tour_total_distance"),

@@ -1,10 +1,12 @@
 """Every query of the library by name, over the driver's tables.
 
-Frames that a query uses several times are persisted, or written out where their plans would be repeated often.
+Frames that a query uses several times are persisted, or written out where their plans would be repeated often; what a
+query persisted is released when the next one is asked for.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,15 +14,18 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar
 from ..operators import anchors, contrasts, graph, graph_kernel, matching, mobility, quantiles, stats, tours
+from ..operators.steps import steps
 from ..sources import stops as source
 from ..sources.stops import KEYS
-from ..sources.working import materialised
+from ..sources.working import kept, materialised, unkept
 from . import oracles
 
 UM = ["useruuid", "start_month"]
 #: Iterations of resampling queries, and thresholds small enough for the test tables.
 TIMES, LEAST = 10, 2
 HOME_SHARE = 0.2
+#: Settings of home and work labels: stays of the test tables are short.
+LABELS = {"coverage": 0.1, "home_valid": 0.1, "work_valid": 0.05, "home_share": 0.2, "work_share": 0.2, "work_presence": 0.1}
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -32,7 +37,15 @@ def query(of: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_REGISTRY)
+    def released(of: Query) -> Query:
+        @functools.wraps(of)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            unkept()
+            return of(spark, sf)
+
+        return run
+
+    return {name: released(of) for name, of in _REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -43,6 +56,11 @@ def _stops(spark: SparkSession, sf: str) -> DataFrame:
     return source.prepared(spark, sf)
 
 
+def _home(stops: DataFrame) -> DataFrame:
+    """The place of most stay among the stops labelled as home."""
+    return anchors.labelled_home(anchors.label_home_work(stops, **LABELS))
+
+
 def _moves(spark: SparkSession, sf: str) -> DataFrame:
     return graph.transitions(_stops(spark, sf))
 
@@ -50,22 +68,30 @@ def _moves(spark: SparkSession, sf: str) -> DataFrame:
 def user_months(spark: SparkSession, sf: str) -> DataFrame:
     """Mobility metrics of user-months with two locations and more, with deciles and groups."""
     rows = mobility.mobility(_stops(spark, sf), names=["visits", "locations", "total_stay_time", "total_cost_travel_distance"])
-    return quantiles.with_groups(rows.filter("locations >= 2").persist()).persist()
+    return kept(quantiles.with_groups(kept(rows.filter("locations >= 2"))))
+
+
+def rewarded_months(spark: SparkSession, sf: str) -> DataFrame:
+    """user_months() with their rewards and efficiency."""
+    clean = kept(_stops(spark, sf))
+    return kept(mobility.with_efficiency(user_months(spark, sf).join(mobility.home_rewards(clean, _home(clean)), KEYS, "left")))
 
 
 def stage_one(spark: SparkSession, sf: str) -> DataFrame:
     """The wide row of every user-month: mobility, home, graph and kernel metrics, and groups."""
-    clean = _stops(spark, sf).persist()
-    moves = graph.transitions(clean).persist()
-    home = anchors.night_home(clean, KEYS, HOME_SHARE).select(*KEYS, "home_loc")
-    wide = mobility.mobility(clean).filter("locations >= 2")
-    wide = wide.join(mobility.home_rewards(clean, KEYS, HOME_SHARE), KEYS, "left")
+    clean = kept(_stops(spark, sf))
+    moved = kept(steps(clean))
+    moves = graph.transitions(moved)
+    home = kept(_home(clean))
+    wide = mobility.mobility(moved).filter("locations >= 2")
+    wide = wide.join(mobility.home_rewards(moved, home), KEYS, "left")
     wide = mobility.with_efficiency(wide)
-    edge = graph.edges(moves)
+    edge = kept(graph.edges(moves))
     for part in (graph.basic(edge), graph.clustering(edge).select(*KEYS, "avg_unw_cluster"), graph.degree_top(edge)):
         wide = wide.join(part, KEYS, "left")
     names = ["cycle_lengths", "global_efficiency_edges", "global_efficiency_distance", "mfpt"]
-    wide = wide.join(graph_kernel.kernel(graph.compressed(moves).join(home, KEYS, "left"), names), KEYS, "left")
+    graphs = graph.compressed(moves).join(home.select(*KEYS, "home_loc"), KEYS, "left")
+    wide = wide.join(graph_kernel.kernel(graphs, names), KEYS, "left")
     groups = wide.join(clean.select("useruuid", "user_group").distinct(), "useruuid", "left")
     return quantiles.with_groups(groups)
 
@@ -168,16 +194,23 @@ def home_anchor(spark, sf):
     return anchors.night_home(_stops(spark, sf), KEYS, HOME_SHARE)
 
 
+@query
+def labelled_home_anchor(spark, sf):
+    return _home(_stops(spark, sf)).select(*KEYS, "home_loc", F.round("home_lat", 6).alias("home_lat"), F.round("home_lon", 6).alias("home_lon"), "total_home_time")
+
+
 @query
 def home_reward(spark, sf):
-    return mobility.home_rewards(_stops(spark, sf), KEYS, HOME_SHARE)
+    clean = kept(_stops(spark, sf))
+    return mobility.home_rewards(clean, _home(clean))
 
 
 @query
 def tour_efficiency(spark, sf):
-    clean = _stops(spark, sf)
-    cost = mobility.mobility(clean, names=["total_cost_travel_distance"])
-    rows = mobility.with_efficiency(cost.join(mobility.home_rewards(clean, KEYS, HOME_SHARE), KEYS))
+    clean = kept(_stops(spark, sf))
+    moved = kept(steps(clean))
+    cost = mobility.mobility(moved, names=["total_cost_travel_distance"])
+    rows = mobility.with_efficiency(cost.join(mobility.home_rewards(moved, _home(clean)), KEYS))
     return rows.select(*KEYS, "total_cost_travel_distance", "total_reward_home_distance", "tour_efficiency_dist")
 
 
@@ -199,7 +232,7 @@ def semantic_labels(spark, sf):
 @query
 def homework_labels(spark, sf):
     clean = _stops(spark, sf)
-    found = anchors.label_home_work(clean, coverage=0.1, home_valid=0.1, work_valid=0.05, home_share=0.2, work_share=0.2, work_presence=0.1)
+    found = anchors.label_home_work(clean, **LABELS)
     return found.select("useruuid", "event_id", "loc", "detect_H_loc", "detect_W_loc", "location_type")
 
 
@@ -236,6 +269,11 @@ def degree_topk(spark, sf):
     return graph.degree_top(graph.edges(_moves(spark, sf)))
 
 
+@query
+def largest_component(spark, sf):
+    return graph.largest_component(graph.edges(_moves(spark, sf)))
+
+
 @query
 def edge_distances(spark, sf):
     return graph.edge_distances(_moves(spark, sf))
@@ -253,10 +291,10 @@ def edge_log_join(spark, sf):
 
 def _kernel(*names: str, home: bool = False):
     def of(spark, sf):
-        clean = _stops(spark, sf)
-        rows = graph.compressed(graph.transitions(clean))
+        clean = kept(_stops(spark, sf)) if home else _stops(spark, sf)
+        rows = graph.compressed(graph.transitions(clean), pairs="global_efficiency_distance" in names)
         if home:
-            rows = rows.join(anchors.night_home(clean, KEYS, HOME_SHARE).select(*KEYS, "home_loc"), KEYS, "left")
+            rows = rows.join(_home(clean).select(*KEYS, "home_loc"), KEYS, "left")
         return graph_kernel.kernel(rows, list(names))
 
     return of
@@ -282,7 +320,7 @@ _REGISTRY |= {
 
 
 def _tours(spark, sf) -> tuple[DataFrame, DataFrame]:
-    seen = tours.visits(_stops(spark, sf)).persist()
+    seen = kept(tours.visits(_stops(spark, sf)))
     return tours.tours(seen), seen
 
 
@@ -332,8 +370,7 @@ def main_keystone(spark, sf):
 @query
 def sequence_efficiency(spark, sf):
     found, seen = _tours(spark, sf)
-    home = anchors.night_home(_stops(spark, sf), KEYS, HOME_SHARE)
-    return tours.sequence_efficiency(seen, home, tours.main_keystone(found, seen))
+    return tours.sequence_efficiency(seen, _home(_stops(spark, sf)), tours.main_keystone(found, seen))
 
 
 def _keystone_measured(spark, sf) -> DataFrame:
@@ -377,9 +414,9 @@ def decile_share_gap(spark, sf):
 
 @query
 def quintile_reward_bins(spark, sf):
-    rows = quantiles.grouped(user_months(spark, sf), {"total_cost_travel_distance": "q"}, 5)
-    cost = contrasts.reward_bin("total_cost_travel_distance")
-    return rows.select(*UM, (F.col("q") - 1).alias("quintile"), cost.alias("reward_bin"))
+    rows = quantiles.grouped(rewarded_months(spark, sf).filter("total_reward_home_distance IS NOT NULL"), {"total_reward_home_distance": "q"}, 5)
+    reward = contrasts.reward_bin("total_reward_home_distance")
+    return rows.select(*UM, (F.col("q") - 1).alias("quintile"), reward.alias("reward_bin"))
 
 
 @query
@@ -400,6 +437,17 @@ def hist_density(spark, sf):
     return stats.histogram(user_months(spark, sf), "total_stay_time", ["gender"])
 
 
+@query
+def hist_density_log(spark, sf):
+    return stats.log_histogram(user_months(spark, sf), "total_stay_time", ["gender"])
+
+
+@query
+def log_km_labels(spark, sf):
+    rows = user_months(spark, sf).filter("total_cost_travel_distance > 0")
+    return rows.select(*UM, stats.km_label(F.round(F.log10("total_cost_travel_distance"), 1)).alias("label"))
+
+
 ORDER = ["total_stay_time", *UM]
 
 
@@ -420,6 +468,12 @@ def country_resample(spark, sf):
     return rows.groupBy("GID_0", "b", "gender").agg(F.count("*").alias("n"), F.sum("visits").alias("visits"))
 
 
+@query
+def country_resample_weighted(spark, sf):
+    rows = stats.resampled(user_months(spark, sf), ["GID_0"], ORDER, 2, shares=stats.population(spark))
+    return rows.groupBy("GID_0", "b", "gender").agg(F.count("*").alias("n"), F.sum("visits").alias("visits"))
+
+
 @query
 def rcv(spark, sf):
     return stats.robust_dispersion(user_months(spark, sf), "total_stay_time", ["gender"])
@@ -447,6 +501,12 @@ def ks_permutation(spark, sf):
     return stats.kolmogorov_smirnov(moved, "total_stay_time", ["b"])
 
 
+@query
+def ks_permutation_test(spark, sf):
+    rows = user_months(spark, sf).withColumn("scope", F.lit("all"))
+    return stats.permutation_test(rows, "total_stay_time", ["scope"], UM, TIMES)
+
+
 @query
 def k_gap_by_n_decile(spark, sf):
     each = stats.bootstrap(user_months(spark, sf), ["activity_deciles", "gender"], ORDER, F.median("locations"), TIMES)
@@ -461,16 +521,17 @@ def k_gap_by_n_decile(spark, sf):
 # Matching
 
 METRICS = ["total_stay_time", "total_cost_travel_distance"]
-SCOPE = ["activity_repertoire_groups"]
+#: Everyone and each country, by everyone and each group of activity.
+SCOPE = ["scope_country", "scope_group"]
 
 
 def _eligible(spark, sf) -> DataFrame:
-    return materialised(matching.eligible(user_months(spark, sf), METRICS, LEAST), "eligible")
+    return materialised(matching.scoped(matching.eligible(user_months(spark, sf), METRICS, LEAST)), "eligible")
 
 
 @query
 def match_eligible(spark, sf):
-    return _eligible(spark, sf).select(*UM, "gender", "visits", "locations")
+    return _eligible(spark, sf).select(*SCOPE, *UM, "gender", "visits", "locations")
 
 
 @query
@@ -484,34 +545,39 @@ def match_f2m(spark, sf):
 
 
 def _deltas(rows: DataFrame, scope: list[str]) -> DataFrame:
-    return matching.deltas(matching.matched_pairs(rows, scope), rows, METRICS, scope)
+    """Deltas of the pairs that the caliper of their group allows."""
+    return matching.within_caliper(matching.deltas(matching.matched_pairs(rows, scope), rows, METRICS, scope), F.col("scope_group"))
 
 
 @query
 def match_pairs_delta(spark, sf):
-    return matching.within_caliper(_deltas(_eligible(spark, sf), SCOPE))
+    return _deltas(_eligible(spark, sf), SCOPE)
 
 
 @query
 def match_delta_summary(spark, sf):
-    return matching.delta_summary(matching.within_caliper(_deltas(_eligible(spark, sf), SCOPE)), SCOPE)
+    return matching.delta_summary(_deltas(_eligible(spark, sf), SCOPE), SCOPE)
+
+
+def _shuffled(rows: DataFrame) -> DataFrame:
+    moved = materialised(stats.permuted(rows, "gender", SCOPE, UM, TIMES), "permuted")
+    return matching.delta_summary(_deltas(moved, [*SCOPE, "b"]), [*SCOPE, "b"])
 
 
 @query
 def permutation_baseline(spark, sf):
-    rows = _eligible(spark, sf)
-    moved = materialised(stats.permuted(rows, "gender", SCOPE, UM, TIMES), "permuted")
-    by = [*SCOPE, "b"]
-    return matching.delta_summary(matching.within_caliper(_deltas(moved, by)), by)
+    return _shuffled(_eligible(spark, sf))
 
 
 @query
 def match_significance(spark, sf):
     rows = _eligible(spark, sf)
-    by = [*SCOPE, "b"]
-    seen = matching.delta_summary(matching.within_caliper(_deltas(rows, SCOPE)), SCOPE)
-    moved = materialised(stats.permuted(rows, "gender", SCOPE, UM, TIMES), "permuted")
-    return matching.significance(seen, matching.delta_summary(matching.within_caliper(_deltas(moved, by)), by), SCOPE)
+    return matching.significance(matching.delta_summary(_deltas(rows, SCOPE), SCOPE), _shuffled(rows), SCOPE)
+
+
+@query
+def match_significance_countries(spark, sf):
+    return matching.counted_countries(match_significance(spark, sf))
 
 
 @query
@@ -559,11 +625,25 @@ def gap_by_length_duration(spark, sf):
     return contrasts.gaps(rows.withColumn("dur_bin", contrasts.duration_bin(rows)), ["leng_bin"], ["dur_bin", "GID_0"], 1).drop("n_m", "n_f")
 
 
+REWARDED = ["tour_efficiency_dist", "total_cost_travel_distance"]
+
+
+def _by_reward(spark, sf) -> DataFrame:
+    return contrasts.bootstrap_by_reward(rewarded_months(spark, sf), REWARDED, TIMES, ["total_cost_travel_distance", *UM])
+
+
+@query
+def efficiency_cost_bootstrap(spark, sf):
+    found = _by_reward(spark, sf)
+    rounded = [F.round(f"{v}_{k}", 6).alias(f"{v}_{k}") for v in REWARDED for k in ("median", "se")]
+    return found.select("gender", "reward_bin", "q_bin", "n_user_months", *rounded)
+
+
 @query
 def efficiency_by_reward(spark, sf):
-    rows = quantiles.grouped(user_months(spark, sf), {"total_stay_time": "q"}, 5).withColumn("reward_bin", contrasts.reward_bin("total_cost_travel_distance"))
-    by = ["reward_bin", "q", "gender"]
-    each = stats.resampled(rows.filter("reward_bin IS NOT NULL"), by, ["total_cost_travel_distance", *UM], TIMES)
-    boots = each.groupBy(*by, "b").agg(F.median("total_cost_travel_distance").alias("v"), F.count("*").alias("n"))
-    summary = boots.groupBy(*by).agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("se"), F.max("n").alias("n"))
-    return contrasts.symmetric_gap(summary, ["reward_bin", "q"], 1)
+    found = kept(_by_reward(spark, sf))
+    out = []
+    for value in REWARDED:
+        one = found.select("gender", "reward_bin", "q_bin", F.col(f"{value}_median").alias("mean"), F.col(f"{value}_se").alias("se"), F.col("n_user_months").alias("n"))
+        out.append(contrasts.symmetric_gap(one, ["reward_bin", "q_bin"], 1).withColumn("value", F.lit(value)))
+    return out[0].unionByName(out[1])

@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
-from ..operators.contrasts import DISTANCE_KM, DURATION_MIN, REWARD_LOG
-from ..operators.stats import POPULATION
-from ..sources.stops import COUNTRIES
+from math import log10
+
+#: Constants of the published definitions, written out here so that the comparison does not rest on the library's own.
+COUNTRIES = ["AUS", "DEU", "ESP", "FRA", "GBR", "JPN", "NLD", "SWE", "TWN", "USA"]
+SHARES = {
+    "USA": 0.416723038548721, "JPN": 0.1600502537374388, "DEU": 0.10440386812912543, "GBR": 0.08347925503431211,
+    "FRA": 0.08105224253089227, "ESP": 0.058863593224739726, "AUS": 0.03107225947862733, "TWN": 0.029903041019936665,
+    "NLD": 0.02174295481940657, "SWE": 0.012709493476800057,
+}
+CALIPER = "CASE scope_group WHEN 'all' THEN 1 WHEN 'inactive' THEN 1 WHEN 'moderate' THEN 2 WHEN 'active' THEN 4 END"
+
+
+def _spaced(low: float, high: float, n: int) -> list[float]:
+    return [low + (high - low) * i / (n - 1) for i in range(n)]
+
+
+DISTANCE_KM = [10.0**x for x in _spaced(log10(0.1), log10(300.0), 15)]
+DURATION_MIN = [10.0**x for x in _spaced(log10(1.0), log10(4320.0), 15)]
+REWARD_LOG = _spaced(log10(0.2 * 30), log10(300 * 30), 30)
 
 K = "useruuid, gender, GID_0, start_month"
 UM = "useruuid, start_month"
@@ -57,7 +73,7 @@ def reward_bin(x: str) -> str:
 _COUNTRY = "[" + ", ".join(f"'{c}'" for c in COUNTRIES) + "]"
 _SPLIT = f"""
   SELECT {K}, t.s, t.e, t.loc FROM walk t WHERE s IS NOT NULL"""
-_PEOPLE = ", ".join(f"('{c}', {n / sum(POPULATION.values())!r}::DOUBLE)" for c, n in POPULATION.items())
+_PEOPLE = ", ".join(f"('{c}', {n!r}::DOUBLE)" for c, n in SHARES.items())
 _NIGHT = "((({t}) // 86400) * 21600 + least(({t}) % 86400, 21600))"
 
 
@@ -110,9 +126,38 @@ CTE: dict[str, str] = {
     "night1": f"""SELECT *, sum(night) OVER (PARTITION BY {K}) AS total, row_number() OVER (PARTITION BY {K} ORDER BY night DESC, loc) AS first FROM nightly""",
     "home": f"""SELECT {K}, loc AS home_loc, round(CAST(night AS DOUBLE) / CAST(total AS DOUBLE), 6) AS night_share FROM night1
   WHERE first = 1 AND total > 0 AND night >= total * {SHARE}::DOUBLE""",
-    "homeat": f"SELECT home.*, mlat AS hlat, mlon AS hlon FROM home JOIN med ON {on(K, 'home', 'med')} AND med.loc = home_loc",
+    "hw_cut": """SELECT useruuid, loc, d, start - d * 86400 AS a, "end" - d * 86400 AS b
+  FROM (SELECT *, unnest(range(start // 86400, ("end" - 1) // 86400 + 1)) AS d FROM s WHERE "end" - start >= 60)""",
+    "hw_spent": """SELECT useruuid, d, loc, CAST(sum(greatest(0, least(b, 21600) - greatest(a, 0))) AS BIGINT) AS h,
+  CAST(sum(CASE WHEN (d + 3) % 7 < 5 THEN greatest(0, least(b, 64800) - greatest(a, 28800)) ELSE 0 END) AS BIGINT) AS w FROM hw_cut GROUP BY useruuid, d, loc""",
+    "hw_h_part": """SELECT useruuid, d, loc, CAST(h AS DOUBLE) / seen AS part
+  FROM (SELECT *, sum(h) OVER (PARTITION BY useruuid, d) AS seen FROM hw_spent) WHERE seen >= 0.1::DOUBLE * 21600""",
+    "hw_h_days": """SELECT useruuid, d, count(*) OVER (PARTITION BY useruuid ORDER BY d RANGE BETWEEN 14 PRECEDING AND 14 FOLLOWING) AS days
+  FROM (SELECT DISTINCT useruuid, d FROM hw_h_part)""",
+    "hw_h_mean": """SELECT c.useruuid, c.d, p.loc, c.days, round(sum(part) / c.days, 9) AS mean, count(*) FILTER (part > 0) AS present
+  FROM hw_h_days c JOIN hw_h_part p ON c.useruuid = p.useruuid AND p.d BETWEEN c.d - 14 AND c.d + 14
+  WHERE c.days >= 0.1::DOUBLE * 28 GROUP BY c.useruuid, c.d, p.loc, c.days""",
+    "hw_h_rank": """SELECT useruuid, d, loc, row_number() OVER (PARTITION BY useruuid, d ORDER BY mean DESC, loc) AS first
+  FROM hw_h_mean WHERE mean >= 0.2::DOUBLE""",
+    "hw_w_part": """SELECT useruuid, d, loc, CAST(w AS DOUBLE) / seen AS part
+  FROM (SELECT *, sum(w) OVER (PARTITION BY useruuid, d) AS seen FROM hw_spent) WHERE seen >= 0.1::DOUBLE * 36000""",
+    "hw_w_days": """SELECT useruuid, d, count(*) OVER (PARTITION BY useruuid ORDER BY d RANGE BETWEEN 21 PRECEDING AND 21 FOLLOWING) AS days
+  FROM (SELECT DISTINCT useruuid, d FROM hw_w_part)""",
+    "hw_w_mean": """SELECT c.useruuid, c.d, p.loc, c.days, round(sum(part) / c.days, 9) AS mean, count(*) FILTER (part > 0) AS present
+  FROM hw_w_days c JOIN hw_w_part p ON c.useruuid = p.useruuid AND p.d BETWEEN c.d - 21 AND c.d + 21
+  WHERE c.days >= 0.05::DOUBLE * 42 GROUP BY c.useruuid, c.d, p.loc, c.days""",
+    "hw_w_rank": """SELECT useruuid, d, loc, row_number() OVER (PARTITION BY useruuid, d ORDER BY mean DESC, loc) AS first
+  FROM hw_w_mean WHERE mean >= 0.2::DOUBLE AND present >= 0.1::DOUBLE * days""",
+    "hw_home": "SELECT useruuid, d, loc AS detect_H_loc FROM hw_h_rank WHERE first = 1",
+    "hw_work": """SELECT w.useruuid, w.d, arg_min(w.loc, w.first) AS detect_W_loc FROM hw_w_rank w LEFT JOIN hw_home h ON w.useruuid = h.useruuid AND w.d = h.d
+  WHERE detect_H_loc IS NULL OR detect_H_loc <> w.loc GROUP BY w.useruuid, w.d""",
+    "hw": """SELECT s.*, detect_H_loc, detect_W_loc, CASE WHEN s.loc = detect_H_loc THEN 'H' WHEN s.loc = detect_W_loc THEN 'W' ELSE 'O' END AS location_type
+  FROM s LEFT JOIN hw_home h ON h.useruuid = s.useruuid AND h.d = s.start // 86400 LEFT JOIN hw_work w ON w.useruuid = s.useruuid AND w.d = s.start // 86400""",
+    "lhome": f"""SELECT {K}, home_loc, home_lat, home_lon, total_home_time FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY total_home_time DESC, home_loc) AS r
+  FROM (SELECT {K}, loc AS home_loc, CAST(sum("end" - start) AS BIGINT) AS total_home_time, median(latitude) AS home_lat, median(longitude) AS home_lon
+    FROM hw WHERE location_type = 'H' GROUP BY {K}, loc)) WHERE r = 1""",
     "away": f"""SELECT st.*, h.home_loc, CASE WHEN st.loc <> h.home_loc AND (prev_loc IS NULL OR prev_loc <> st.loc)
-  THEN {km("latitude", "longitude", "hlat", "hlon")} END AS far FROM st LEFT JOIN homeat h ON {on(K, "st", "h")}""",
+  THEN {km("latitude", "longitude", "home_lat", "home_lon")} END AS far FROM st LEFT JOIN lhome h ON {on(K, "st", "h")}""",
     "rewards": f"""SELECT {K}, max(CASE WHEN home_loc IS NOT NULL THEN 1 ELSE 0 END)::INTEGER AS has_home, round(sum(far), 5) AS sum_home_distance,
   round(max(far), 5) AS max_home_distance, round(2 * sum(far), 5) AS total_reward_home_distance, round(2 * max(far), 5) AS max_reward_home_distance
   FROM away GROUP BY {K}""",
@@ -175,7 +220,21 @@ CTE: dict[str, str] = {
   WHEN tour_total_stops = 5 THEN '5' || chr(10) || 'ABCDA' WHEN tour_total_stops = 6 THEN '6' WHEN tour_total_stops BETWEEN 7 AND 10 THEN '7-10'
   WHEN tour_total_stops BETWEEN 11 AND 20 THEN '11-20' WHEN tour_total_stops > 20 THEN '20+' END AS leng_bin
   FROM ktour k LEFT JOIN um ON {on(K, "k", "um")} WHERE tour_total_stops >= 3""",
+    "umr": f"""SELECT um.*, total_reward_home_distance, round({efficiency("total_cost_travel_distance", "total_reward_home_distance")}, 6) AS tour_efficiency_dist
+  FROM um LEFT JOIN rewards ON {on(K, "um", "rewards")}""",
+    "br0": "SELECT * FROM umr WHERE total_cost_travel_distance IS NOT NULL AND total_reward_home_distance IS NOT NULL AND tour_efficiency_dist >= 0",
+    "br1": f"SELECT *, (SELECT {upper_edges('visits', 5)} FROM br0) AS ed FROM br0",
+    "br": f"SELECT * EXCLUDE (ed), {bin_of('visits', 'ed')} - 1 AS q_bin, {reward_bin('total_reward_home_distance')} AS reward_bin FROM br1",
     "el": f"SELECT * FROM um WHERE visits > {LEAST} AND locations > {LEAST} AND total_stay_time > 0 AND total_cost_travel_distance > 0",
+    "els": """SELECT *, unnest(CASE WHEN activity_repertoire_groups = 'other' THEN ['all'] ELSE ['all', activity_repertoire_groups] END) AS scope_group
+  FROM (SELECT *, unnest(['all', GID_0]) AS scope_country FROM el)""",
+    "lhop": """SELECT x.useruuid, x.start_month, x.a AS x, x.b AS src, x.b AS dst, 0 AS depth FROM adj x
+  UNION SELECT h.useruuid, h.start_month, h.x, h.src, e.b, h.depth + 1 FROM lhop h JOIN adj e ON e.useruuid = h.useruuid AND e.start_month = h.start_month AND e.a = h.dst
+  JOIN adj i ON i.useruuid = h.useruuid AND i.start_month = h.start_month AND i.a = h.x AND i.b = e.b WHERE h.depth < 12""",
+    "paths": f"""SELECT useruuid, start_month, a AS src, a AS dst, 0 AS depth FROM deg
+  UNION ALL SELECT p.useruuid, p.start_month, p.src, e.b, p.depth + 1 FROM paths p JOIN adj e ON {on(UM, "p", "e")} AND e.a = p.dst
+  JOIN dist q ON {on(UM, "p", "q")} AND q.src = p.src AND q.dst = e.b AND q.d = p.depth + 1""",
+    "sigma": f"SELECT {UM}, src, dst, any_value(depth) AS d, CAST(count(*) AS DOUBLE) AS n FROM paths GROUP BY {UM}, src, dst",
 }
 
 
@@ -212,7 +271,7 @@ dl AS (SELECT * EXCLUDE (mv, fv), round(mv - fv, 6) AS abs_dif, round((mv - fv)
 def _summary(scope: str, source: str) -> str:
     return f"""SELECT {scope}, metric, round(avg(rel_dif), 12) AS mean_rel, round(avg(CASE WHEN rel_dif >= 0 THEN rel_dif END), 12) AS mean_pos,
   round(avg(CASE WHEN rel_dif <= 0 THEN rel_dif END), 12) AS mean_neg, count(*) FILTER (rel_dif > 0) AS n_pos, count(*) FILTER (rel_dif < 0) AS n_neg,
-  count(*) FILTER (rel_dif = 0) AS n_zero FROM {source} WHERE abs(d_locations) <= 1 GROUP BY {scope}, metric"""
+  count(*) FILTER (rel_dif = 0) AS n_zero FROM {source} WHERE abs(d_locations) <= {CALIPER} GROUP BY {scope}, metric"""
 
 
 def _permuted(rows: str, scope: str, order: str) -> str:
@@ -264,6 +323,23 @@ def _seq_part(name: str, anchor: str) -> str:
   FROM vis v JOIN ({at}) a ON {on(K, "v", "a")} GROUP BY ALL)"""
 
 
+SCOPE = "scope_country, scope_group"
+_SAME = " AND ".join(f"o.{c} = {{0}}.{c}" for c in ("scope_country", "scope_group", "metric"))
+_SIGNIFICANCE = f"""seen AS (WITH {_pairs("els", SCOPE)} {_summary(SCOPE, "dl")}),
+shuffled AS (WITH {_permuted("els", SCOPE, UM)}, {_pairs("perm", SCOPE + ", b")} {_summary(SCOPE + ", b", "dl")}),
+cuts AS (SELECT {SCOPE}, metric, quantile_cont(2 * mean_rel, [0.05::DOUBLE, 0.5::DOUBLE, 0.95::DOUBLE]) AS q FROM shuffled GROUP BY ALL),
+judged AS (SELECT o.scope_country, o.scope_group, o.metric, 2 * o.mean_rel AS obs, q[1] AS p5, q[2] AS p50, q[3] AS p95,
+  avg(CASE WHEN round(abs(2 * s.mean_rel - q[2]), 9) >= round(abs(2 * o.mean_rel - q[2]), 9) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p_value,
+  avg(CASE WHEN 2 * s.mean_rel <= 2 * o.mean_rel THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS pct_rank
+  FROM seen o JOIN cuts c ON {_SAME.format("c")} JOIN shuffled s ON {_SAME.format("s")} GROUP BY ALL)"""
+_JUDGED = f"""SELECT {SCOPE}, metric, round(obs, 6) AS obs, round(p5, 6) AS p5, round(p50, 6) AS p50, round(p95, 6) AS p95, round(p_value, 6) AS p_value, round(pct_rank, 6) AS pct_rank,
+  CASE WHEN obs > p95 AND obs > 0 THEN 'MALE' WHEN obs < p5 AND obs < 0 THEN 'FEMALE' ELSE 'none' END AS higher,
+  CASE WHEN p_value < 0.01 THEN '***' WHEN p_value < 0.05 THEN '**' WHEN p_value < 0.1 THEN '*' ELSE '' END AS flag FROM judged"""
+_REWARDED = [("t", "tour_efficiency_dist"), ("c", "total_cost_travel_distance")]
+_VALUES = "{'t': median(tour_efficiency_dist), 'c': median(total_cost_travel_distance), 'n': count(*)}"
+_BY_REWARD = f"""{boots("br", "gender, reward_bin, q_bin", f"total_cost_travel_distance, {UM}", _VALUES, where="reward_bin IS NOT NULL")},
+sm AS (SELECT gender, reward_bin, q_bin, max(value.n) AS n, avg(value.t) AS tm, stddev_samp(value.t) AS ts, avg(value.c) AS cm, stddev_samp(value.c) AS cs FROM each_b GROUP BY ALL)"""
+
 #: Query -> (further CTEs, final SELECT).
 FINAL: dict[str, tuple[str, str]] = {
     "user_month_density": ("", f"SELECT mobility.useruuid, mobility.gender, mobility.GID_0, mobility.start_month, visits, locations, total_stay_time, total_cost_travel_distance, nodes, edges, density FROM mobility LEFT JOIN basic ON {on(K, 'mobility', 'basic')} WHERE locations >= 2"),
@@ -282,6 +358,8 @@ FINAL: dict[str, tuple[str, str]] = {
     "travel_time": ("", f"SELECT {K}, total_travel_time FROM mobility"),
     "travel_cost": ("", f"SELECT {K}, total_cost_travel_distance FROM mobility"),
     "home_anchor": ("", "SELECT * FROM home"),
+    "labelled_home_anchor": ("", f"SELECT {K}, home_loc, round(home_lat, 6) AS home_lat, round(home_lon, 6) AS home_lon, total_home_time FROM lhome"),
+    "homework_labels": ("", "SELECT useruuid, event_id, loc, detect_H_loc, detect_W_loc, location_type FROM hw"),
     "home_reward": ("", "SELECT * FROM rewards"),
     "tour_efficiency": ("", f"SELECT m.useruuid, m.gender, m.GID_0, m.start_month, total_cost_travel_distance, total_reward_home_distance, round({efficiency('total_cost_travel_distance', 'total_reward_home_distance')}, 6) AS tour_efficiency_dist FROM mobility m JOIN rewards r ON {on(K, 'm', 'r')}"),
     "modal_home_work": ("", "SELECT * FROM mh FULL JOIN mw USING (useruuid, start_month)"),
@@ -319,7 +397,7 @@ loc_ AS (SELECT deg.*, coalesce(t, 0) AS t, coalesce(tw, 0.0) AS tw, top.top FRO
     "sequence_efficiency": (
         ",\n".join([
             _seq_part("start", f"SELECT {K}, loc AS anchor FROM vis WHERE idx = 1"),
-            _seq_part("home", f"SELECT {K}, home_loc AS anchor FROM home"),
+            _seq_part("home", f"SELECT {K}, home_loc AS anchor FROM lhome"),
             _seq_part("keystone", f"SELECT {K}, main_keystone AS anchor FROM main WHERE main_keystone IS NOT NULL"),
             f"tot AS (SELECT {K}, count(*) AS n, sum(step) AS seq_cost FROM path GROUP BY {K} HAVING count(*) > 1)",
         ]),
@@ -332,13 +410,28 @@ loc_ AS (SELECT deg.*, coalesce(t, 0) AS t, coalesce(tw, 0.0) AS tw, top.top FRO
         f"SELECT {UM}, total_stay_time, q AS q20_total_stay_time, 100.0::DOUBLE * q / 20 AS perc_total_stay_time FROM (SELECT *, {bin_of('total_stay_time', 'ed')} AS q FROM p1)"),
     "decile_share_gap": ("c AS (SELECT activity_deciles AS quantile, count(*) FILTER (gender = 'MALE') AS n_m, count(*) FILTER (gender = 'FEMALE') AS n_f FROM um GROUP BY ALL)",
         "SELECT *, round(CAST(n_m AS DOUBLE) / (SELECT sum(n_m) FROM c) - CAST(n_f AS DOUBLE) / (SELECT sum(n_f) FROM c), 6) AS gap FROM c"),
-    "quintile_reward_bins": (f"p1 AS (SELECT *, (SELECT {upper_edges('total_cost_travel_distance', 5)} FROM um) AS ed FROM um)",
-        f"SELECT {UM}, {bin_of('total_cost_travel_distance', 'ed')} - 1 AS quintile, {reward_bin('total_cost_travel_distance')} AS reward_bin FROM p1"),
+    "quintile_reward_bins": (f"p0 AS (SELECT * FROM umr WHERE total_reward_home_distance IS NOT NULL), p1 AS (SELECT *, (SELECT {upper_edges('total_reward_home_distance', 5)} FROM p0) AS ed FROM p0)",
+        f"SELECT {UM}, {bin_of('total_reward_home_distance', 'ed')} - 1 AS quintile, {reward_bin('total_reward_home_distance')} AS reward_bin FROM p1"),
     "decile_grid": ("", "SELECT activity_deciles, repertoire_deciles, count(DISTINCT useruuid) AS users, round(100.0::DOUBLE * count(DISTINCT useruuid) / (SELECT count(DISTINCT useruuid) FROM um), 6) AS pct FROM um GROUP BY ALL"),
     "decile_grid_gender_delta": ("tot AS (SELECT gender, count(DISTINCT useruuid) AS total FROM um GROUP BY gender), c AS (SELECT activity_deciles, repertoire_deciles, gender, round(100.0::DOUBLE * count(DISTINCT useruuid) / any_value(total), 6) AS pct FROM um JOIN tot USING (gender) GROUP BY ALL)",
         "SELECT a.i AS activity_deciles, r.i AS repertoire_deciles, round(coalesce(sum(CASE WHEN gender = 'MALE' THEN pct END), 0.0) - coalesce(sum(CASE WHEN gender = 'FEMALE' THEN pct END), 0.0), 6) AS delta FROM (SELECT unnest(range(1, 11)) AS i) a, (SELECT unnest(range(1, 11)) AS i) r LEFT JOIN c ON c.activity_deciles = a.i AND c.repertoire_deciles = r.i GROUP BY ALL"),
     "hist_density": ("h AS (SELECT gender, max(total_stay_time)::DOUBLE / 10 AS width, count(*) AS n FROM um WHERE total_stay_time >= 0 GROUP BY gender), hb AS (SELECT um.gender, width, n, least(CAST(floor(total_stay_time / width) AS BIGINT), 9) AS bin FROM um JOIN h USING (gender) WHERE total_stay_time >= 0)",
         "SELECT gender, bin, round((bin + 0.5::DOUBLE) * width, 6) AS midpoint, round(count(*) / (n * width), 9) AS density FROM hb GROUP BY gender, bin, width, n"),
+    "hist_density_log": ("h AS (SELECT gender, max(total_stay_time)::DOUBLE AS top, count(*) AS n FROM um WHERE total_stay_time >= 1 GROUP BY gender HAVING max(total_stay_time) > 1), hb AS (SELECT um.gender, log10(top) / 9 AS step, n, least(CAST(floor(log10(total_stay_time::DOUBLE) / (log10(top) / 9)) AS BIGINT), 8) AS bin FROM um JOIN h USING (gender) WHERE total_stay_time >= 1)",
+        "SELECT gender, bin, round((10.0::DOUBLE ** (bin * step) + 10.0::DOUBLE ** ((bin + 1) * step)) / 2, 6) AS midpoint, round(count(*) / (n * (10.0::DOUBLE ** ((bin + 1) * step) - 10.0::DOUBLE ** (bin * step))), 9) AS density FROM hb GROUP BY gender, bin, step, n"),
+    "log_km_labels": ("kp AS (SELECT *, 10.0::DOUBLE ** round(log10(total_cost_travel_distance), 1) AS km FROM um WHERE total_cost_travel_distance > 0)",
+        f"SELECT {UM}, CASE WHEN km < 1 THEN printf('%.2f', km) WHEN km < 10 THEN printf('%.1f', km) ELSE format('{{:,}}', CAST(floor(km) AS BIGINT)) END AS label FROM kp"),
+    "country_resample_weighted": (f"ppl AS (SELECT * FROM (VALUES {_PEOPLE}) p(GID_0, weight)), " + boots("um", "GID_0", ORDER, "count(*)", times=2).replace("FROM num, (", "FROM num JOIN ppl ON num.GID_0 = ppl.GID_0 AND num.place < round_even(num.nn * ppl.weight, 0), ("),
+        "SELECT GID_0, b, gender, count(*) AS n, CAST(sum(visits) AS BIGINT) AS visits FROM drawn GROUP BY GID_0, b, gender"),
+    "ks_permutation_test": ("ua AS (SELECT *, 'all' AS scope FROM um), " + _permuted("um", "", UM) + f", ko AS ({_ks('ua', 'scope')}), ke AS ({_ks('perm', 'b')})",
+        """SELECT scope, ko.d_greater, ko.d_less, round(avg(CASE WHEN ke.d_greater >= ko.d_greater THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS perm_p_greater,
+  round(avg(CASE WHEN ke.d_less >= ko.d_less THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS perm_p_less FROM ko, ke GROUP BY scope, ko.d_greater, ko.d_less"""),
+    "largest_component": (f"co AS (SELECT {UM}, src, min(dst) AS c FROM dist GROUP BY {UM}, src), sz AS (SELECT {UM}, c, count(*) AS n FROM co GROUP BY {UM}, c), bg AS (SELECT {UM}, arg_min(c, (-n) * 1000000 + c) AS c FROM sz GROUP BY {UM})",
+        f"SELECT edge.* FROM edge JOIN co ON {on(UM, 'edge', 'co')} AND co.src = edge.u JOIN bg ON {on(UM, 'edge', 'bg')} AND bg.c = co.c"),
+    "local_efficiency": (f"lm AS (SELECT {UM}, x, src, dst, min(depth) AS d FROM lhop GROUP BY {UM}, x, src, dst), le AS (SELECT {UM}, x, sum(CASE WHEN d > 0 THEN 1.0::DOUBLE / d ELSE 0.0 END) AS total, count(DISTINCT src) AS k FROM lm GROUP BY {UM}, x)",
+        f"SELECT p.useruuid, p.gender, p.GID_0, p.start_month, round(avg(CASE WHEN k > 1 THEN total / (k * (k - 1)) ELSE 0.0 END), 6) AS local_efficiency FROM people p JOIN le ON {on(UM, 'p', 'le')} GROUP BY ALL"),
+    "betweenness_topk": (f"bt AS (SELECT a.useruuid, a.start_month, a.dst AS v, sum(a.n * b.n / w.n) AS s FROM sigma a JOIN sigma b ON {on(UM, 'a', 'b')} AND b.src = a.dst AND a.src <> a.dst AND b.dst <> a.dst AND a.src <> b.dst JOIN sigma w ON {on(UM, 'a', 'w')} AND w.src = a.src AND w.dst = b.dst AND w.d = a.d + b.d GROUP BY ALL), sc AS (SELECT d.useruuid, d.start_month, coalesce(s, 0.0) AS s, count(*) OVER (PARTITION BY d.useruuid, d.start_month) AS n FROM deg d LEFT JOIN bt ON {on(UM, 'd', 'bt')} AND bt.v = d.a), tp AS (SELECT {UM}, list_sort(list(CASE WHEN n > 2 THEN s / ((n - 1) * (n - 2)) ELSE s END), 'DESC') AS l FROM sc GROUP BY {UM})",
+        f"SELECT p.useruuid, p.gender, p.GID_0, p.start_month, " + ", ".join(f"round(l[{i}], 6) AS top{i}_betweenness" for i in (1, 2, 3)) + f" FROM people p JOIN tp ON {on(UM, 'p', 'tp')}"),
     "bootstrap_median": (boots("um", "gender, GID_0", ORDER, "median(total_stay_time)"), f"SELECT gender, GID_0, {_BS} FROM each_b GROUP BY gender, GID_0"),
     "country_weighted_agg": (boots("um", "gender, GID_0", ORDER, "median(total_stay_time)") + f", bs AS (SELECT gender, GID_0, {_BS} FROM each_b GROUP BY gender, GID_0), wt AS (SELECT bs.*, p.w / sum(p.w) OVER (PARTITION BY gender) AS w FROM bs JOIN (VALUES {_PEOPLE}) p(GID_0, w) USING (GID_0))",
         "SELECT gender, round(avg(bs_mean), 6) AS equal_mean, round(sqrt(sum(bs_std ** 2)) / sqrt(count(*)), 6) AS equal_se, round(sum(w * bs_mean), 6) AS weighted_mean, round(sqrt(sum(w * bs_std ** 2)), 6) AS weighted_se FROM wt GROUP BY gender"),
@@ -353,32 +446,22 @@ loc_ AS (SELECT deg.*, coalesce(t, 0) AS t, coalesce(tw, 0.0) AS tw, top.top FRO
     "ks_permutation": (_permuted("um", "", UM), _ks("perm", "b")),
     "k_gap_by_n_decile": (boots("um", "activity_deciles, gender", ORDER, "median(locations)") + f", bs AS (SELECT activity_deciles, gender, {_BS} FROM each_b GROUP BY activity_deciles, gender)",
         "SELECT activity_deciles, round(sum(CASE WHEN gender = 'MALE' THEN bs_mean END) - sum(CASE WHEN gender = 'FEMALE' THEN bs_mean END), 6) AS diff, round(sqrt(sum(bs_std * bs_std)), 6) AS se FROM bs GROUP BY activity_deciles"),
-    "match_eligible": ("", f"SELECT {UM}, gender, visits, locations FROM el"),
-    "match_m2f": (_pairs("el", "activity_repertoire_groups"), "SELECT * FROM m2f"),
-    "match_f2m": (_pairs("el", "activity_repertoire_groups"), "SELECT * FROM f2m"),
-    "match_pairs_delta": (_pairs("el", "activity_repertoire_groups"), "SELECT * FROM dl WHERE abs(d_locations) <= 1"),
-    "match_delta_summary": (_pairs("el", "activity_repertoire_groups"), _summary("activity_repertoire_groups", "dl")),
-    "permutation_baseline": (_permuted("el", "activity_repertoire_groups", UM) + ",\n" + _pairs("perm", "activity_repertoire_groups, b"), _summary("activity_repertoire_groups, b", "dl")),
-    "match_significance": (
-        f"""seen AS (WITH {_pairs("el", "activity_repertoire_groups")} {_summary("activity_repertoire_groups", "dl")}),
-shuffled AS (WITH {_permuted("el", "activity_repertoire_groups", UM)}, {_pairs("perm", "activity_repertoire_groups, b")} {_summary("activity_repertoire_groups, b", "dl")}),
-cuts AS (SELECT activity_repertoire_groups, metric, quantile_cont(2 * mean_rel, [0.05::DOUBLE, 0.5::DOUBLE, 0.95::DOUBLE]) AS q FROM shuffled GROUP BY ALL),
-judged AS (SELECT o.activity_repertoire_groups, o.metric, 2 * o.mean_rel AS obs, q[1] AS p5, q[2] AS p50, q[3] AS p95,
-  avg(CASE WHEN round(abs(2 * s.mean_rel - q[2]), 9) >= round(abs(2 * o.mean_rel - q[2]), 9) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p_value,
-  avg(CASE WHEN 2 * s.mean_rel <= 2 * o.mean_rel THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS pct_rank
-  FROM seen o JOIN cuts c ON o.activity_repertoire_groups = c.activity_repertoire_groups AND o.metric = c.metric
-  JOIN shuffled s ON o.activity_repertoire_groups = s.activity_repertoire_groups AND o.metric = s.metric GROUP BY ALL)""",
-        """SELECT activity_repertoire_groups, metric, round(obs, 6) AS obs, round(p5, 6) AS p5, round(p50, 6) AS p50, round(p95, 6) AS p95, round(p_value, 6) AS p_value, round(pct_rank, 6) AS pct_rank,
-  CASE WHEN obs > p95 AND obs > 0 THEN 'MALE' WHEN obs < p5 AND obs < 0 THEN 'FEMALE' ELSE 'none' END AS higher,
-  CASE WHEN p_value < 0.01 THEN '***' WHEN p_value < 0.05 THEN '**' WHEN p_value < 0.1 THEN '*' ELSE '' END AS flag FROM judged"""),
-    "efficiency_by_reward": (
-        f"""qe AS (SELECT *, (SELECT {upper_edges('total_stay_time', 5)} FROM um) AS ed FROM um),
-rb AS (SELECT * EXCLUDE (ed), {bin_of('total_stay_time', 'ed')} AS q, {reward_bin('total_cost_travel_distance')} AS reward_bin FROM qe),
-{boots("rb", "reward_bin, q, gender", f"total_cost_travel_distance, {UM}", "median(total_cost_travel_distance)", where="reward_bin IS NOT NULL")},
-sm AS (SELECT reward_bin, q, gender, avg(value) AS mean, stddev_samp(value) AS se FROM each_b GROUP BY ALL)""",
-        """SELECT m.reward_bin, m.q, round(2 * (m.mean - f.mean) / nullif(m.mean + f.mean, 0), 6) AS rel_gap,
-  round(2 * sqrt(m.se * m.se + f.se * f.se) / nullif(m.mean + f.mean, 0), 6) AS rel_gap_se
-FROM sm m JOIN sm f ON m.reward_bin = f.reward_bin AND m.q = f.q AND m.gender = 'MALE' AND f.gender = 'FEMALE'"""),
+    "match_eligible": ("", f"SELECT {SCOPE}, {UM}, gender, visits, locations FROM els"),
+    "match_m2f": (_pairs("els", SCOPE), "SELECT * FROM m2f"),
+    "match_f2m": (_pairs("els", SCOPE), "SELECT * FROM f2m"),
+    "match_pairs_delta": (_pairs("els", SCOPE), f"SELECT * FROM dl WHERE abs(d_locations) <= {CALIPER}"),
+    "match_delta_summary": (_pairs("els", SCOPE), _summary(SCOPE, "dl")),
+    "permutation_baseline": (_permuted("els", SCOPE, UM) + ",\n" + _pairs("perm", SCOPE + ", b"), _summary(SCOPE + ", b", "dl")),
+    "match_significance": (_SIGNIFICANCE, _JUDGED),
+    "match_significance_countries": (f"{_SIGNIFICANCE}, final AS ({_JUDGED})",
+        "SELECT scope_group, metric, " + ", ".join(f"count(*) FILTER (higher = '{w}') AS sig_{w}" for w in ("MALE", "FEMALE", "none")) + " FROM final WHERE scope_country <> 'all' GROUP BY scope_group, metric"),
+    "efficiency_cost_bootstrap": (_BY_REWARD, "SELECT gender, reward_bin, q_bin, n AS n_user_months, " + ", ".join(
+        f"round({v}{k}, 6) AS {name}_{kind}" for v, name in _REWARDED for k, kind in (("m", "median"), ("s", "se"))) + " FROM sm"),
+    "efficiency_by_reward": (_BY_REWARD, " UNION ALL ".join(
+        f"""SELECT m.reward_bin, m.q_bin, round(2 * (m.{v}m - f.{v}m) / nullif(m.{v}m + f.{v}m, 0), 6) AS rel_gap,
+  round(2 * sqrt(m.{v}s * m.{v}s + f.{v}s * f.{v}s) / nullif(m.{v}m + f.{v}m, 0), 6) AS rel_gap_se, '{name}' AS value
+FROM sm m JOIN sm f ON m.reward_bin = f.reward_bin AND m.q_bin = f.q_bin AND m.gender = 'MALE' AND f.gender = 'FEMALE'"""
+        for v, name in _REWARDED)),
     "anonymise": ("", "SELECT start_month, visits, 'user_' || CAST(dense_rank() OVER (ORDER BY useruuid) AS VARCHAR) AS anon FROM um"),
     "palindrome_share": (
         ",\n".join(

@@ -36,6 +36,10 @@ class Config:
     mobility_metrics: list[str] = field(default_factory=list)
     network_metrics: list[str] = field(default_factory=list)
     home: dict = field(default_factory=dict)
+    stops: str = ""
+    demographics: str = ""
+    output: str = ""
+    least_locations: int = 2
     other: dict = field(default_factory=dict)
 
 
@@ -47,7 +51,8 @@ def load_config(path: str) -> Config:
 
     with open(path, encoding="utf-8") as file:
         found = yaml.safe_load(file) or {}
-    known = {k: found.pop(k) for k in ("keys", "mobility_metrics", "network_metrics", "home") if k in found}
+    names = ["keys", "mobility_metrics", "network_metrics", "home", "stops", "demographics", "output", "least_locations"]
+    known = {k: found.pop(k) for k in names if k in found}
     return Config(**known, other=found)
 
 
@@ -99,6 +104,19 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     return spark.read.csv(path, header=True, schema=schema)
 
 
+def write_results(rows: DataFrame, path: str, by: str = "country") -> None:
+    """One JSON text for each value of a column: its other columns, a list of objects, below by=value."""
+    rest = [c for c in rows.columns if c != by]
+    whole = rows.groupBy(by).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*rest)))).alias("value"))
+    whole.write.mode("overwrite").partitionBy(by).text(path)
+
+
+def read_results(spark: SparkSession, path: str, schema: str, by: str = "country") -> DataFrame:
+    """The rows that write_results() wrote; schema is that of one object."""
+    read = spark.read.text(path)
+    return read.select(by, F.inline(F.from_json("value", f"array<struct<{schema}>>")))
+
+
 def union_groups(parts: list[DataFrame], names: list[str]) -> DataFrame:
     """UNION ALL by name, with the group of each part in user_group."""
     out = None
@@ -145,6 +163,11 @@ def stops_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_tie_breaker(stops: DataFrame) -> DataFrame:
+    """Stops with an event_id that orders equal starts, from their columns where a source has none."""
+    return stops if "event_id" in stops.columns else stops.withColumn("event_id", F.xxhash64("end", "loc", "latitude", "longitude"))
+
+
 def valid_locations(stops: DataFrame) -> DataFrame:
     """Stops with a location: neither null nor -1."""
     return stops.filter("loc IS NOT NULL AND loc <> -1")

@@ -37,6 +37,22 @@ def materialised(df: DataFrame, name: str = "work") -> DataFrame:
     return out
 
 
+#: Frames that queries persisted and that no later query needs.
+_kept: list[DataFrame] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Persists a frame that a query reads several times, until unkept()."""
+    _kept.append(df.persist())
+    return df
+
+
+def unkept() -> None:
+    """Releases what earlier queries persisted; called before each registered query."""
+    while _kept:
+        _kept.pop().unpersist()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
