@@ -8,8 +8,11 @@ Per host at most (lines of an average page / ratio) lines can pass the ratio, so
 is bounded. It is written out first, so that the planner knows its size: a small one is broadcast, a large
 one joined by host, where adaptive execution splits a host that holds many pages.
 
+MIN_PAGES guards small hosts: on a host of fewer than 1 / RATIO pages every line would exceed the ratio.
+
 Defined cases: a null host counts as the empty host; a null text has no lines and stays null; texts of any
-length are used whole; repeated rows count each; an empty table gives an empty result.
+length are used whole; repeated rows, of one doc_id or none, count each; a line at the ratio itself stays; an empty
+table gives an empty result; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -86,11 +89,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = f"""
 WITH cut AS (
-  SELECT doc_id, coalesce(source, '') AS host, text, string_split(text, chr(10)) AS lines FROM documents
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, text, string_split(text, chr(10)) AS lines FROM documents
 ), counted AS (
   SELECT host, line, count(*) AS n
-  FROM (SELECT DISTINCT doc_id, host, trim(line, ' ' || chr(9) || chr(13)) AS line
-        FROM (SELECT doc_id, host, unnest(lines) AS line FROM cut))
+  FROM (SELECT DISTINCT r, host, trim(line, ' ' || chr(9) || chr(13)) AS line
+        FROM (SELECT r, host, unnest(lines) AS line FROM cut))
   WHERE line <> '' GROUP BY host, line
 ), totals AS (SELECT host, count(*) AS pages FROM cut GROUP BY host),
 boiler AS (

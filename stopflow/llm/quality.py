@@ -6,7 +6,9 @@ repeats its neighbour counts as one common feature. The value of a feature is it
 tokens, times SCALE, so a score is one gather and one sum over the text.
 
 Defined cases: null and empty texts have no features and get the score of the bias; text of any length is
-used whole; repeated rows get equal scores; an empty table gives an empty result; with no labelled row, or
+used whole; repeated rows get equal scores; a null doc_id has no label, is in no fold and is scored like any other;
+labels that tie in the sample's order are taken by doc_id; an empty table gives an empty result; other columns play no
+part; with no labelled row, or
 labels of one kind only, the model is fitted to what there is (every score 0.5 without any).
 """
 

@@ -5,14 +5,15 @@ beside look-alike digits or signs, when a letter comes twice or more in a row, o
 letters; so is a row of single characters between spaces. For these a lattice holds, at each character, the
 letters it may stand for, a word break, or nothing (a separator, a repetition), each with a channel cost; a letter
 doubled just once is dear to drop, so usual spellings keep it. In a row of single characters a break may come
-between any two, and wider gaps are breaks. Viterbi decoding finds the likeliest letters under the model. For all other tokens the lattice has one path,
-the token itself. Features are the words of the text and of its restored tokens and the beginnings of words,
+between any two, and wider gaps are breaks. Viterbi decoding finds the likeliest letters under the model. Tokens with
+none of these signs stay as they are. Features are the words of the text and of its restored tokens and the beginnings of words,
 hashed, with how often they come (at most MOST_OFTEN times); weights are
 learned with follow-the-regularised-leader updates from a bounded sample of labelled rows.
 
 Defined cases: null and empty texts have no features and get the score of the bias; texts of any length are
-used whole; repeated rows get equal scores; an empty table gives an empty result; with no labelled row every
-score is 0.5; other columns play no part.
+used whole; repeated rows get equal scores; a null doc_id has no label, is in no fold and is scored like any other; of
+equally likely readings the first found counts; an empty table gives an empty result; with no labelled row every score
+is 0.5; other columns play no part.
 """
 
 from __future__ import annotations
