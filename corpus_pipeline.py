@@ -1,4 +1,8 @@
-"""Corpus pipeline: stages over `documents`, each written as Parquet and read again by the next."""
+"""Corpus pipeline: stages over `documents`, each written as Parquet and read again by the next.
+
+Every stage takes rows with null ids, null, empty or very long texts, repeated rows and further columns, as the operator
+it calls states, and gives an empty table for an empty one. Columns pass through as they are; n_chars follows the text.
+"""
 
 from __future__ import annotations
 
@@ -19,27 +23,27 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, learned from their labels, does not reject."""
+    """Documents that the quality classifier, learned from their labels, does not reject; a null text has the bias's score."""
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that too many pages of their source share."""
+    """Documents without the lines that too many pages of their source share; a null text stays null."""
     return _counted(line_dedup.drop_lines(docs))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest doc_id."""
+    """One document of each group of near duplicates, the one of the smallest doc_id, once; without a doc_id all stay."""
     return near_dup.keep_one(docs, NEAR)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with every secret replaced by a mark."""
+    """Documents with every secret replaced by a mark; a null text stays null."""
     return _counted(secrets.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents, packed into sequences."""
+    """The pieces of the documents, packed into sequences; a null or empty text is one closing id."""
     return packing.pack(docs)
 
 
