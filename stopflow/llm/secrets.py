@@ -56,7 +56,7 @@ _PIECES = [r"[A-Za-z0-9%s]{%d,}(?:=+$)?" % (signs, MIN_RANDOM) for signs in ("+/
 STRATA = [20, 28, 40, 64]
 Q = 0.01
 #: Values that a running fold takes at once, and code points of a piece of text.
-CHUNK, PIECE = 64, 1024
+CHUNK, PIECE = 256, 1024
 #: Bins of -log10 p: BINS_PER of them for each power of ten, the last open.
 BINS_PER, BINS = 20, 400
 
@@ -99,35 +99,23 @@ def _within() -> list[float]:
 def running(values: Column, add: Callable[[Column, Column], Column], zero: int = 0) -> Column:
     """For each of array<int> the fold of those before it; add is associative, with zero as its neutral element.
 
-    Two levels of chunks are folded one by one, so that a value is copied some CHUNK times at most, whatever their number.
+    Chunks are folded one by one from what the chunks before them fold to, so a value is copied some CHUNK times.
     """
-    kind = "struct<at: int, out: array<int>>"
 
-    def one_by_one(part: Column) -> Column:
+    def one_by_one(part: Column, start: Column) -> Column:
         def step(done: Column, x: Column) -> Column:
             return F.struct(add(done["at"], x).alias("at"), F.array_append(done["out"], done["at"]).alias("out"))
 
-        return F.aggregate(part, F.struct(F.lit(zero).alias("at"), F.array().alias("out")).cast(kind), step)["out"]
-
-    def chunks(of: Column) -> Column:
-        def cut(of: Column) -> Column:
-            last = F.floor((F.size(of) - 1) / CHUNK).cast("int")
-            return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(of, k * CHUNK + 1, F.lit(CHUNK)))
-
-        return _bind(of, cut)
-
-    def totals(parts: Column) -> Column:
-        return F.transform(parts, lambda part: F.aggregate(part, F.lit(zero), add))
-
-    def beyond(parts: Column, starts: Column) -> Column:
-        return F.flatten(F.zip_with(parts, starts, lambda part, start: F.transform(one_by_one(part), lambda x: add(start, x))))
+        return F.aggregate(part, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
 
     def whole(parts: Column) -> Column:
-        above = _bind(chunks(totals(parts)), lambda upper: beyond(upper, one_by_one(totals(upper))))
-        return beyond(parts, above)
+        starts = one_by_one(F.transform(parts, lambda part: F.aggregate(part, F.lit(zero), add)), F.lit(zero))
+        return F.flatten(F.zip_with(parts, starts, one_by_one))
 
     def guarded(values: Column) -> Column:
-        return F.when(F.size(values) > 0, _bind(chunks(values), whole)).otherwise(F.array().cast("array<int>"))
+        last = F.floor((F.size(values) - 1) / CHUNK).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * CHUNK + 1, F.lit(CHUNK)))
+        return F.when(F.size(values) > 0, _bind(chunks, whole)).otherwise(F.array().cast("array<int>"))
 
     return _bind(values, guarded)
 
@@ -332,9 +320,15 @@ def _rejected(counts: DataFrame, bin_: str) -> DataFrame:
     return ruled.groupBy("stratum").agg(F.min("bin").alias("at"))
 
 
-def cutoffs(docs: DataFrame) -> dict[int, tuple[int, int]]:
-    """For each stratum that has any, the least bin rejected as text, and, among these, the least bin rejected as random."""
-    found = docs.select(F.explode(candidates(F.coalesce(F.col("text"), F.lit("")))).alias("c")).select("c.stratum", "c.rank", "c.uniform")
+def with_candidates(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column of their long tokens; analysed once for all that use it."""
+    return docs.withColumn(name, candidates(F.coalesce(F.col("text"), F.lit(""))))
+
+
+def cutoffs(found: DataFrame, name: str) -> dict[int, tuple[int, int]]:
+    """From with_candidates(): for each stratum that has any, the least bin rejected as text, and, among these, the least
+    bin rejected as random."""
+    found = found.select(F.explode(name).alias("c")).select("c.stratum", "c.rank", "c.uniform")
     counts = saved(found.groupBy("stratum", "rank", "uniform").agg(F.count("*").alias("n")), "histogram")  # bounded by the bins
     text = _rejected(counts, "rank")
     left = counts.join(text, "stratum").filter("rank >= at").drop("at")
@@ -374,8 +368,9 @@ def _outermost(found: Column) -> Column:
 
 def with_spans(docs: DataFrame, base: str = "base_spans", spans: str = "spans") -> DataFrame:
     """docs with two columns of spans, array<struct<start, place, stop, kind>>: of the patterns, and of all."""
-    limits = cutoffs(docs)
-    text = F.coalesce(F.col("text"), F.lit(""))
+    own = free_name(docs, "random_spans")
+    docs = with_candidates(docs, own)
+    limits = cutoffs(docs, own)
 
     def random(m: Column) -> Column:
         low, high = F.lit(BINS + 1), F.lit(BINS + 1)
@@ -388,8 +383,7 @@ def with_spans(docs: DataFrame, base: str = "base_spans", spans: str = "spans")
         return F.struct(m["start"].alias("start"), (-m["stop"]).alias("back"), m["stop"].alias("stop"))
 
     # Column by column, as the analyser resolves nested lambda functions level by level.
-    own = free_name(docs, "random_spans")
-    found = docs.withColumn(base, base_spans(text)).withColumn(own, F.filter(candidates(text), random))
+    found = docs.withColumn(base, base_spans(F.coalesce(F.col("text"), F.lit("")))).withColumn(own, F.filter(own, random))
     found = found.withColumn(own, F.array_sort(F.transform(own, ends))).withColumn(own, _outermost(F.col(own)))
     found = found.withColumn(own, _untouched(F.col(own), F.col(base)))
     added = F.transform(own, lambda m: _span(m, len(BASE), RANDOM))

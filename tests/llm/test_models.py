@@ -198,7 +198,7 @@ def test_cutoffs_are_the_rule(spark):
         if at is not None:
             last = rejected([x.uniform for x in own if x["rank"] >= at])
             want[stratum] = (at, secrets.BINS + 1 if last is None else last)
-    assert want and secrets.cutoffs(docs) == want
+    assert want and secrets.cutoffs(secrets.with_candidates(docs, "c"), "c") == want
 
 
 def test_added_spans_recall_and_false_discoveries(spark):
