@@ -210,11 +210,12 @@ def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
     unsettled = saved(texts.join(open_, "doc_id"), "unsettled")
     left = saved(_prefixes(unsettled, link), "prefixes")
     other = left.selectExpr("shingle", "doc_id AS b", "n AS m", "useful AS m_useful", "place AS m_place", "component AS with")
-    # Common members of a pair: those up to the shared one in either order, and those after it in both.
+    # A pair needs enough members in common; at its first common one, none come before, so no more than the rest follow.
+    # Rows at later common members of a pair may fail, as one row of it is enough.
     rest = (
         left.join(other, "shingle")
         .filter(f"component <> with AND doc_id < b AND {reach}")
-        .filter(f"(least(place, m_place) + least(useful - place, m_useful - m_place)) * {100 + link} >= {link} * (n + m)")
+        .filter(f"(1 + least(useful - place, m_useful - m_place)) * {100 + link} >= {link} * (n + m)")
         .select(F.col("doc_id").alias("a"), "b")
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
