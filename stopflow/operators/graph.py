@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import great_circle
 from ..sources.stops import KEYS
-from ..sources.working import materialised
+from ..sources.working import dealt, materialised
 from .steps import steps
 
 
@@ -25,16 +25,16 @@ def largest_component(edge: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     labels = both.groupBy(*keys, "a").agg(F.least(F.min("a"), F.min("b")).alias("c"))
     while True:
         labels = materialised(labels, "labels")
-        near = both.join(labels.withColumnsRenamed({"a": "b", "c": "d"}), [*keys, "b"]).groupBy(*keys, "a").agg(F.min("d").alias("d"))
-        after = materialised(labels.join(near, [*keys, "a"]).select(*keys, "a", F.least("c", "d").alias("to"), "c"), "labels")
+        near = both.join(dealt(labels.withColumnsRenamed({"a": "b", "c": "d"})), [*keys, "b"]).groupBy(*keys, "a").agg(F.min("d").alias("d"))
+        after = materialised(dealt(labels).join(near, [*keys, "a"]).select(*keys, "a", F.least("c", "d").alias("to"), "c"), "labels")
         done = after.filter("to < c").isEmpty()
         labels = after.select(*keys, "a", F.col("to").alias("c"))
         if done:
             break
     sizes = labels.groupBy(*keys, "c").agg(F.count("*").alias("n"))
     best = sizes.groupBy(*keys).agg(F.min_by("c", F.struct(-F.col("n"), F.col("c"))).alias("c"))
-    inside = labels.join(best, [*keys, "c"]).select(*keys, F.col("a").alias("u"))
-    return edge.join(inside, [*keys, "u"], "left_semi")
+    inside = dealt(labels).join(best, [*keys, "c"]).select(*keys, F.col("a").alias("u"))
+    return edge.join(dealt(inside), [*keys, "u"], "left_semi")
 
 
 def edges(moves: DataFrame, keys: list[str] = KEYS) -> DataFrame:

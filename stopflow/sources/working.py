@@ -37,6 +37,15 @@ def materialised(df: DataFrame, name: str = "work") -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A frame that is to be joined by shuffling both sides, whatever the planner takes its size for.
+
+    The planner goes by the size of files, and a working table of few distinct values takes a fifteenth of its rows'
+    size there: one below the limit for broadcasts may fill the driver's memory.
+    """
+    return df.hint("merge")
+
+
 #: Frames that queries persisted and that no later query needs.
 _kept: list[DataFrame] = []
 

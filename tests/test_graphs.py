@@ -185,3 +185,21 @@ def test_largest_component(spark):
     edge = spark.createDataFrame([(*r, 1) for r in rows], "useruuid string, u long, v long, w long")
     got = sorted(tuple(r)[:3] for r in largest_component(edge, ["useruuid"]).select("useruuid", "u", "v").collect())
     assert got == [("u", 1, 2), ("u", 2, 3), ("v", 1, 2), ("w", 9, 10), ("w", 10, 11)]
+
+
+def test_largest_component_broadcasts_no_labels(spark, monkeypatch):
+    """Working tables are small on disk and large in memory: below the limit for broadcasts they filled the driver."""
+    from stopflow.operators import graph
+
+    plans, real = [], graph.materialised
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(graph, "materialised", seen)
+    edge = real(spark.createDataFrame([("u", i, i + 1, 1) for i in range(5)] + [("u", 8, 9, 1)], "useruuid string, u long, v long, w long"), "edges")
+    found = graph.largest_component(edge, ["useruuid"])
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 1 and not any("Broadcast" in p for p in plans)
+    assert sorted(r.u for r in found.collect()) == [0, 1, 2, 3, 4]
