@@ -1,7 +1,8 @@
 """Nearest-neighbour matching of men and women on two controls, and permutation inference.
 
 Controls are small integers: each side is reduced to its distinct points, points meet within a scope, and the
-members of the winning points join back, so the pairs compared do not grow with the rows.
+members of the winning points join back, so the pairs compared do not grow with the rows. Joins with members are by
+shuffles: rows are often a working table, whose files are far smaller than its rows.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.working import dealt
 from .stats import ordinals
 
 ID = ["useruuid", "start_month"]
@@ -55,12 +57,12 @@ def nearest(asking: DataFrame, offered: DataFrame, scope: list[str]) -> DataFram
     # Offered points are dealt into parts that every asking point visits; the nearest is taken before any row moves on.
     part = F.pmod(F.xxhash64("v2", "l2"), F.lit(PARTS)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
-    met = point.join(z, scope).withColumn("part", every).join(other.withColumn("part", part), [*scope, "part"])
+    met = point.join(z, scope).withColumn("part", every).join(dealt(other.withColumn("part", part)), [*scope, "part"])
     ids = [f"b_{c}" for c in ID]
     best = F.min(F.struct(F.round(dv * dv + dl * dl, 9).alias("dist2"), *ids))
     won = met.groupBy(*scope, "v1", "l1").agg(best.alias("best")).select(*scope, "v1", "l1", "best.*")
     members = asking.select(*scope, F.col("visits").alias("v1"), F.col("locations").alias("l1"), *(F.col(c).alias(f"a_{c}") for c in ID))
-    return members.join(won, [*scope, "v1", "l1"]).select(*scope, *(f"a_{c}" for c in ID), *(f"b_{c}" for c in ID), "dist2")
+    return members.join(dealt(won), [*scope, "v1", "l1"]).select(*scope, *(f"a_{c}" for c in ID), *(f"b_{c}" for c in ID), "dist2")
 
 
 def _side(matched: DataFrame, male: str, female: str, scope: list[str]) -> DataFrame:
@@ -75,7 +77,7 @@ def match_male(rows: DataFrame, scope: list[str]) -> DataFrame:
 def match_unmatched_female(rows: DataFrame, scope: list[str]) -> DataFrame:
     """Each woman whom no man was matched to, with the nearest man, in z-space of these women."""
     taken = match_male(rows, scope).select(*scope, *(F.col(f"b_{c}").alias(c) for c in ID)).distinct()
-    left = rows.filter("gender = 'FEMALE'").join(taken, [*scope, *ID], "left_anti")
+    left = rows.filter("gender = 'FEMALE'").join(dealt(taken), [*scope, *ID], "left_anti")
     return nearest(left, rows.filter("gender = 'MALE'"), scope)
 
 
@@ -91,12 +93,14 @@ def deltas(pairs: DataFrame, rows: DataFrame, metrics: list[str], scope: list[st
     wanted = [*metrics, *(m for m in ("locations", "visits") if m not in metrics)]
 
     def side(gender: str) -> DataFrame:
-        values = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias(f"{gender}_value")) for m in wanted]
-        return rows.select(*scope, *(F.col(c).alias(f"{gender}_{c}") for c in ID), F.col("locations").alias(f"{gender}_locs"), F.inline(F.array(*values)))
+        values = [F.col(m).cast("double").alias(f"{gender}_of_{m}") for m in wanted]
+        return dealt(rows.select(*scope, *(F.col(c).alias(f"{gender}_{c}") for c in ID), F.col("locations").alias(f"{gender}_locs"), *values))
 
-    joined = pairs.join(side("m"), [*scope, *(f"m_{c}" for c in ID)]).join(side("f"), [*scope, *(f"f_{c}" for c in ID), "metric"])
+    joined = pairs.join(side("m"), [*scope, *(f"m_{c}" for c in ID)]).join(side("f"), [*scope, *(f"f_{c}" for c in ID)])
+    both = [F.struct(F.lit(m).alias("metric"), F.col(f"m_of_{m}").alias("m_value"), F.col(f"f_of_{m}").alias("f_value")) for m in wanted]
+    each = joined.select(*scope, *(f"m_{c}" for c in ID), *(f"f_{c}" for c in ID), "m_locs", "f_locs", F.inline(F.array(*both)))
     diff = F.col("m_value") - F.col("f_value")
-    return joined.select(
+    return each.select(
         *scope, *(f"m_{c}" for c in ID), *(f"f_{c}" for c in ID), "metric",
         F.round(diff, 6).alias("abs_dif"),
         F.round(F.try_divide(diff, F.col("m_value") + F.col("f_value")), 6).alias("rel_dif"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mixer import mixed
-from ..sources.working import kept
+from ..sources.working import dealt, kept
 
 #: Each country's share of the people of these ten. Fixed values.
 POPULATION = {
@@ -35,7 +35,7 @@ def ordinals(rows: DataFrame, scope: list[str], order: list[str], name: str = "p
     earlier = F.sum("_rows").over(all_.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     before = counts.select(*scope, "_part", F.coalesce(earlier, F.lit(0)).alias("_before"), F.sum("_rows").over(all_).alias("n"))
     local = F.row_number().over(Window.partitionBy(*scope, "_part").orderBy(*order)).cast("long") - 1
-    numbered_ = at.withColumn(name, local).join(before, [*scope, "_part"])
+    numbered_ = at.withColumn(name, local).join(dealt(before), [*scope, "_part"])  # rows are dealt by these for local
     return numbered_.withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
 
 
@@ -59,7 +59,7 @@ def permuted(rows: DataFrame, column: str, scope: list[str], order: list[str], t
     turns = at.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))))
     shuffled = turns.select(*scope, "b", column, "place", mixed(F.col("place"), F.col("b"), seed).alias("_mix"))
     moved = ordinals(shuffled.withColumnRenamed("place", "_from"), [*scope, "b"], ["_mix", "_from"])
-    return turns.drop(column).join(moved.select(*scope, "b", "place", column), [*scope, "b", "place"]).drop("place")
+    return turns.drop(column).join(dealt(moved.select(*scope, "b", "place", column)), [*scope, "b", "place"]).drop("place")
 
 
 def bootstrap(rows: DataFrame, scope: list[str], order: list[str], of: Column, times: int, ddof: int = 0, seed: int = 0) -> DataFrame:

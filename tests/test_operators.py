@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stopflow.functions import calendar, geo, mixer
 from stopflow.operators import matching, mobility, quantiles, stats, tours
-from stopflow.sources import generator, stops as source
+from stopflow.sources import generator, stops as source, working
 
 KEYS = ["useruuid"]
 
@@ -133,6 +133,26 @@ def test_matching_ties_and_empty_second_stage(spark):
     assert matching.match_unmatched_female(only, ["g"]).count() == 0
 
 
+def test_permuted_and_matched_rows_are_not_broadcast(spark):
+    """A working table of few distinct values is small on disk and large in memory: broadcasts of it filled the driver."""
+
+    def joins(df):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        return [next(j for j in ("SortMerge", "Broadcast", "Shuffled") if j in line) for line in plan if "Join" in line]
+
+    rows = [("g", f"u{i}", 1, "MALE" if i % 3 else "FEMALE", i % 5, i % 7) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, useruuid string, start_month long, gender string, visits long, locations long")
+    table = working.materialised(df)
+    assert set(joins(stats.permuted(table, "gender", ["g"], matching.ID, 2))) == {"SortMerge"}
+    assert joins(matching.match_male(table, ["g"]))[:2] == ["SortMerge"] * 2  # the third joins points with a row a scope
+    pairs = matching.matched_pairs(table, ["g"])
+    found = matching.deltas(working.materialised(pairs), table, ["visits"], ["g"])
+    assert joins(found) == ["SortMerge"] * 2
+    by_id = {r[1]: r for r in rows}
+    want = {(r.m_useruuid, r.f_useruuid, m, float(by_id[r.m_useruuid][k] - by_id[r.f_useruuid][k])) for r in pairs.collect() for m, k in (("visits", 4), ("locations", 5))}
+    assert {(r.m_useruuid, r.f_useruuid, r.metric, r.abs_dif) for r in found.collect()} == want
+
+
 def test_generated_stops(spark, tmp_path):
     made = generator.stops(users=6, seed=3)
     again = generator.stops(users=6, seed=3)
