@@ -572,7 +572,9 @@ def permutation_baseline(spark, sf):
 @query
 def match_significance(spark, sf):
     rows = _eligible(spark, sf)
-    return matching.significance(matching.delta_summary(_deltas(rows, SCOPE), SCOPE), _shuffled(rows), SCOPE)
+    # Both are small; the shuffles are read twice, and their plan is the longest of the library.
+    seen = materialised(matching.delta_summary(_deltas(rows, SCOPE), SCOPE), "observed")
+    return matching.significance(seen, materialised(_shuffled(rows), "baseline"), SCOPE)
 
 
 @query

@@ -24,5 +24,12 @@ def test_runs(spark, sf, name):
     assert df.columns and df.count() > 0
 
 
+@pytest.mark.parametrize("name", ["match_significance", "match_significance_countries"])
+def test_significance_reads_written_summaries(spark, sf, name):
+    """The plan of the shuffles is long and was held three times by the driver."""
+    plan = catalogue.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Join") <= 2
+
+
 def test_every_oracle_has_a_query():
     assert set(SQL) <= set(catalogue.queries())
