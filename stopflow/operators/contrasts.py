@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quantiles import counts_by_gender, fixed_bin, grouped, linear_edges, log_edges
-from .stats import pooled_error, resampled
+from .stats import pooled_error, resampled, steady_mean
 
 #: Edges in kilometres, in minutes, and in log10 kilometres. Fixed values.
 DISTANCE_KM = log_edges(0.1, 300.0, 15)
@@ -89,7 +89,7 @@ def bootstrap_by_reward(rows: DataFrame, values: list[str], times: int, order: l
     each = resampled(binned, by, order, times).groupBy(*by, "b").agg(*(F.median(v).alias(v) for v in values), F.count("*").alias("n"))
     return each.groupBy(*by).agg(
         F.max("n").alias("n_user_months"),
-        *(F.avg(v).alias(f"{v}_median") for v in values),
+        *(steady_mean(v).alias(f"{v}_median") for v in values),
         *(F.stddev_samp(v).alias(f"{v}_se") for v in values),
     )
 

@@ -206,6 +206,25 @@ def over_countries(rows: DataFrame, weights: DataFrame, scope: list[str]) -> Dat
     )
 
 
+def steady_mean(column: str) -> Column:
+    """Aggregate: the mean, the same in any order of rows; values are added in order, and what a sum loses is carried along."""
+    values = F.array_sort(F.collect_list(F.col(column).cast("double")))
+
+    def step(acc: Column, x: Column) -> Column:
+        total = acc["total"] + x
+        lost = F.when(F.abs(acc["total"]) >= F.abs(x), (acc["total"] - total) + x).otherwise((x - total) + acc["total"])
+        return F.struct(total.alias("total"), (acc["lost"] + lost).alias("lost"))
+
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("lost"))
+    return F.try_divide(F.aggregate(values, start, step, lambda acc: acc["total"] + acc["lost"]), F.size(values))
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """Half away from zero of the scaled double, as SQL engines round it; F.round goes by the decimal that is printed."""
+    scale = float(10**digits)
+    return F.round(value * scale) / scale
+
+
 def pooled_error(column: str) -> Column:
     """Aggregate: the root of the sum of squares over the count."""
     return F.sqrt(F.sum(F.col(column) * F.col(column))) / F.count(column)

@@ -637,7 +637,7 @@ def _by_reward(spark, sf) -> DataFrame:
 @query
 def efficiency_cost_bootstrap(spark, sf):
     found = _by_reward(spark, sf)
-    rounded = [F.round(f"{v}_{k}", 6).alias(f"{v}_{k}") for v in REWARDED for k in ("median", "se")]
+    rounded = [stats.rounded(F.col(f"{v}_{k}"), 6).alias(f"{v}_{k}") for v in REWARDED for k in ("median", "se")]
     return found.select("gender", "reward_bin", "q_bin", "n_user_months", *rounded)
 
 

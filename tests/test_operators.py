@@ -153,6 +153,29 @@ def test_permuted_and_matched_rows_are_not_broadcast(spark):
     assert {(r.m_useruuid, r.f_useruuid, r.metric, r.abs_dif) for r in found.collect()} == want
 
 
+def test_reward_medians_round_as_the_sql_does(spark, monkeypatch):
+    """Means of ten medians often end in a half of the sixth decimal."""
+    import duckdb
+
+    from stopflow.plans import catalogue
+
+    values = [(2 * i + 1) * 5e-7 * sign for i in range(0, 200000, 97) for sign in (1, -1)]
+    names = [f"{v}_{k}" for v in catalogue.REWARDED for k in ("median", "se")]
+    rows = spark.createDataFrame([("MALE", 1, i, 1, x, x, x, x) for i, x in enumerate(values)], ["gender", "reward_bin", "q_bin", "n_user_months", *names])
+    monkeypatch.setattr(catalogue, "_by_reward", lambda spark, sf: rows)
+    got = {r.q_bin: r.tour_efficiency_dist_median for r in catalogue.efficiency_cost_bootstrap(spark, "").collect()}
+    want = [duckdb.execute("SELECT round(x, 6) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchall()]
+    assert [got[i] for i in range(len(values))] == [x for (x,) in want[0]]
+
+
+def test_steady_mean_is_exact_in_any_order(spark):
+    values = [0.1, 1e9, 0.07069, -1e9, 0.3, 1090.414454, 0.7]
+    for rows in (values, values[::-1], sorted(values, key=abs)):
+        df = spark.createDataFrame([(x,) for x in rows], "x double")
+        assert df.repartition(3).agg(stats.steady_mean("x")).first()[0] == math.fsum(values) / len(values)
+    assert spark.createDataFrame([(None,)], "x double").agg(stats.steady_mean("x")).first()[0] is None
+
+
 def test_generated_stops(spark, tmp_path):
     made = generator.stops(users=6, seed=3)
     again = generator.stops(users=6, seed=3)
