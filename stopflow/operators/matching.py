@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.working import dealt
+from ..sources.working import dealt, materialised
 from .stats import ordinals
 
 ID = ["useruuid", "start_month"]
@@ -74,18 +74,24 @@ def match_male(rows: DataFrame, scope: list[str]) -> DataFrame:
     return nearest(rows.filter("gender = 'MALE'"), rows.filter("gender = 'FEMALE'"), scope)
 
 
-def match_unmatched_female(rows: DataFrame, scope: list[str]) -> DataFrame:
-    """Each woman whom no man was matched to, with the nearest man, in z-space of these women."""
-    taken = match_male(rows, scope).select(*scope, *(F.col(f"b_{c}").alias(c) for c in ID)).distinct()
+def match_unmatched_female(rows: DataFrame, scope: list[str], men: DataFrame | None = None) -> DataFrame:
+    """Each woman whom no man was matched to, with the nearest man, in z-space of these women; men is match_male()."""
+    men = match_male(rows, scope) if men is None else men
+    taken = men.select(*scope, *(F.col(f"b_{c}").alias(c) for c in ID)).distinct()
     left = rows.filter("gender = 'FEMALE'").join(dealt(taken), [*scope, *ID], "left_anti")
     return nearest(left, rows.filter("gender = 'MALE'"), scope)
 
 
 def matched_pairs(rows: DataFrame, scope: list[str]) -> DataFrame:
-    """Distinct pairs of both directions: scope, m_ and f_ ids."""
-    forth = _side(match_male(rows, scope), "a", "b", scope)
-    back = _side(match_unmatched_female(rows, scope), "b", "a", scope)
-    return forth.unionByName(back).distinct()
+    """Distinct pairs of both directions: scope, m_ and f_ ids.
+
+    Each direction, and the pairs, are written before they are read: as one plan they filled the driver, which holds a
+    plan's threads, code and every revision of it.
+    """
+    men = materialised(match_male(rows, scope), "men")
+    forth = _side(men, "a", "b", scope)
+    back = _side(match_unmatched_female(rows, scope, men), "b", "a", scope)
+    return materialised(forth.unionByName(back).distinct(), "pairs")
 
 
 def deltas(pairs: DataFrame, rows: DataFrame, metrics: list[str], scope: list[str]) -> DataFrame:

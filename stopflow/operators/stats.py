@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mixer import mixed
-from ..sources.working import dealt, kept
+from ..sources.working import dealt, kept, materialised
 
 #: Each country's share of the people of these ten. Fixed values.
 POPULATION = {
@@ -23,13 +25,13 @@ POPULATION = {
 }
 
 
-def ordinals(rows: DataFrame, scope: list[str], order: list[str], name: str = "place") -> DataFrame:
+def ordinals(rows: DataFrame, scope: list[str], order: list[str], name: str = "place", keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
     """rows with their number from 0 in the order within each scope, and the size n of the scope.
 
     Rows are dealt by ranges of the order; a small table of counts by range and scope gives what comes before,
-    so a scope of any size is spread over tasks.
+    so a scope of any size is spread over tasks. keep holds the ranges: kept(), or materialised() within long plans.
     """
-    at = kept(rows.repartitionByRange(*scope, *order).withColumn("_part", F.spark_partition_id()))
+    at = keep(rows.repartitionByRange(*scope, *order).withColumn("_part", F.spark_partition_id()))
     counts = at.groupBy(*scope, "_part").agg(F.count("*").alias("_rows"))
     all_ = Window.partitionBy(*scope)
     earlier = F.sum("_rows").over(all_.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
@@ -54,11 +56,14 @@ def resampled(rows: DataFrame, scope: list[str], order: list[str], times: int, s
 
 
 def permuted(rows: DataFrame, column: str, scope: list[str], order: list[str], times: int, seed: int = 0) -> DataFrame:
-    """rows for each iteration b, with the values of a column shuffled within its scope."""
-    at = ordinals(rows, scope, order).drop("n")
+    """rows for each iteration b, with the values of a column shuffled within its scope.
+
+    Ranges and places are written: a persisted frame that a plan reads in several places was computed for each of them.
+    """
+    at = materialised(ordinals(rows, scope, order, keep=materialised).drop("n"), "places")
     turns = at.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))))
     shuffled = turns.select(*scope, "b", column, "place", mixed(F.col("place"), F.col("b"), seed).alias("_mix"))
-    moved = ordinals(shuffled.withColumnRenamed("place", "_from"), [*scope, "b"], ["_mix", "_from"])
+    moved = ordinals(shuffled.withColumnRenamed("place", "_from"), [*scope, "b"], ["_mix", "_from"], keep=materialised)
     return turns.drop(column).join(dealt(moved.select(*scope, "b", "place", column)), [*scope, "b", "place"]).drop("place")
 
 

@@ -65,10 +65,15 @@ def _moves(spark: SparkSession, sf: str) -> DataFrame:
     return graph.transitions(_stops(spark, sf))
 
 
-def user_months(spark: SparkSession, sf: str) -> DataFrame:
-    """Mobility metrics of user-months with two locations and more, with deciles and groups."""
+def _months(spark: SparkSession, sf: str) -> DataFrame:
+    """Mobility metrics of user-months with two locations and more."""
     rows = mobility.mobility(_stops(spark, sf), names=["visits", "locations", "total_stay_time", "total_cost_travel_distance"])
-    return kept(quantiles.with_groups(kept(rows.filter("locations >= 2"))))
+    return rows.filter("locations >= 2")
+
+
+def user_months(spark: SparkSession, sf: str) -> DataFrame:
+    """_months() with deciles and groups."""
+    return kept(quantiles.with_groups(kept(_months(spark, sf))))
 
 
 def rewarded_months(spark: SparkSession, sf: str) -> DataFrame:
@@ -526,7 +531,9 @@ SCOPE = ["scope_country", "scope_group"]
 
 
 def _eligible(spark, sf) -> DataFrame:
-    return materialised(matching.scoped(matching.eligible(user_months(spark, sf), METRICS, LEAST)), "eligible")
+    # Written, not persisted: what is read in two places of a plan is computed once.
+    rows = quantiles.with_groups(materialised(_months(spark, sf), "months"))
+    return materialised(matching.scoped(matching.eligible(rows, METRICS, LEAST)), "eligible")
 
 
 @query
@@ -559,8 +566,16 @@ def match_delta_summary(spark, sf):
     return matching.delta_summary(_deltas(_eligible(spark, sf), SCOPE), SCOPE)
 
 
-def _shuffled(rows: DataFrame) -> DataFrame:
-    moved = materialised(stats.permuted(rows, "gender", SCOPE, UM, TIMES), "permuted")
+#: The iteration of people as they are, beside those of the shuffles.
+SEEN = -1
+
+
+def _shuffled(rows: DataFrame, seen: bool = False) -> DataFrame:
+    """Summaries of each shuffle b; with seen, also of the rows as they are."""
+    moved = stats.permuted(rows, "gender", SCOPE, UM, TIMES)
+    if seen:
+        moved = moved.unionByName(rows.withColumn("b", F.lit(SEEN).cast("long")))
+    moved = materialised(moved, "permuted")
     return matching.delta_summary(_deltas(moved, [*SCOPE, "b"]), [*SCOPE, "b"])
 
 
@@ -571,10 +586,9 @@ def permutation_baseline(spark, sf):
 
 @query
 def match_significance(spark, sf):
-    rows = _eligible(spark, sf)
-    # Both are small; the shuffles are read twice, and their plan is the longest of the library.
-    seen = materialised(matching.delta_summary(_deltas(rows, SCOPE), SCOPE), "observed")
-    return matching.significance(seen, materialised(_shuffled(rows), "baseline"), SCOPE)
+    # Small, and read three times. People as they are go with the shuffles: the driver plans their matching once.
+    each = materialised(_shuffled(_eligible(spark, sf), seen=True), "summaries")
+    return matching.significance(each.filter(F.col("b") == SEEN).drop("b"), each.filter(F.col("b") != SEEN), SCOPE)
 
 
 @query

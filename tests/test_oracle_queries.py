@@ -3,7 +3,9 @@
 import oracle
 import pytest
 
+from stopflow.operators import matching
 from stopflow.plans import catalogue
+from stopflow.sources import working
 
 SQL = catalogue.oracle_sql()
 
@@ -31,5 +33,13 @@ def test_significance_reads_written_summaries(spark, sf, name):
     assert "Window" not in plan and plan.count("Join") <= 2
 
 
+def test_significance_matches_each_direction_once(spark, sf, monkeypatch):
+    """Observed and shuffled people had a plan each, with the men's matches twice and frames persisted: too much for the driver."""
+    scopes, nearest = [], matching.nearest
+    monkeypatch.setattr(matching, "nearest", lambda asking, offered, scope: scopes.append(scope) or nearest(asking, offered, scope))
+    catalogue.queries()["match_significance_countries"](spark, sf)
+    assert scopes == [[*catalogue.SCOPE, "b"]] * 2 and not working._kept
+
+
 def test_every_oracle_has_a_query():
     assert set(SQL) <= set(catalogue.queries())
