@@ -33,6 +33,8 @@ CLOSING = 0
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: About this many pieces are ranked together, in at most MOST_SHARDS shards.
 SHARD_ROWS, MOST_SHARDS = 2048, 4096
+#: Rows of a partition of the result, where the shuffles would leave more partitions with fewer.
+PART_ROWS = 4096
 
 
 class Capacities:
@@ -154,11 +156,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str = VOCABULARY, wi
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
     """Every piece with its sequence_id and its offset there."""
     cut = saved(pieces(docs, capacity, path, with_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
-    total = cut.count()
+    by_length = cut.groupBy("length").agg(F.count("*").alias("n")).collect()  # a row for each length up to capacity
+    total = sum(r.n for r in by_length)
     shards = min(MOST_SHARDS, max(1, total // SHARD_ROWS))
     key = F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard")
-    counted = saved(cut.groupBy(key, "length").agg(F.count("*").alias("n")), "lengths")
-    by_length = counted.groupBy("length").agg(F.sum("n").alias("n")).collect()  # a row for each length up to capacity
+    counted = cut.groupBy(key, "length").agg(F.count("*").alias("n"))
     steps, _ = plan({r.length: r.n for r in by_length}, capacity)
     if not len(steps):
         steps = np.zeros((1, 5), np.int64)
@@ -184,7 +186,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str = VOCABULARY, with
         .withColumn("at", place("length", F.col("rank") + F.col("earlier")))
     )
     ids = ["ids"] if with_ids else []
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset", *ids)
+    placed = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset", *ids)
+    return _in_fewer(placed, total)
+
+
+def _in_fewer(df: DataFrame, rows: int) -> DataFrame:
+    """The frame in partitions of PART_ROWS rows, but no fewer than cores, if the shuffles would leave more of them.
+
+    Without its native library Hadoop's local file system starts a process for each file that an executor writes.
+    """
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-rows // PART_ROWS))
+    return df.repartition(parts) if parts < int(spark.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stopflow.llm import bpe, hashing, licences, line_dedup, near_dup, packing, quality, registry, secrets, toxicity
+from stopflow.sources import working
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 ASSIGN = re.compile(
@@ -287,6 +288,29 @@ def test_packing(spark, awkward, documents, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_writes_few_files_whatever_the_shuffles(spark, documents, tmp_path, monkeypatch):
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    monkeypatch.setattr(working, "shared_dir", lambda spark: f"file://{tmp_path}/work")
+    old = {k: spark.conf.get(k, None) for k in held}
+    docs = documents.select("doc_id", "text").repartition(3).unionAll(documents.select("doc_id", "text"))
+    want = Counter(map(tuple, packing.pieces(docs).collect()))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        packing.pack(docs).write.parquet(f"{tmp_path}/out")
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert Counter(tuple(r)[:5] for r in got) == want
+    assert len(list(tmp_path.rglob("part-*.parquet"))) <= docs.rdd.getNumPartitions() + spark.sparkContext.defaultParallelism
+    ends = defaultdict(int)
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert len(ends) == best_fit([r.length for r in got], packing.CAPACITY)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|", "|>", "<", " ", "  ", "\n", "it's", "é中😀", "word", "12", "!?"]), max_size=12))
 def test_ids_are_those_of_the_tokenizers_library(parts):
