@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar
-from ..operators import anchors, contrasts, graph, graph_kernel, matching, mobility, quantiles, stats, tours
+from ..operators import anchors, contrasts, graph, graph_kernel, matching, matching_kernel, mobility, quantiles, stats, tours
+from ..operators.matching_kernel import SEEN
 from ..operators.steps import steps
 from ..sources import stops as source
 from ..sources.stops import KEYS
@@ -23,6 +24,8 @@ from . import oracles
 UM = ["useruuid", "start_month"]
 #: Iterations of resampling queries, and thresholds small enough for the test tables.
 TIMES, LEAST = 10, 2
+#: Shuffles of match_significance, as many as the reference's.
+SHUFFLES = 1000
 HOME_SHARE = 0.2
 #: Settings of home and work labels: stays of the test tables are short.
 LABELS = {"coverage": 0.1, "home_valid": 0.1, "work_valid": 0.05, "home_share": 0.2, "work_share": 0.2, "work_presence": 0.1}
@@ -566,13 +569,9 @@ def match_delta_summary(spark, sf):
     return matching.delta_summary(_deltas(_eligible(spark, sf), SCOPE), SCOPE)
 
 
-#: The iteration of people as they are, beside those of the shuffles.
-SEEN = -1
-
-
-def _shuffled(rows: DataFrame, seen: bool = False) -> DataFrame:
+def _shuffled(rows: DataFrame, times: int = TIMES, seen: bool = False) -> DataFrame:
     """Summaries of each shuffle b; with seen, also of the rows as they are."""
-    moved = stats.permuted(rows, "gender", SCOPE, UM, TIMES)
+    moved = stats.permuted(rows, "gender", SCOPE, UM, times)
     if seen:
         moved = moved.unionByName(rows.withColumn("b", F.lit(SEEN).cast("long")))
     moved = materialised(moved, "permuted")
@@ -584,16 +583,31 @@ def permutation_baseline(spark, sf):
     return _shuffled(_eligible(spark, sf))
 
 
-@query
-def match_significance(spark, sf):
+def _mean_differences(rows: DataFrame, times: int) -> DataFrame:
+    """mean_rel of each shuffle and of the rows as they are; scopes too large for an Arrow pass are shuffled by Spark."""
+    large = rows.groupBy(*SCOPE).count().filter(F.col("count") > matching_kernel.LARGEST).drop("count").collect()
+    if not large:
+        return matching_kernel.mean_differences(rows, METRICS, SCOPE, "scope_group", times)
+    is_large = F.struct(*SCOPE).isin([F.struct(*(F.lit(x[c]).alias(c) for c in SCOPE)) for x in large])
+    found = _shuffled(rows.filter(is_large), times, seen=True).select(*SCOPE, "b", "metric", "mean_rel")
+    return found.unionByName(matching_kernel.mean_differences(rows.filter(~is_large), METRICS, SCOPE, "scope_group", times))
+
+
+def _significance(each: DataFrame) -> DataFrame:
     # Small, and read three times. People as they are go with the shuffles: the driver plans their matching once.
-    each = materialised(_shuffled(_eligible(spark, sf), seen=True), "summaries")
+    each = materialised(each, "summaries")
     return matching.significance(each.filter(F.col("b") == SEEN).drop("b"), each.filter(F.col("b") != SEEN), SCOPE)
 
 
+@query
+def match_significance(spark, sf):
+    return _significance(_mean_differences(_eligible(spark, sf), SHUFFLES))
+
+
 @query
 def match_significance_countries(spark, sf):
-    return matching.counted_countries(match_significance(spark, sf))
+    # Over TIMES shuffles, as its SQL.
+    return matching.counted_countries(_significance(_shuffled(_eligible(spark, sf), seen=True)))
 
 
 @query

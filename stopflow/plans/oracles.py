@@ -25,6 +25,8 @@ REWARD_LOG = _spaced(log10(0.2 * 30), log10(300 * 30), 30)
 K = "useruuid, gender, GID_0, start_month"
 UM = "useruuid, start_month"
 TIMES, LEAST, SHARE = 10, 2, 0.2
+#: Shuffles of match_significance.
+SHUFFLES = 1000
 PRIME = 2147483647
 
 
@@ -274,13 +276,13 @@ def _summary(scope: str, source: str) -> str:
   count(*) FILTER (rel_dif = 0) AS n_zero FROM {source} WHERE abs(d_locations) <= {CALIPER} GROUP BY {scope}, metric"""
 
 
-def _permuted(rows: str, scope: str, order: str) -> str:
+def _permuted(rows: str, scope: str, order: str, times: int = TIMES) -> str:
     """CTE perm: rows for each b with the genders shuffled within scope."""
     part = f"{scope}, b" if scope else "b"
     cond = f" AND {on(scope, 't', 'x')}" if scope else ""
     by = f"PARTITION BY {scope}" if scope else ""
     return f"""pn AS (SELECT *, row_number() OVER ({by} ORDER BY {order}) - 1 AS place FROM {rows}),
-pt AS (SELECT pn.*, t.b FROM pn, (SELECT unnest(range({TIMES})) AS b) t),
+pt AS (SELECT pn.*, t.b FROM pn, (SELECT unnest(range({times})) AS b) t),
 px AS (SELECT {part}, gender, row_number() OVER (PARTITION BY {part} ORDER BY {mixed("place", "b")}, place) - 1 AS place FROM pt),
 perm AS (SELECT t.* EXCLUDE (gender), x.gender FROM pt t JOIN px x ON t.b = x.b AND t.place = x.place{cond})"""
 
@@ -325,13 +327,19 @@ def _seq_part(name: str, anchor: str) -> str:
 
 SCOPE = "scope_country, scope_group"
 _SAME = " AND ".join(f"o.{c} = {{0}}.{c}" for c in ("scope_country", "scope_group", "metric"))
-_SIGNIFICANCE = f"""seen AS (WITH {_pairs("els", SCOPE)} {_summary(SCOPE, "dl")}),
-shuffled AS (WITH {_permuted("els", SCOPE, UM)}, {_pairs("perm", SCOPE + ", b")} {_summary(SCOPE + ", b", "dl")}),
+
+
+def _significance(times: int) -> str:
+    """CTEs that end in judged: observed means against those of shuffles."""
+    return f"""seen AS (WITH {_pairs("els", SCOPE)} {_summary(SCOPE, "dl")}),
+shuffled AS (WITH {_permuted("els", SCOPE, UM, times)}, {_pairs("perm", SCOPE + ", b")} {_summary(SCOPE + ", b", "dl")}),
 cuts AS (SELECT {SCOPE}, metric, quantile_cont(2 * mean_rel, [0.05::DOUBLE, 0.5::DOUBLE, 0.95::DOUBLE]) AS q FROM shuffled GROUP BY ALL),
 judged AS (SELECT o.scope_country, o.scope_group, o.metric, 2 * o.mean_rel AS obs, q[1] AS p5, q[2] AS p50, q[3] AS p95,
   avg(CASE WHEN round(abs(2 * s.mean_rel - q[2]), 9) >= round(abs(2 * o.mean_rel - q[2]), 9) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p_value,
   avg(CASE WHEN 2 * s.mean_rel <= 2 * o.mean_rel THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS pct_rank
   FROM seen o JOIN cuts c ON {_SAME.format("c")} JOIN shuffled s ON {_SAME.format("s")} GROUP BY ALL)"""
+
+
 _JUDGED = f"""SELECT {SCOPE}, metric, round(obs, 6) AS obs, round(p5, 6) AS p5, round(p50, 6) AS p50, round(p95, 6) AS p95, round(p_value, 6) AS p_value, round(pct_rank, 6) AS pct_rank,
   CASE WHEN obs > p95 AND obs > 0 THEN 'MALE' WHEN obs < p5 AND obs < 0 THEN 'FEMALE' ELSE 'none' END AS higher,
   CASE WHEN p_value < 0.01 THEN '***' WHEN p_value < 0.05 THEN '**' WHEN p_value < 0.1 THEN '*' ELSE '' END AS flag FROM judged"""
@@ -452,8 +460,8 @@ loc_ AS (SELECT deg.*, coalesce(t, 0) AS t, coalesce(tw, 0.0) AS tw, top.top FRO
     "match_pairs_delta": (_pairs("els", SCOPE), f"SELECT * FROM dl WHERE abs(d_locations) <= {CALIPER}"),
     "match_delta_summary": (_pairs("els", SCOPE), _summary(SCOPE, "dl")),
     "permutation_baseline": (_permuted("els", SCOPE, UM) + ",\n" + _pairs("perm", SCOPE + ", b"), _summary(SCOPE + ", b", "dl")),
-    "match_significance": (_SIGNIFICANCE, _JUDGED),
-    "match_significance_countries": (f"{_SIGNIFICANCE}, final AS ({_JUDGED})",
+    "match_significance": (_significance(SHUFFLES), _JUDGED),
+    "match_significance_countries": (f"{_significance(TIMES)}, final AS ({_JUDGED})",
         "SELECT scope_group, metric, " + ", ".join(f"count(*) FILTER (higher = '{w}') AS sig_{w}" for w in ("MALE", "FEMALE", "none")) + " FROM final WHERE scope_country <> 'all' GROUP BY scope_group, metric"),
     "efficiency_cost_bootstrap": (_BY_REWARD, "SELECT gender, reward_bin, q_bin, n AS n_user_months, " + ", ".join(
         f"round({v}{k}, 6) AS {name}_{kind}" for v, name in _REWARDED for k, kind in (("m", "median"), ("s", "se"))) + " FROM sm"),

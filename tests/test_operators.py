@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stopflow.functions import calendar, geo, mixer
-from stopflow.operators import matching, mobility, quantiles, stats, tours
+from stopflow.operators import matching, matching_kernel, mobility, quantiles, stats, tours
+from stopflow.plans import catalogue
 from stopflow.sources import generator, stops as source, working
 
 KEYS = ["useruuid"]
@@ -153,6 +154,43 @@ def test_permuted_and_matched_rows_are_not_broadcast(spark):
     assert {(r.m_useruuid, r.f_useruuid, r.metric, r.abs_dif) for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("largest", [10**6, 50, 0])
+def test_shuffles_in_arrow_passes_are_those_by_rows(spark, monkeypatch, largest):
+    """Ties, equal controls, one gender only, a row alone, ids in another order than rows, several blocks, and scopes too large for a pass."""
+    groups = {"all": 90, "inactive": 40, "moderate": 30, "active": 2}
+    rows = [
+        (c, g, f"u{i * 7 % 90}", i % 2, "MALE" if c == "X" or (i * i + i // 3) % 3 else "FEMALE", 5 if g == "moderate" else 3 + i * i % 11, 3 + i % 5, i * 37 % 50 + 1, i * i % 101 / 7 + 0.01)
+        for c in ("all", "AUS", "X") for g, n in groups.items() for i in range(n)
+    ]
+    schema = "scope_country string, scope_group string, useruuid string, start_month long, gender string, visits long, locations long, total_stay_time long, total_cost_travel_distance double"
+    table = working.materialised(spark.createDataFrame([*rows, ("Y", "all", "u0", 1, "MALE", 5, 5, 1, 1.0)], schema))
+    monkeypatch.setattr(matching_kernel, "WORK", 200)
+    monkeypatch.setattr(matching_kernel, "FEWEST", 2)
+    monkeypatch.setattr(matching_kernel, "LARGEST", largest)
+
+    def values(df):
+        return {tuple(r[:4]): r[4] for r in df.select(*catalogue.SCOPE, "b", "metric", "mean_rel").collect()}
+
+    want, got = values(catalogue._shuffled(table, 5, seen=True)), values(catalogue._mean_differences(table, 5))
+    assert want.keys() == got.keys() and len({k[2] for k in want}) == 6
+    assert {k: (want[k], got[k]) for k in want if abs(want[k] - got[k]) > 2e-12} == {}
+
+
+def test_arrow_passes_are_spread_over_tasks(spark):
+    """Blocks are few bytes and much work: dealt by size, all of sf0.1 was one task."""
+    schema = "scope_country string, scope_group string, useruuid string, start_month long, gender string, visits long, locations long, total_stay_time long, total_cost_travel_distance double"
+    rows = [("all", "all", f"u{i}", 1, "MALE" if i % 2 else "FEMALE", i, i, 1, 1.0) for i in range(300)]
+    found = matching_kernel.mean_differences(spark.createDataFrame(rows, schema), catalogue.METRICS, catalogue.SCOPE, "scope_group", 1000)
+    assert found.select(F.spark_partition_id()).distinct().count() == 2  # 300 * 1001 rows are two blocks
+
+
+def test_arrow_pass_needs_a_caliper(spark):
+    row = ("all", "other", "u1", 1, "MALE", 5, 5, 1, 1.0)
+    df = spark.createDataFrame([row], "scope_country string, scope_group string, useruuid string, start_month long, gender string, visits long, locations long, total_stay_time long, total_cost_travel_distance double")
+    with pytest.raises(Exception, match="no caliper for group other"):
+        matching_kernel.mean_differences(df, catalogue.METRICS, catalogue.SCOPE, "scope_group", 2).collect()
+
+
 def test_reward_medians_round_as_the_sql_does(spark, monkeypatch):
     """Means of ten medians often end in a half of the sixth decimal."""
     import duckdb

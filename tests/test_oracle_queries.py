@@ -41,5 +41,13 @@ def test_significance_matches_each_direction_once(spark, sf, monkeypatch):
     assert scopes == [[*catalogue.SCOPE, "b"]] * 2 and not working._kept
 
 
+def test_significance_rests_on_all_shuffles(spark, sf, monkeypatch):
+    """Ten shuffles of the thousand were made: p-values moved in tenths."""
+    made, judged = [], matching.significance
+    monkeypatch.setattr(matching, "significance", lambda seen, each, scope: made.append(each.select("b").distinct().count()) or judged(seen, each, scope))
+    assert catalogue.queries()["match_significance"](spark, sf).filter("p_value * 10 <> round(p_value * 10)").count() > 0
+    assert made == [1000] and "range(1000)" in SQL["match_significance"]
+
+
 def test_every_oracle_has_a_query():
     assert set(SQL) <= set(catalogue.queries())
